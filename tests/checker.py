@@ -101,6 +101,8 @@ def main() -> int:
                 problem = None
         except Exception as e:  # noqa: BLE001
             problem, n = f"{type(e).__name__}: {str(e)[:600]}", ""
+            if "invalidated" in str(e) or "INTERNAL" in str(e):
+                con = connect(path)
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {key} {time.time() - start:.1f}s {n}{problem or ''}", flush=True)
     print("failed:", failed)

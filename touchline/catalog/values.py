@@ -45,23 +45,21 @@ def model_scored(t, model=2):
     return t.matches.withColumnRenamed("id", "match_id").join(probs, "match_id")
 
 
-ALL_BETS = f"""
-SELECT x.match_id, h.name AS home_team, a.name AS away_team, x.match_date, x.bet_type, x.prob AS model_probability,
-       x.odds AS market_odds, x.prob - 1 / x.odds AS edge, x.prob * x.odds - 1 AS expected_value
-FROM (SELECT p.match_id, m.match_date, m.home_team_id, m.away_team_id, o.bet_type,
-             CASE o.bet_type WHEN 'H' THEN p.prob_home WHEN 'D' THEN p.prob_draw ELSE p.prob_away END AS prob,
-             CASE o.bet_type WHEN 'H' THEN m.odds_home WHEN 'D' THEN m.odds_draw ELSE m.odds_away END AS odds
-      FROM predictions p JOIN matches m ON m.id = p.match_id
-      CROSS JOIN (SELECT 'H' AS bet_type UNION ALL SELECT 'D' UNION ALL SELECT 'A') o
+UPCOMING_PRICED = f"""FROM predictions p JOIN matches m ON m.id = p.match_id
       WHERE p.model_version_id = 2 AND m.status = 'SCHEDULED' AND m.match_date >= TIMESTAMP '{AS_OF}'
         AND m.match_date <= TIMESTAMP '{AS_OF}' + INTERVAL '30' DAY
-        AND m.odds_home IS NOT NULL AND m.odds_draw IS NOT NULL AND m.odds_away IS NOT NULL) x
+        AND m.odds_home IS NOT NULL AND m.odds_draw IS NOT NULL AND m.odds_away IS NOT NULL"""
+ALL_BETS = f"""
+SELECT x.match_id, h.name AS home_team, a.name AS away_team, x.match_date,
+       substr('HDA', x.cls + 1, 1) AS bet_type, x.prob AS model_probability,
+       x.odds AS market_odds, x.prob - 1 / x.odds AS edge, x.prob * x.odds - 1 AS expected_value
+FROM ({" UNION ALL ".join(f"SELECT p.match_id, m.match_date, m.home_team_id, m.away_team_id, {i} AS cls, p.prob_{o} AS prob, m.odds_{o} AS odds {UPCOMING_PRICED}" for i, o in enumerate(("home", "draw", "away")))}) x
 JOIN teams h ON h.id = x.home_team_id JOIN teams a ON a.id = x.away_team_id
 WHERE x.odds > 1 AND x.prob - 1 / x.odds >= 0.05::DOUBLE"""
 
 query("C2_value_bets_all_outcomes", ALL_BETS)(
     lambda t: V.value_bets_all_outcomes(model_scored(t), t.teams, AS_OF, ahead=30, limit=None))
-query("L2_topk_edge", ALL_BETS + " ORDER BY edge DESC, match_id, bet_type LIMIT 20")(
+query("L2_topk_edge", f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY edge DESC, match_id, bet_type) AS rn FROM ({ALL_BETS})) WHERE rn <= 20")(
     lambda t: V.value_bets_all_outcomes(model_scored(t), t.teams, AS_OF, ahead=30))
 
 query("J14_outcome_unpivot", """SELECT match_id, model_version_id, cls, CASE cls WHEN 0 THEN 'H' WHEN 1 THEN 'D' ELSE 'A' END AS outcome,
