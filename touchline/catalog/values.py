@@ -7,6 +7,8 @@ from touchline.functions import match as fm
 from touchline.functions import odds as fo
 from touchline.operators import joins as J
 from touchline.operators import value_bets as V
+from touchline.operators.evaluation import scored_frame
+from touchline.operators.history import team_rows
 
 PICK_ODDS = "CASE p.predicted_outcome WHEN 'H' THEN m.odds_home WHEN 'D' THEN m.odds_draw ELSE m.odds_away END"
 PICK_PROB = "CASE p.predicted_outcome WHEN 'H' THEN p.prob_home WHEN 'D' THEN p.prob_draw ELSE p.prob_away END"
@@ -119,12 +121,11 @@ query("F9_argmax_outcome", """SELECT id AS prediction_id, predicted_outcome AS o
     lambda t: t.predictions.select(F.col("id").alias("prediction_id"), fo.predicted_outcome().alias("outcome"),
                                    fo.confidence().alias("top")))
 query("F10_points", "SELECT match_id, is_home, gf, ga, pts FROM hist")(
-    lambda t: __import__("touchline.operators.history", fromlist=["x"]).team_rows(t.matches).filter("is_hist")
+    lambda t: team_rows(t.matches).filter("is_hist")
     .select("match_id", "is_home", "gf", "ga", F.col("points").alias("pts")))
 
 
 def classes(t):
-    from touchline.operators.evaluation import scored_frame
     return V.outcome_unpivot(scored_frame(t.predictions, t.matches))
 
 

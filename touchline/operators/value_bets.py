@@ -95,3 +95,17 @@ def value_bets_json(bets: DataFrame) -> DataFrame:
 def with_pick(df: DataFrame) -> DataFrame:
     """Predicted outcome and confidence from the three probabilities."""
     return df.withColumn("predicted_outcome", predicted_outcome()).withColumn("confidence", F.greatest(*PROBS))
+
+
+# The baseline's probabilities.
+CONSTANT_PROBS = (0.40, 0.30, 0.30)
+
+
+def constant_predictions(matches: DataFrame, predictions: DataFrame, model_version_id: int) -> DataFrame:
+    """The fixed baseline prediction for every match this model has not predicted yet."""
+    from touchline.operators.joins import unpredicted_matches
+
+    rows = unpredicted_matches(matches, predictions, model_version_id).select(
+        F.col("id").alias("match_id"), F.lit(model_version_id).alias("model_version_id"),
+        *[F.lit(v).alias(p) for v, p in zip(CONSTANT_PROBS, PROBS)])
+    return with_pick(rows)
