@@ -8,3 +8,4 @@ from touchline.catalog import history  # noqa: E402,F401
 from touchline.catalog import evaluation  # noqa: E402,F401
 from touchline.catalog import listing  # noqa: E402,F401
 from touchline.catalog import splits  # noqa: E402,F401
+from touchline.catalog import ingest  # noqa: E402,F401
