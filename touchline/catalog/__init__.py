@@ -9,3 +9,5 @@ from touchline.catalog import evaluation  # noqa: E402,F401
 from touchline.catalog import listing  # noqa: E402,F401
 from touchline.catalog import splits  # noqa: E402,F401
 from touchline.catalog import ingest  # noqa: E402,F401
+from touchline.catalog import models  # noqa: E402,F401
+from touchline.catalog import streaming  # noqa: E402,F401
