@@ -47,6 +47,6 @@ def upsert(t):
     table = S.MatchTable(t.spark, fresh_path(t.spark, "matches"))
     table.create(t.matches)
     S.stream_upsert(source(t, resolved(t), "scraped"), table, fresh_path(t.spark, "mark")).awaitTermination()
-    return table.read(FILES).select("home_team_id", "away_team_id", "match_date", "tournament_id", "status")
+    return table.read().select("home_team_id", "away_team_id", "match_date", "tournament_id", "status")
 
 

@@ -55,8 +55,9 @@ def resolve(raw: DataFrame, teams: DataFrame, tournaments: DataFrame) -> DataFra
     return raw.join(home, "home_team").join(away, "away_team").join(t, "tournament_slug", "left")
 
 
-def _append_ids(matches: DataFrame, added: DataFrame, block_rows: int) -> DataFrame:
-    top = F.coalesce(matches.agg(F.max("id")).scalar(), F.lit(0))
+def _append_ids(matches: DataFrame, added: DataFrame, first_id: int | None, block_rows: int) -> DataFrame:
+    """Number new rows in arrival order, from ``first_id`` or after the largest stored id."""
+    top = F.coalesce(matches.agg(F.max("id")).scalar(), F.lit(0)) if first_id is None else F.lit(first_id - 1)
     numbered = with_rank(added, ["seq"], out="_rank", block_rows=block_rows)
     return numbered.withColumn("id", top + 1 + F.col("_rank")).select(*[
         (F.col(c) if c in numbered.columns or c == "id" else F.lit(None)).cast(matches.schema[c].dataType).alias(c)
@@ -76,7 +77,8 @@ def fold_upcoming(resolved: DataFrame) -> DataFrame:
         _first(F.col("tournament_id"), F.col("tournament_id").isNotNull()).alias("new_tournament"), F.min("seq").alias("seq"))
 
 
-def upsert_upcoming(matches: DataFrame, resolved: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def upsert_upcoming(matches: DataFrame, resolved: DataFrame, *, first_id: int | None = None,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All matches after the batch: priced rows replace odds, missing tournaments fill in, new keys append."""
     fold = fold_upcoming(resolved)
     hit = matches.join(fold.drop("first_odds", "seq"), UPCOMING_KEY, "left")
@@ -87,11 +89,11 @@ def upsert_upcoming(matches: DataFrame, resolved: DataFrame, *, block_rows: int
     odds = F.coalesce("last_odds", "first_odds")
     fresh = fresh.withColumns({o: odds[o] for o in ODDS}).withColumns({
         "tournament_id": F.col("new_tournament"), "status": F.lit("SCHEDULED")})
-    return updated.unionByName(_append_ids(matches, fresh, block_rows))
+    return updated.unionByName(_append_ids(matches, fresh, first_id, block_rows))
 
 
 def insert_results(matches: DataFrame, resolved: DataFrame, *, update_existing: bool = False,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   first_id: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All matches after the batch: the first row of an unknown key is inserted as finished.
 
     Existing rows stay as they are, so an earlier scheduled row blocks its result, unless
@@ -107,4 +109,4 @@ def insert_results(matches: DataFrame, resolved: DataFrame, *, update_existing:
         kept = matches.join(first.drop("seq"), RESULT_KEY, "left").withColumns({
             **{c: F.when(opened, F.coalesce(F.col(f"v.{c}"), F.col(c))).otherwise(F.col(c)) for c in values},
             "status": F.when(opened, "FINISHED").otherwise(F.col("status"))}).select(*matches.columns)
-    return kept.unionByName(_append_ids(matches, fresh, block_rows))
+    return kept.unionByName(_append_ids(matches, fresh, first_id, block_rows))

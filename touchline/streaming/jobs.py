@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchline.functions.odds import expected_value, has_odds, kelly
 from touchline.operators.ingest import insert_results, upsert_upcoming
-from touchline.schema import ODDS, PROBS
+from touchline.schema import MATCH, ODDS, PROBS
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 1000) -> DataFrame:
@@ -47,40 +47,57 @@ def stream_value_bets(odds_updates: DataFrame, predictions: DataFrame, *, min_ev
 
 
 class MatchTable:
-    """A match table kept as numbered snapshots; the highest finished number is current.
+    """A match table partitioned by month, so a batch reads and rewrites only the months it touches.
 
-    A batch writes snapshot ``batch_id + 1`` from snapshot ``batch_id``, so running the same
-    batch again after a failure gives the same table.
+    The next free id is kept per batch number. A batch that runs again after a failure starts
+    from the same id and merges into the same keys, so it gives the same rows.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.rows, self.ids = f"{self.root}/matches", f"{self.root}/next_id"
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/v{version:010d}"
+    @staticmethod
+    def with_month(df: DataFrame) -> DataFrame:
+        return df.withColumn("month", F.date_format("match_date", "yyyy-MM"))
 
     def create(self, matches: DataFrame) -> None:
-        matches.write.mode("overwrite").parquet(self.path(0))
+        # By month, but spread: a crowded month is still written by many tasks.
+        self.with_month(matches).write.mode("overwrite").partitionBy("month").parquet(self.rows)
+        self._set_next_id(0, matches.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1)
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(version))
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self._schema()).parquet(self.rows)
 
-    def write(self, matches: DataFrame, version: int) -> None:
-        matches.write.mode("overwrite").parquet(self.path(version))
+    def _schema(self) -> T.StructType:
+        return T.StructType([*MATCH.fields, T.StructField("month", T.StringType())])
 
+    def _set_next_id(self, batch: int, value: int) -> None:
+        self.spark.createDataFrame([(value,)], "next_id long").write.mode("overwrite").parquet(f"{self.ids}/{batch}")
+
+    def next_id(self, batch: int) -> int:
+        return self.spark.read.parquet(f"{self.ids}/{batch}").first()["next_id"]
+
+    def merge(self, batch: DataFrame, batch_id: int, rule: Callable[..., DataFrame]) -> None:
+        months = [r["month"] for r in self.with_month(batch).select("month").distinct().collect()]  # calendar months
+        first = self.next_id(batch_id)
+        touched = self.read().filter(F.col("month").isin(months))
+        merged = self.with_month(rule(touched.drop("month"), batch, first_id=first))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.rows)
+        top = self.read().filter(F.col("month").isin(months)).agg(F.max("id").alias("m")).first()["m"]
+        self._set_next_id(batch_id + 1, max(first, (top or 0) + 1))
 
-def merge_batch(table: MatchTable, kind: str) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: rows with resolved ids merge by the batch rules."""
-    merge = {"upcoming": upsert_upcoming, "results": insert_results}[kind]
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        table.write(merge(table.read(batch_id), batch), batch_id + 1)
+RULES = {"upcoming": upsert_upcoming, "results": insert_results}
 
-    return apply
+
+def merge_batch(table: MatchTable, kind: str) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: rows with resolved ids merge by the batch rules."""
+    return lambda batch, batch_id: table.merge(batch, batch_id, RULES[kind])
 
 
 def stream_upsert(resolved: DataFrame, table: MatchTable, checkpoint: str, kind: str = "upcoming") -> StreamingQuery:
-    """Continuous ingest: drain what is available, one snapshot per micro-batch."""
+    """Continuous ingest: drain what is available, one merge per micro-batch."""
     return (
         resolved.writeStream.foreachBatch(merge_batch(table, kind))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
