@@ -12,9 +12,11 @@ from touchline.functions.odds import odds_features
 from touchline.operators.history import H2H_COLUMNS, WINDOWS, form_columns, team_features, with_h2h
 from touchline.plans.ordering import BLOCK_ROWS
 
-ODDS_COLUMNS = list(odds_features())
-TEMPORAL_COLUMNS = [*calendar(), "home_rest_days", "away_rest_days", "rest_days_diff",
-                    "home_matches_last_14_days", "away_matches_last_14_days"]
+# Feature names in their declared order.
+ODDS_COLUMNS = ["implied_prob_home", "implied_prob_draw", "implied_prob_away", "bookmaker_margin", "odds_home_away_ratio",
+                "favorite_outcome", "favorite_implied_prob", "odds_quality_score"]
+TEMPORAL_COLUMNS = ["day_of_week", "month", "is_weekend", "days_from_season_start", "home_rest_days", "away_rest_days",
+                    "rest_days_diff", "home_matches_last_14_days", "away_matches_last_14_days"]
 
 
 def feature_columns(windows: Sequence[int] = WINDOWS) -> list[str]:
