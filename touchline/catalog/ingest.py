@@ -8,6 +8,7 @@ from touchline.functions.match import is_finished, micros, ntz
 from touchline.operators import ingest as I
 from touchline.operators import joins as J
 from touchline.operators import quality as Q
+from touchline.plans.materialize import materialize
 from touchline.plans.ordering import with_rank
 from touchline.sources import pages as G
 
@@ -108,7 +109,8 @@ def raw_upcoming(t):
     two = opened.select((F.col("id") * 4 + 1).alias("seq"), *cols, *[F.when(F.col("num_bookmakers") > 6, F.col(o) + 2).alias(o) for o in I.ODDS])
     later = opened.select((F.col("id") * 4 + 2).alias("seq"), *cols[:3], F.when(F.col("status") == "LIVE", F.concat("home_team", F.lit(" B"))).otherwise(F.col("home_team")).alias("home_team"),
                           "away_team", (F.col("match_date") + F.expr("INTERVAL '400' DAY")).alias("match_date"), *I.ODDS)
-    return one.unionByName(two).unionByName(later)
+    # A scraped batch is a stored table; write it once instead of deriving it at every use.
+    return materialize(one.unionByName(two).unionByName(later), "raw")
 
 
 RAW = """SELECT * FROM (WITH o AS (SELECT m.*, h.name AS home_team, a.name AS away_team FROM matches m JOIN teams h ON h.id = m.home_team_id JOIN teams a ON a.id = m.away_team_id WHERE m.status <> 'FINISHED')
@@ -124,7 +126,7 @@ query("J19_tournaments_kept", "SELECT id, name, country, url_slug FROM tournamen
 
 def resolved(t):
     raw = raw_upcoming(t)
-    teams = I.get_or_create_dim(t.teams, I.team_names(raw), "name")
+    teams = materialize(I.get_or_create_dim(t.teams, I.team_names(raw), "name"), "teams")
     return I.resolve(raw, teams, t.tournaments)
 
 

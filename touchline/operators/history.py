@@ -77,10 +77,15 @@ def side_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates
 
 
 def by_match(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per match: each side column as home_ and away_ column."""
-    return sides.groupBy("match_id").agg(*[
-        F.max(F.when(F.col("is_home") == (side == "home"), F.col(c))).alias(f"{side}_{c}")
-        for side in SIDES for c in columns])
+    """One row per match: each side column as home_ and away_ column.
+
+    Side columns travel as one struct and the away struct is picked up behind the home one: a
+    single exchange of the side rows, where a conditional aggregate would carry every column twice.
+    """
+    pair = Window.partitionBy("match_id").orderBy(F.col("is_home").desc())
+    packed = sides.select("match_id", "is_home", F.struct(*columns).alias("home"))
+    rows = packed.withColumn("away", F.lead("home").over(pair)).filter("is_home")
+    return rows.select("match_id", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in SIDES for c in columns])
 
 
 def form_columns(windows: Sequence[int] = WINDOWS, rates: Sequence[str] = ("win",)) -> list[str]:

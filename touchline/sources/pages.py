@@ -70,23 +70,25 @@ def _rows(pages: DataFrame, marks: list[str], headers: dict[str, Callable[[Colum
     return rows.select(*kept, "pos", "r.*")
 
 
-def _game(piece: Column) -> dict[str, Column]:
-    titles = F.regexp_extract_all(piece, F.lit(r'<a[^>]*\stitle="([^"]*)"'), F.lit(1))
-    text = _text(piece)
-    odds = F.regexp_extract_all(text, F.lit(ODD), F.lit(1))
-    books = F.try_element_at(F.split(text, " "), F.lit(-1))
-    number = F.regexp_extract(books, r"^([+-]?\d+)", 1)
-    count = F.when((F.size(odds) >= 3) & (number != ""), number.try_cast("int"))
-    return {
-        "titles": titles, "text": text,
-        "time": F.coalesce(_inner(piece, TIME_ITEM), F.lit(DEFAULT_TIME)),
-        "home_team": F.get(titles, 0), "away_team": F.get(titles, 1),
-        "home_score": F.when(text.rlike(SCORE), F.regexp_extract(text, SCORE, 1).try_cast("int")),
-        "away_score": F.when(text.rlike(SCORE), F.regexp_extract(text, SCORE, 2).try_cast("int")),
-        "odds_home": F.get(odds, 0).cast("double"), "odds_draw": F.get(odds, 1).cast("double"),
-        "odds_away": F.get(odds, 2).cast("double"),
-        "num_bookmakers": F.when(count != 0, count),
-    }
+def _games(rows: DataFrame) -> DataFrame:
+    """Add what a game row shows; text, titles and numbers are extracted once each."""
+    rows = rows.withColumns({
+        "text": _text(F.col("piece")),
+        "titles": F.regexp_extract_all("piece", F.lit(r'<a[^>]*\stitle="([^"]*)"'), F.lit(1)),
+        "time": F.coalesce(_inner(F.col("piece"), TIME_ITEM), F.lit(DEFAULT_TIME)),
+    }).filter(F.size("titles") >= 2)
+    rows = rows.withColumns({
+        "odds": F.regexp_extract_all("text", F.lit(ODD), F.lit(1)),
+        "score": F.regexp_extract("text", SCORE, 0),
+        "last": F.regexp_extract(F.try_element_at(F.split("text", " "), F.lit(-1)), r"^([+-]?\d+)", 1),
+    })
+    count = F.when(F.size("odds") >= 3, F.col("last").try_cast("int"))
+    return rows.withColumns({
+        "home_team": F.get("titles", 0), "away_team": F.get("titles", 1),
+        "home_score": F.regexp_extract("score", SCORE, 1).try_cast("int"),
+        "away_score": F.regexp_extract("score", SCORE, 2).try_cast("int"),
+        "odds_home": F.get("odds", 0).cast("double"), "odds_draw": F.get("odds", 1).cast("double"),
+        "odds_away": F.get("odds", 2).cast("double"), "num_bookmakers": F.when(count != 0, count)})
 
 
 def pages_to_results(pages: DataFrame, *, as_of=None) -> DataFrame:
@@ -98,8 +100,7 @@ def pages_to_results(pages: DataFrame, *, as_of=None) -> DataFrame:
         text = _text(piece)
         return F.when((_mark(piece) == DATE_HEADER) & text.rlike(RESULT_DATE), text)
 
-    rows = _rows(pages, [DATE_HEADER, GAME_ROW], {"date": date}).withColumns(_game(F.col("piece")))
-    rows = rows.filter((F.size("titles") >= 2) & F.col("home_score").isNotNull())
+    rows = _games(_rows(pages, [DATE_HEADER, GAME_ROW], {"date": date})).filter(F.col("home_score").isNotNull())
     books = F.col("num_bookmakers")
     return rows.select(
         *[c for c in pages.columns if c != "html"], "pos",
@@ -127,7 +128,7 @@ def pages_to_upcoming(pages: DataFrame, *, as_of) -> DataFrame:
     rows = _rows(pages, [LEAGUE_ITEM, UPCOMING_HEADER, GAME_ROW], {
         "country": league(lambda p: _inner(p, COUNTRY_LINK)), "tournament": league(lambda p: _inner(p, TOURNAMENT_LINK)),
         "slug": league(_slug), "date": date})
-    rows = rows.withColumns(_game(F.col("piece"))).filter(F.size("titles") >= 2)
+    rows = _games(rows)
     now = ntz(as_of)
     year = F.year(now).cast("string")
     full = F.when(F.contains("date", year), F.col("date")).otherwise(F.concat_ws(" ", "date", year))
