@@ -99,6 +99,8 @@ H2H = f"""SELECT m.id AS match_id, x.* FROM matches m, LATERAL (SELECT
     {mean('away_goals', 'rn <= 5')} AS h2h_away_avg_goals, {mean('pts', 'rn <= 3')} AS h2h_recent_home_form
     FROM meetings e WHERE e.match_id = m.id AND e.rn <= 5) x"""
 query("W5_h2h_stats", H2H)(lambda t: H.h2h_stats(t.matches))
+query("W5_h2h_stats_two_years", H2H.replace("AND e.rn <= 5) x", "AND e.rn <= 5 AND e.hist_date >= m.match_date - INTERVAL '730' DAY) x"))(
+    lambda t: H.h2h_stats(t.matches, max_years_back=2))
 query("A7_match_count_before", """SELECT s.match_id, s.is_home, s.team_id, count(h.match_id) AS count_before FROM sides s
     LEFT JOIN hist h ON h.team_id = s.team_id AND h.match_date < s.match_date GROUP BY ALL""")(
     lambda t: H.match_count_before(t.matches))

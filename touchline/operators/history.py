@@ -154,34 +154,62 @@ H2H_COLUMNS = ["h2h_matches_count", "h2h_home_wins", "h2h_draws", "h2h_away_wins
                "h2h_avg_total_goals", "h2h_home_avg_goals", "h2h_away_avg_goals", "h2h_recent_home_form"]
 
 
-def with_h2h(matches: DataFrame, meetings: int = 5, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add the head-to-head features of the last ``meetings`` earlier meetings; keeps the match columns."""
-    values = ["low_goals", "high_goals", "low_win", "high_win"]
-    frames = {v: (v, meetings, 1) for v in values}
-    frames |= {v: (v, min(3, meetings), 1) for v in ("low_points", "high_points")}
-    looked = asof_trailing(pair_rows(matches), ["low_team", "high_team"], frames, block_rows=block_rows)
+YEAR_US = 365 * DAY_US
 
-    def of_home(kind: str) -> Column:
-        return F.coalesce(F.when(F.col("home_low"), F.col(f"last.low_{kind}")).otherwise(F.col(f"last.high_{kind}")), F.lit(0))
 
-    def of_away(kind: str) -> Column:
-        return F.coalesce(F.when(F.col("home_low"), F.col(f"last.high_{kind}")).otherwise(F.col(f"last.low_{kind}")), F.lit(0))
+def with_h2h(matches: DataFrame, meetings: int = 5, *, max_years_back: int | None = None,
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the head-to-head features of the last ``meetings`` earlier meetings; keeps the match columns.
 
-    n = F.least(F.coalesce(F.col("last.seq"), F.lit(0)), F.lit(meetings))
+    ``max_years_back`` (off by default) leaves out meetings more than that many years of 365 days before.
+    """
+    rows = pair_rows(matches)
+    if max_years_back is None:
+        values = ["low_goals", "high_goals", "low_win", "high_win"]
+        frames = {v: (v, meetings, 1) for v in values}
+        frames |= {v: (v, min(3, meetings), 1) for v in ("low_points", "high_points")}
+        looked = asof_trailing(rows, ["low_team", "high_team"], frames, block_rows=block_rows)
+        looked = looked.withColumn("n", F.least(F.coalesce(F.col("last.seq"), F.lit(0)), F.lit(meetings)))
+    else:
+        looked = _recent_meetings(rows, meetings, max_years_back, block_rows)
+
+    def of(side_low: Column, kind: str) -> Column:
+        return F.coalesce(F.when(side_low, F.col(f"last.low_{kind}")).otherwise(F.col(f"last.high_{kind}")), F.lit(0))
+
+    n, home_low = F.col("n"), F.col("home_low")
+    home = {k: of(home_low, k) for k in ("win", "goals", "points")}
+    away = {k: of(~home_low, k) for k in ("win", "goals")}
 
     def mean(total: Column, count: Column = n) -> Column:
         return F.when(n > 0, total / count).otherwise(F.lit(0.0))
 
-    exprs = [n, of_home("win"), n - of_home("win") - of_away("win"), of_away("win"), mean(of_home("win")),
-             mean(of_home("goals") + of_away("goals")), mean(of_home("goals")), mean(of_away("goals")),
-             mean(of_home("points"), F.least(n, F.lit(3)))]
+    exprs = [n, home["win"], n - home["win"] - away["win"], away["win"], mean(home["win"]),
+             mean(home["goals"] + away["goals"]), mean(home["goals"]), mean(away["goals"]),
+             mean(home["points"], F.least(n, F.lit(3)))]
     counts = set(H2H_COLUMNS[:4])
     added = [(e.cast("long") if c in counts else e).alias(c) for c, e in zip(H2H_COLUMNS, exprs)]
     return looked.select("match_id", *[c for c in matches.columns if c != "id"], *added)
 
 
-def h2h_stats(matches: DataFrame, meetings: int = 5, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return with_h2h(matches, meetings, block_rows=block_rows).select("match_id", *H2H_COLUMNS)
+def _recent_meetings(rows: DataFrame, meetings: int, years: int, block_rows: int) -> DataFrame:
+    """The last meetings as a short list per match, those too old removed, summed up again."""
+    values = ["low_goals", "high_goals", "low_win", "high_win", "low_points", "high_points"]
+    looked = asof_trailing(rows.withColumn("entry", F.struct("us", *values)), ["low_team", "high_team"], {},
+                           lists={"entries": ("entry", meetings)}, block_rows=block_rows)
+    oldest = F.col("us") - years * YEAR_US
+    looked = looked.withColumn("_near", F.filter("last.entries", lambda e: e["us"] >= oldest))
+    newest = F.slice(F.reverse("_near"), 1, 3)
+
+    def total(entries: Column, v: str) -> Column:
+        return F.aggregate(entries, F.lit(0), lambda acc, e: acc + e[v])
+
+    return looked.withColumn("n", F.coalesce(F.array_size("_near"), F.lit(0))).withColumn(
+        "last", F.struct(*[total(newest if v.endswith("points") else F.col("_near"), v).alias(v) for v in values]))
+
+
+def h2h_stats(matches: DataFrame, meetings: int = 5, *, max_years_back: int | None = None,
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return with_h2h(matches, meetings, max_years_back=max_years_back, block_rows=block_rows).select("match_id", *H2H_COLUMNS)
 
 
 def h2h_asof(matches: DataFrame, limit: int = 5, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
