@@ -123,3 +123,11 @@ def test_blocks_follow_key_order(spark):
     blocks = plan_blocks(df, ["k", "us"], block_rows=50)
     rows = sorted((r["k"], r["us"], r["_blk"]) for r in blocks.assign(df).collect())
     assert [r[2] for r in rows] == sorted(r[2] for r in rows) and rows[-1][2] > 3
+
+
+def test_rows_without_a_key_stay(spark):
+    df = spark.createDataFrame([(None if i % 2 else 1, i % 5, i, float(i)) for i in range(300)], "k int, us int, match_id int, x double")
+    got = with_rank(df, ["us", "match_id"], by=["k"], block_rows=40)
+    assert got.count() == 300 and got.filter("k IS NULL").agg(F.max("rank")).first()[0] == 149
+    sums = prefix_sums(df, ["k"], ["us", "match_id"], "x", block_rows=40)
+    assert sums.filter("k IS NULL").agg(F.max("running")).first()[0] == sum(i for i in range(300) if i % 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,22 +36,22 @@ def bin_number(p: Column, edges: Sequence[float], closed_first: bool) -> Column:
 
 
 def _binned(scored: DataFrame, by: Sequence[str], n_bins: int, closed_first: bool) -> DataFrame:
+    """Counts and means per class and bin; ``rows`` is the size of the group, also of rows in no bin."""
     edges = linspace_edges(n_bins)
     return (
         by_class(scored, by).withColumn("bin", bin_number(F.col("prob"), edges, closed_first))
         .groupBy(*by, "cls", "bin")
         .agg(F.count("*").alias("n"), F.avg("prob").alias("mean_predicted"), F.avg("hit").alias("mean_actual"))
+        .withColumn("rows", F.sum("n").over(Window.partitionBy(*by, "cls")))  # at most n_bins + 1 rows per class
         .filter("bin IS NOT NULL"))
 
 
 def ece_mce_sum(scored: DataFrame, by: Sequence[str] = MODEL, n_bins: int = BINS) -> DataFrame:
     """ECE summed over classes and left-open bins (up to 3), and the largest bin error."""
-    total = scored.groupBy(*by).agg(F.count("*").alias("_rows"))
     bins = _binned(scored, by, n_bins, closed_first=False)
-    rows = bins.join(total, list(by)) if by else bins.withColumn("_rows", total.select("_rows").scalar())
     gap = F.abs(F.col("mean_predicted") - F.col("mean_actual"))
-    return rows.groupBy(*by).agg(
-        F.sum(gap * F.col("n") / F.col("_rows")).alias("expected_calibration_error"),
+    return bins.groupBy(*by).agg(
+        F.sum(gap * F.col("n") / F.col("rows")).alias("expected_calibration_error"),
         F.max(gap).alias("maximum_calibration_error"))
 
 

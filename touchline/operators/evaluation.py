@@ -68,13 +68,16 @@ def _safe(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def classification_metrics(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
-    """One row per group with every classification metric and the confusion cells ``c<label><pred>``."""
+def classification_metrics(scored: DataFrame, by: Sequence[str] = MODEL, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per group with every classification metric and the confusion cells ``c<label><pred>``.
+
+    ``extra`` aggregates ride on the same pass.
+    """
     own = prob_of("label")
     sums = scored.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
         log_loss_clip(own).alias("log_loss"), log_loss_eps(own).alias("log_loss_eps"),
-        brier().alias("brier_score"), F.avg(in_top2()).alias("top_2_accuracy"),
+        brier().alias("brier_score"), F.avg(in_top2()).alias("top_2_accuracy"), *extra,
         *[F.count_if((F.col("label") == i) & (F.col("pred") == j)).alias(f"c{i}{j}") for i, j in CELLS])
     cell = {(i, j): F.col(f"c{i}{j}") for i, j in CELLS}
     support = [cell[i, 0] + cell[i, 1] + cell[i, 2] for i in range(3)]
@@ -138,8 +141,8 @@ def bets(scored: DataFrame, *, stake: float = 1.0, min_edge: float = 0.0,
         .withColumn("profit", F.col("returned") - F.col("stake")))
 
 
-def betting_sim(placed: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
-    """Totals, rates and the Sharpe ratio of placed bets."""
+def betting_sim(placed: DataFrame, by: Sequence[str] = MODEL, extra: Sequence[Column] = ()) -> DataFrame:
+    """Totals, rates and the Sharpe ratio of placed bets; ``extra`` aggregates ride on the same pass."""
     won = F.col("won")
     sums = placed.groupBy(*by).agg(
         F.count("*").alias("total_bets"), F.count_if(won).alias("winning_bets"), F.count_if(~won).alias("losing_bets"),
@@ -147,7 +150,7 @@ def betting_sim(placed: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
         F.coalesce(F.avg(F.when(won, F.col("odds"))), F.lit(0.0)).alias("average_winning_odds"),
         F.coalesce(F.avg(F.when(~won, F.col("odds"))), F.lit(0.0)).alias("average_losing_odds"),
         F.coalesce(F.avg("kelly"), F.lit(0.0)).alias("average_kelly_fraction"),
-        F.coalesce(F.avg("profit") / (F.stddev_pop("profit") + 1e-10), F.lit(0.0)).alias("sharpe_ratio"))
+        F.coalesce(F.avg("profit") / (F.stddev_pop("profit") + 1e-10), F.lit(0.0)).alias("sharpe_ratio"), *extra)
     profit = F.col("total_return") - F.col("total_stake")
     return sums.withColumns({
         "profit_loss": profit,
@@ -162,16 +165,20 @@ def equity_curve(placed: DataFrame, by: Sequence[str] = MODEL, *, block_rows: in
     return prefix_sums(placed, by, ["us", "match_id", "cls"], "profit", out="equity", peak="peak", block_rows=block_rows)
 
 
-def max_drawdown(placed: DataFrame, by: Sequence[str] = MODEL, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    curve = equity_curve(placed, by, block_rows=block_rows)
+def worst_fall() -> Column:
+    """Largest relative fall below the running peak, over an equity curve."""
     fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / (F.col("peak") + 1e-10)).otherwise(F.lit(0.0))
-    return curve.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max(fall)).alias("max_drawdown"))
+    return F.greatest(F.lit(0.0), F.max(fall)).alias("max_drawdown")
+
+
+def max_drawdown(placed: DataFrame, by: Sequence[str] = MODEL, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return equity_curve(placed, by, block_rows=block_rows).groupBy(*by).agg(worst_fall())
 
 
 def betting_metrics(scored: DataFrame, by: Sequence[str] = MODEL, *, min_edge: float = 0.0,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    placed = bets(scored, min_edge=min_edge)
-    return betting_sim(placed, by).join(max_drawdown(placed, by, block_rows=block_rows), list(by))
+    """All betting metrics in one aggregation over the equity curve."""
+    return betting_sim(equity_curve(bets(scored, min_edge=min_edge), by, block_rows=block_rows), by, [worst_fall()])
 
 
 # --- bundles and comparisons -------------------------------------------------------------
@@ -182,9 +189,9 @@ def evaluate_predictions(scored: DataFrame, by: Sequence[str] = MODEL, *, min_ed
     from touchline.operators.calibration import ece_mce_sum
 
     by = list(by)
-    span = scored.groupBy(*by).agg(F.min("match_date").alias("date_from"), F.max("match_date").alias("date_to"))
+    span = [F.min("match_date").alias("date_from"), F.max("match_date").alias("date_to")]
     return (
-        classification_metrics(scored, by).join(span, by).join(ece_mce_sum(scored, by), by)
+        classification_metrics(scored, by, span).join(ece_mce_sum(scored, by), by)
         .join(betting_metrics(scored, by, min_edge=min_edge, block_rows=block_rows), by, "left"))
 
 

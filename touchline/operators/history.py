@@ -246,13 +246,11 @@ def fixture_density(matches: DataFrame, window_days: int = 14, *, block_rows: in
 
 def rolling_form(matches: DataFrame, n: int = 5, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Averages over the ``n`` rows before, in (date, id) order of the team's finished matches."""
-    rows = team_rows(matches.filter(is_finished()))
-    frames = {v: (v, n, 1) for v in ("points", "gf", "ga")}
-    looked = trailing_rows(rows.withColumnsRenamed({"points": "p", "gf": "f", "ga": "a"}), ["team_id"],
-                           {"points": ("p", n, 1), "gf": ("f", n, 1), "ga": ("a", n, 1)}, block_rows=block_rows)
-    names = dict(zip(frames, ("avg_points", "avg_goals_for", "avg_goals_against")))
+    names = {"avg_points": "points", "avg_goals_for": "gf", "avg_goals_against": "ga"}
+    looked = trailing_rows(team_rows(matches.filter(is_finished())), ["team_id"],
+                           {a: (v, n, 1) for a, v in names.items()}, block_rows=block_rows)
     return looked.select("match_id", "team_id", "is_home", *[
-        (F.col(v) / F.col(f"{v}_n")).alias(f"{a}_last_{n}") for v, a in names.items()])
+        (F.col(a) / F.col(f"{a}_n")).alias(f"{a}_last_{n}") for a in names])
 
 
 def weighted_momentum(matches: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:

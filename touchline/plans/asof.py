@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.plans.ordering import BLOCK, BLOCK_ROWS, SALT, Blocks, plan_blocks
+from touchline.plans.ordering import BLOCK, BLOCK_ROWS, SALT, Blocks, join_on, plan_blocks
 
 # name -> (value column, first row, last row), rows counted back from the newest: (5, 1) = last five
 Frames = dict[str, tuple[str, int, int]]
@@ -90,14 +90,12 @@ def _cut_with_carry(rows: DataFrame, blocks: Blocks, keys, us, id, history, sub,
     if sub:
         places = places.withColumn(sub, F.explode(F.array(F.lit(True), F.lit(False))))
     carried = (
-        places.join(state, [*group, BLOCK], "left")
+        join_on(places, state, [*group, BLOCK], "left")
         .withColumn("_carry", F.last("_state", ignorenulls=True).over(before))
-        .select(*group, BLOCK, F.explode("_carry").alias("_r"))
-        .join(spans.select(*keys, BLOCK, SALT).distinct(), [*keys, BLOCK])
-        .select(*group, BLOCK, SALT, F.col(f"_r.{us}").alias(us), F.col(f"_r.{id}").alias(id),
-                *[F.col(f"_r.{v}").alias(v) for v in values],
-                F.lit(True).alias(history), F.lit(False).alias("_target"))
-    )
+        .select(*group, BLOCK, F.explode("_carry").alias("_r")))
+    carried = join_on(carried, spans.select(*keys, BLOCK, SALT).distinct(), [*keys, BLOCK]).select(
+        *group, BLOCK, SALT, F.col(f"_r.{us}").alias(us), F.col(f"_r.{id}").alias(id),
+        *[F.col(f"_r.{v}").alias(v) for v in values], F.lit(True).alias(history), F.lit(False).alias("_target"))
     return cut.unionByName(carried, allowMissingColumns=True)
 
 
@@ -121,8 +119,7 @@ def asof_count(rows: DataFrame, keys: Sequence[str], *, us: str = "us", id: str
         .select(*keys, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     return (
-        cut.withColumn("_within", earlier([*keys, BLOCK, SALT]))
-        .join(starts, [*keys, BLOCK])
+        join_on(cut.withColumn("_within", earlier([*keys, BLOCK, SALT])), starts, [*keys, BLOCK])
         .withColumn(out, F.col("_start") + F.col("_within"))
         .drop("_start", "_within", BLOCK, SALT)
     )

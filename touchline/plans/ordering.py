@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,16 @@ class Blocks:
         return df.withColumn(SALT, F.pmod(F.xxhash64(salt_on), pieces).cast("int"))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches NULL keys, so no row without a key gets lost."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def plan_blocks(df: DataFrame, cols: Sequence[str], *, block_rows: int = BLOCK_ROWS,
                 split_ties: bool = True, seed: int = 11) -> Blocks:
-    """Choose split points for ``cols`` (not null) so that blocks hold about ``block_rows`` rows.
+    """Choose split points for ``cols`` so that blocks hold about ``block_rows`` rows.
 
     With ``split_ties=False`` equal values of ``cols`` stay in one block; a value heavy enough
     to fill several blocks gets a block of its own, to be salted. The last column must then be
@@ -81,7 +89,7 @@ def plan_blocks(df: DataFrame, cols: Sequence[str], *, block_rows: int = BLOCK_R
         return blocks
     wanted = min(MAX_BLOCKS, math.ceil(n / block_rows))
     fraction = min(1.0, wanted * SAMPLES_PER_BLOCK / n)
-    sample = sorted(tuple(r) for r in keys.sample(fraction, seed).collect())
+    sample = sorted(tuple(r) for r in keys.sample(fraction, seed).na.drop().collect())  # NULLs sort into block 0
     if not sample:
         return blocks
     cuts = [sample[len(sample) * i // wanted] for i in range(1, wanted)]
@@ -112,8 +120,7 @@ def with_rank(df: DataFrame, order: Sequence[str], *, by: Sequence[str] = (), ou
         starts = F.broadcast(starts)  # at most MAX_BLOCKS rows
     within = Window.partitionBy(*by, BLOCK).orderBy(*order)
     return (
-        cut.withColumn("_row", F.row_number().over(within))
-        .join(starts, [*by, BLOCK])
+        join_on(cut.withColumn("_row", F.row_number().over(within)), starts, [*by, BLOCK])
         .withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("long"))
         .drop("_start", "_row", BLOCK)
     )
@@ -139,7 +146,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
             F.lit(0.0), F.coalesce(F.max(F.col("_start") + F.col("_high")).over(before), F.lit(0.0))))
         .select(*by, BLOCK, "_start", "_peak")
     )
-    done = local.join(pieces, [*by, BLOCK]).withColumn(out, F.col("_start") + F.col("_sum"))
+    done = join_on(local, pieces, [*by, BLOCK]).withColumn(out, F.col("_start") + F.col("_sum"))
     if peak:
         done = done.withColumn(peak, F.greatest("_peak", F.max(out).over(w)))
     return done.drop("_sum", "_start", "_peak", BLOCK)
