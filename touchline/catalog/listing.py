@@ -10,6 +10,8 @@ from touchline.operators import features as X
 from touchline.operators import joins as J
 from touchline.operators import listing as L
 from touchline.operators import value_bets as V
+from touchline.operators.history import team_rows
+from touchline.operators.models import latest_n
 from touchline.plans.materialize import fresh_path
 from touchline.schema import MATCH_FEATURE_COLUMNS
 from touchline.sources import feature_store as S
@@ -187,17 +189,12 @@ query("J9_teams_in_tournament", "SELECT id, name FROM teams WHERE id IN (SELECT
 query("U1_union_distinct", "SELECT tournament_id, home_team_id AS team_id FROM matches UNION SELECT tournament_id, away_team_id FROM matches")(
     lambda t: J.tournament_team_ids(t.matches))
 query("U2_union_all_perspectives", "SELECT match_id, team_id, is_home FROM sides")(
-    lambda t: __team_rows(t).select("match_id", "team_id", "is_home"))
+    lambda t: team_rows(t.matches).select("match_id", "team_id", "is_home"))
 query("U4_missing_columns", "SELECT 'absent' AS missing, count(*) AS matches FROM matches")(
     lambda t: odds_set(t).agg(F.count("*").alias("matches")).select(
         F.explode(F.array(*[F.lit(c) for c in X.missing_columns(odds_set(t), ["absent", "implied_prob_home"])])).alias("missing"), "matches"))
 
 
-def __team_rows(t):
-    from touchline.operators.history import team_rows
-    return team_rows(t.matches)
-
-
 query("J10_is_cached", f"SELECT id AS match_id, coalesce({DONE}, FALSE) AS cached FROM matches")(lambda t: S.is_cached(ids(t), stored(t), "v1"))
 query("J13_compose_features", f"""SELECT o.match_id, o.implied_prob_home, c.day_of_week, c.month FROM ({ODDS_FEATURES}) o FULL JOIN
     (SELECT id AS match_id, {CALENDAR} FROM matches) c ON c.match_id = o.match_id""")(
@@ -255,12 +252,7 @@ query("L5_jobs_by_task", "SELECT task_id, id FROM (SELECT *, row_number() OVER (
 
 # --- sorts, registry, store upkeep ---------------------------------------------------------
 query("L4_latest_n", f"SELECT id, match_date FROM matches WHERE {DONE} AND {ALL_ODDS} ORDER BY match_date DESC, id DESC LIMIT 1000")(
-    lambda t: latest_finished(t.matches, 1000).select("id", "match_date"))
-
-
-def latest_finished(matches, n):
-    from touchline.operators.models import latest_n
-    return latest_n(matches, n)
+    lambda t: latest_n(t.matches, 1000).select("id", "match_date"))
 
 
 query("L7_seasons_sorted", "SELECT id, name, start_year, end_year FROM seasons WHERE tournament_id = 2")(
