@@ -6,9 +6,9 @@
 3. Prefix filter: two sets that meet the threshold share an n-gram among the first ``n - ceil(t n) + 1`` of each. In text whose
    n-grams are its own this prefix holds nothing shared, and the document ends here.
 4. The order is cut into ``FRAGMENTS`` fragments. Overlaps of a candidate pair are counted in each fragment by itself and summed.
-5. Candidates within a prefix n-gram come in rounds: every document against one centre, then two, four ... per n-gram, leaving
-   out pairs that are already connected; when what is left is few, all pairs of different components. No link between components
-   is lost, and a group of near copies never becomes all its pairs.
+5. Candidates of a prefix n-gram are first compared with one centre each (``STARS`` turns with other centres), so most of a group
+   of near copies joins at a cost in proportion to its size. What lies outside a group's largest component is then compared with
+   the whole group, in blocks of bounded size, so no link between components is lost and no pair list is ever written out.
 
 Result per row: the set's size, the class's component and the smallest id in it. Cases: NULL or empty text and text without words
 have an empty set and link with nothing; with fewer words than ``size`` the whole sequence is the one n-gram. Rows without
@@ -27,7 +27,8 @@ from touchline.llm.graph import components
 from touchline.plans.materialize import materialize
 
 FRAGMENTS = 4
-FEW = 16  # pairs per prefix entry at which the rest is compared at once
+STARS = 2
+OUTLIERS, NODES = 512, 2048  # of a block when the rest is compared
 _PARSED = f"node string, n long, entries array<struct<token:long,pos:int>>, {', '.join(f'f{i} array<long>' for i in range(FRAGMENTS))}"
 
 
@@ -127,7 +128,7 @@ def _parse(docs: DataFrame, size: int, percent: int) -> DataFrame:
         struct = pa.StructArray.from_arrays([pa.array(values[entry]), pa.array(pos[entry].astype(np.int32))], ["token", "pos"])
         out = {"node": table.column("node"), "n": pa.array(n, pa.int64()),
                "entries": pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[entry], np.arange(len(table) + 1)), pa.int32()), struct)}
-        part = (found >> np.uint64(62)).astype(int) * FRAGMENTS // 4
+        part = (found >> np.uint64(62)).astype(int)  # four fragments
         for i in range(FRAGMENTS):
             take = candidate[rows] & (part == i)
             out[f"f{i}"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[take], np.arange(len(table) + 1)), pa.int32()), pa.array(values[take]))
@@ -147,40 +148,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
+def _tagged(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix entries of n-grams that still lie in several components, with the components."""
+    if labels is None:
+        tagged = entries.withColumn("comp", F.col("node"))
+    else:
+        tagged = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("head")).where("lo <> hi")
+    return materialize(tagged.join(groups.select("token", "head"), "token"), "open")
+
+
+def _star(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of every node with its n-gram's centre of this turn, unless they are connected or of too different size."""
+    centre = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp")).alias("c"))
+    both = rows.join(materialize(centre.select("token", F.col("c.node").alias("o_node"), F.col("c.n").alias("o_n"), F.col("c.comp").alias("o_comp")), "centres"), "token")
+    return both.where("comp <> o_comp").select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), "n", "o_n").distinct()
+
+
+def _rest(rows: DataFrame, parsed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that are left, all pairs considered.
+
+    Nodes that share open n-grams form a cluster. Those outside a cluster's largest component are compared with all its nodes, in
+    blocks of bounded size; a task returns one link for each node and component at most.
+    """
+    clusters = components(rows.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    nodes = rows.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
+    parts = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"))
+    parts = parts.select("cluster", F.ceil(F.col("m") / NODES).alias("n_right"), F.ceil((F.col("m") - F.col("main.m")) / OUTLIERS).alias("n_left"), F.col("main.comp").alias("main"))
+    held = nodes.join(materialize(parts, "clusters"), "cluster").join(parsed.select("node", "n", *[f"f{i}" for i in range(FRAGMENTS)]), "node")
+    held = materialize(held.withColumn("left", F.pmod(F.xxhash64("node"), "n_left").cast("int")).withColumn("right", F.pmod(F.xxhash64("node"), "n_right").cast("int")), "nodes")
+    keep = ["cluster", "left", "right", "node", "comp", "n", *[f"f{i}" for i in range(FRAGMENTS)]]
+    some = held.where("comp <> main").withColumn("right", F.explode(F.sequence(F.lit(0), (F.col("n_right") - 1).cast("int")))).select(*keep)
+    every = held.withColumn("left", F.explode(F.sequence(F.lit(0), (F.col("n_left") - 1).cast("int")))).select(*keep)
+
+    def compare(key, one, other):
+        n, nodes_, comps = other.column("n").to_numpy(), other.column("node").to_pylist(), np.array(other.column("comp").to_pylist(), object)
+        names, sizes, own = one.column("node").to_pylist(), one.column("n").to_numpy(), one.column("comp").to_pylist()
+        both = np.zeros((len(names), len(nodes_)), np.int64)
+        for i in range(FRAGMENTS if len(names) and len(nodes_) else 0):  # partial overlaps by fragment, summed
+            mine, theirs = one.column(f"f{i}").combine_chunks(), other.column(f"f{i}").combine_chunks()
+            values, at = np.unique(np.asarray(mine.flatten()), return_inverse=True)
+            if not len(values):
+                continue
+            tokens = np.asarray(theirs.flatten())
+            place = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
+            known = values[place] == tokens
+            of = np.repeat(np.arange(len(nodes_)), np.diff(np.asarray(theirs.offsets)))[known]
+            place, edges = place[known], np.asarray(mine.offsets) - np.asarray(mine.offsets)[0]
+            for row in range(len(names)):
+                has = np.zeros(len(values), bool)
+                has[at[edges[row] : edges[row + 1]]] = True
+                both[row] += np.bincount(of[has[place]], minlength=len(nodes_))
+        a, b = [], []
+        for row, name in enumerate(names):
+            linked = np.flatnonzero((100 * both[row] >= percent * (sizes[row] + n - both[row])) & (comps != own[row]))
+            for c in {comps[j]: j for j in linked.tolist()}.values():
+                a.append(name)
+                b.append(nodes_[c])
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    by = ["cluster", "left", "right"]
+    return some.groupBy(*by).cogroup(every.groupBy(*by)).applyInArrow(compare, "a string, b string")
+
+
 def _links(parsed: DataFrame, percent: int) -> DataFrame | None:
     """Components (node, comp) over all links between different texts; None where there is no candidate."""
-    entries = materialize(parsed.select("node", "n", F.explode("entries").alias("e")).select("node", "n", "e.token", "e.pos"), "entries")
+    entries = materialize(parsed.select("node", "n", F.explode("entries").alias("e")).select("node", "n", "e.token"), "entries")
     frag = F.explode(F.array(*[F.struct(F.lit(i).alias("frag"), F.col(f"f{i}").alias("tokens")) for i in range(FRAGMENTS)]))
     sets = parsed.where(F.size("entries") > 0).select("node", "n", frag.alias("s")).select("node", "n", "s.frag", "s.tokens")
-    links, labels, tried = None, None, 0
-    while True:
-        if labels is None:
-            tagged = entries.withColumn("comp", F.col("node"))
-        else:
-            tagged = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        rest = materialize(tagged.join(groups.select("token", "m"), "token"), "rest")
-        cost = rest.agg(F.sum("m").alias("pairs"), F.count("*").alias("rows")).first()
-        if not cost["rows"]:
+    links, labels = None, None
+    for turn in range(STARS + 1):
+        rows = _tagged(entries, labels)
+        if rows.isEmpty():
             return labels
-        last = cost["pairs"] <= FEW * cost["rows"]
-        if last:
-            others = rest
+        if turn < STARS:
+            pairs = _star(rows, turn).where(f"100 * least(n, o_n) >= {percent} * greatest(n, o_n)").select("a", "b")
+            new = materialize(_verified(pairs, sets, percent), "links")
         else:
-            key = F.pmod(F.xxhash64("node", F.lit(tried)), F.lit(1 << tried))
-            others = rest.groupBy("token", key.alias("slot")).agg(F.min(F.struct("node", "n", "pos", "comp")).alias("c")).select("token", "c.*")
-        others = others.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "comp")])
-        need = F.ceil(percent * (F.col("n") + F.col("o_n")) / (100 + percent))
-        pairs = rest.join(others, "token").where("comp <> o_comp").where(f"100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
-        if last:  # a pair's first common n-gram must leave room for the rest; centres may meet at later ones
-            pairs = pairs.where(F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= need)
-        pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
-        new = materialize(_verified(pairs, sets, percent), "links")
+            new = materialize(_rest(rows, parsed, percent), "links")
         links = new if links is None else links.union(new)
         labels = components(links)
-        if last:
-            return labels
-        tried += 1
+    return labels
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
