@@ -27,7 +27,7 @@ from touchline.llm.graph import components
 from touchline.plans.materialize import materialize
 
 FRAGMENTS = 4
-STARS = 2
+STARS = 1
 OUTLIERS, NODES = 512, 2048  # of a block when the rest is compared
 _PARSED = f"node string, n long, entries array<struct<token:long,pos:int>>, {', '.join(f'f{i} array<long>' for i in range(FRAGMENTS))}"
 
