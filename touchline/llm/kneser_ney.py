@@ -34,6 +34,7 @@ SYMBOLS = 64
 ORDER = 4
 QUANTILE = 0.99
 SLACK = 1.15
+LANGUAGES = 10_000
 _START, _OTHER, _LETTERS, _CAPITAL, _DIGIT, _SPACE, _LINE, _BEYOND, _MARKS = 0, 1, 2, 28, 29, 30, 31, 32, 33
 _SKIP = 255
 
@@ -167,12 +168,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER):
-    """The perplexity function of a model of the trusted documents' whole texts; None where there are none."""
+    """The perplexity function of a model of the trusted documents' whole texts."""
     ids = trusted_ids(labels)
-    trusted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t_id"), "left_semi").where("text <> ''")
-    model = train(trusted, order)
-    orders = scorer(docs.sparkSession, model)
-    return orders
+    trusted = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("t_id"), "left_semi").where("text <> ''")
+    return scorer(docs.sparkSession, train(trusted, order))
 
 
 def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, float | None]:
@@ -180,7 +179,9 @@ def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     known = scored.join(trusted_ids(labels), F.col("doc_id") == F.col("t_id"), "left_semi").where("perplexity is not null")
     cut = (F.percentile_approx("perplexity", quantile, 100_000) * slack).alias("l_limit")
     every = known.agg(cut).first()["l_limit"]
-    return known.where("lang is not null").groupBy(F.col("lang").alias("l_lang")).agg(cut), every
+    by_lang = materialize(known.where("lang is not null").groupBy(F.col("lang").alias("l_lang")).agg(cut), "limits")
+    # A row of two values for each language; sent whole only where their number is known to be small.
+    return (F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang), every
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame:
