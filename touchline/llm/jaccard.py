@@ -258,9 +258,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linked = link(docs, size, percent)
     empty = linked.where("component_key is null").select("doc_id", "text_key").distinct()
     best = linked.where("component_key is not null").groupBy("component_key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), "doc_id", "text_key")).alias("w"))
-    keys = empty.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), F.lit(False).alias("k_one"))
+    prefix = "k_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    k_id, k_text, k_one = prefix + "id", prefix + "text", prefix + "one"
+    keys = empty.select(F.col("doc_id").alias(k_id), F.col("text_key").alias(k_text), F.lit(False).alias(k_one))
     keys = keys.union(best.select("w.doc_id", "w.text_key", F.lit(True)))
     text_key = F.md5(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(keys, docs["doc_id"].eqNullSafe(keys["k_id"]) & (text_key == keys["k_text"]))
-    one = joined.where("k_one").dropDuplicates(["k_id", "k_text"])
-    return joined.where("not k_one").unionByName(one).select(*docs.columns)
+    joined = docs.join(keys, docs["doc_id"].eqNullSafe(keys[k_id]) & (text_key == keys[k_text]))
+    one = joined.where(F.col(k_one)).dropDuplicates([k_id, k_text])
+    return joined.where(~F.col(k_one)).unionByName(one).select(*docs.columns)

@@ -35,6 +35,7 @@ ORDER = 4
 QUANTILE = 0.99
 SLACK = 1.15
 LANGUAGES = 10_000
+LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
 _START, _OTHER, _LETTERS, _CAPITAL, _DIGIT, _SPACE, _LINE, _BEYOND, _MARKS = 0, 1, 2, 28, 29, 30, 31, 32, 33
 _SKIP = 255
 
@@ -92,7 +93,7 @@ def _discounts(counts: DataFrame) -> list[float]:
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     raw = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return [min(max(d, 0.0), float(i)) for i, d in enumerate(raw, 1)]
+    return [min(max(d, LEAST), float(i)) for i, d in enumerate(raw, 1)]
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:

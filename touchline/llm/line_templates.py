@@ -69,8 +69,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     return met.groupBy("k_text", "k_doc").agg(F.collect_set("hash").alias("gone"))
 
 
-def mark(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``docs`` with the columns ``t_lines`` (all), ``t_dropped`` (both counts) and ``t_text``, the lines that stay."""
+def mark(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, prefix: str = "t_") -> DataFrame:
+    """``docs`` with the columns ``t_lines`` (all), ``t_dropped`` (both counts) and ``t_text``, the lines that stay; ``prefix`` is theirs."""
     gone = recurring_lines(docs.select("doc_id", "text"), min_docs, min_tokens)
     key = _key(docs["doc_id"], docs["text"])
     joined = docs.join(gone, (key[0] == gone["k_text"]) & (key[1] == gone["k_doc"]), "left")
@@ -79,12 +79,18 @@ def mark(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS
     some = gone["gone"].isNotNull()
     text = F.when(some, F.array_join(kept, "\n")).otherwise(docs["text"])
     n_lines = F.when(docs["text"] == "", 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
-    return joined.select(*[docs[c] for c in docs.columns], n_lines.cast("long").alias("t_lines"),
-                         F.when(some, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("t_dropped"), text.alias("t_text"))
+    return joined.select(*[docs[c] for c in docs.columns], n_lines.cast("long").alias(f"{prefix}lines"),
+                         F.when(some, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias(f"{prefix}dropped"), text.alias(f"{prefix}text"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines cut from ``text`` (and ``n_chars`` counted anew); documents with no line left go."""
-    marked = mark(docs, min_docs, min_tokens).where("t_dropped = 0 or trim(t_text) <> ''")
-    new = {"text": F.col("t_text"), "n_chars": F.when(F.col("t_dropped") > 0, F.length("t_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    prefix = "t_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    text, dropped = F.col(f"{prefix}text"), F.col(f"{prefix}dropped")
+    marked = mark(docs, min_docs, min_tokens, prefix).where((dropped == 0) | (F.trim(text) != ""))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(dropped > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
     return marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
