@@ -1,21 +1,25 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and a limit on perplexity for each language.
 
-The model's symbols are characters of an alphabet of ``SYMBOLS`` signs: a to z, one sign for capitals, one for digits, each ASCII
-mark, the space, the line end, one sign for every character beyond ASCII, and the sign that stands before a text. n-grams of up to
-``ORDER`` signs are counted over all trusted documents: tasks send their own counts, Spark sums them by n-gram, continuation
-counts, count-of-count discounts and history totals come from grouping and joining the count tables, sharded by history.
-What scoring needs is at most ``SYMBOLS ** ORDER`` numbers whatever the corpus; the counts are folded into it as sparse tables and
-broadcast. Every document is scored whole, without moving its text.
-
-A document is kept if its perplexity is at most the ``quantile`` of trusted documents of its language times ``slack``; a language
-without trusted documents, or NULL, has the limit of all of them together.
-
-Why characters: joining each document's n-grams with count tables moves every n-gram of the corpus (over five bytes for each byte
-of compressed input even as packed hashes, where this operator's disk budget is 1.5). A bounded alphabet keeps the count tables
-and their joins, and bounds what scoring reads.
-
-Cases: NULL and empty texts have no perplexity and are kept. Without trusted documents everything is kept. Repeated label rows
-count once; a document with labels that contradict each other is not trusted. Other columns stay as they are.
+The model is one of words (A-Z lower-cased, cut at white space), ``ORDER`` long, over all trusted documents, so it grows with them.
+Each text stands between start signs and an end sign. Counts, continuation counts, count-of-count discounts and history totals
+are groupings and joins of count tables. Words are 64-bit hashes.
+
+In back-off form the logarithm of a text's probability is a sum of one weight for each n-gram of each length in it::
+
+    weight(g) = ln P(g) - ln gamma(history of g) - ln P(g without its first word)   where g was seen, else 0
+              + ln gamma(g)                                                          where g was seen as a history, else 0
+
+so scoring is a join of the documents' n-grams with the table of weights, sharded by hash: a block of texts asks for the weights of
+its distinct n-grams (see :mod:`blocks`), a shard answers from its part of the table, and the block adds them up. No table of
+the model goes to the driver or to every task.
+
+Limits come from trusted texts that were not counted (one in ``HELD`` by hash), as counted ones look too good. A short text says
+little, so its mean loss counts with ``PRIOR`` words of its language's mean. A document is kept if the resulting score is at most the
+``quantile`` of held-out texts of its language times ``slack``; a language without them, or NULL, has the limit of all together.
+
+Cases: texts that are NULL or without words have no perplexity and are kept. Without trusted documents, or without held-out ones,
+everything is kept. Equal texts count once, and are trusted if a document of theirs is. Repeated label rows count once; a document
+with labels that contradict each other is not trusted. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,62 +31,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm import text
+from touchline.llm import blocks, text
 from touchline.plans.materialize import materialize
 
-SYMBOLS = 64
-ORDER = 4
+ORDER = 3
+HELD = 3
+PRIOR = 50
 QUANTILE = 0.99
-SLACK = 1.15
+SLACK = 1.5
 LANGUAGES = 10_000
 LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
-_START, _OTHER, _LETTERS, _CAPITAL, _DIGIT, _SPACE, _LINE, _BEYOND, _MARKS = 0, 1, 2, 28, 29, 30, 31, 32, 33
-_SKIP = 255
-
-#: The sign of each byte; bytes that continue a character are skipped. The last ASCII marks share one sign.
-SIGNS = np.full(256, _OTHER, np.uint8)
-SIGNS[0x61:0x7B] = np.arange(_LETTERS, _LETTERS + 26)
-SIGNS[0x41:0x5B] = _CAPITAL
-SIGNS[0x30:0x3A] = _DIGIT
-_marks = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
-SIGNS[_marks] = np.minimum(_MARKS + np.arange(len(_marks)), SYMBOLS - 1)
-SIGNS[[0x20, 0x09]] = _SPACE
-SIGNS[[0x0A, 0x0D]] = _LINE
-SIGNS[0x80:0xC0] = _SKIP
-SIGNS[0xC0:] = _BEYOND
-
-
-def grams(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of each row, rows padded with start signs, and where each row's begin."""
-    data, offsets = text.buffers(column)
-    signs = SIGNS[data]
-    keep = signs != _SKIP
-    count = np.concatenate([[0], np.cumsum(keep)])
-    offsets = count[offsets]
-    rows = len(offsets) - 1
-    at = np.arange(offsets[-1]) + (order - 1) * (np.repeat(np.arange(rows), np.diff(offsets)) + 1)
-    padded = np.full(offsets[-1] + (order - 1) * rows, _START, np.uint8)
-    padded[at] = signs[keep]
-    code = np.zeros(len(at), np.int64)
-    for k in range(order - 1, -1, -1):
-        code = code * SYMBOLS + padded[at - k]
-    return code, offsets
-
-
-def count_grams(trusted: DataFrame, order: int) -> DataFrame:
-    """(code, n): how often each n-gram of full order occurs in the column ``text``."""
-
-    def count(batches):
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for lo, hi in text.pieces(batch.column(0)):
-                values, n = np.unique(grams(batch.column(0)[lo:hi], order)[0], return_counts=True)
-                both = np.concatenate([total[0], values])
-                codes, where = np.unique(both, return_inverse=True)
-                total = codes, np.bincount(where, np.concatenate([total[1], n]), len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["code", "n"])
+START, END = 1, 2  # stand for words
+_U = np.uint64
+
 
-    return trusted.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _fold(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of n-grams whose words are given column by column."""
+    code = words[0]
+    for k, w in enumerate(words[1:], 2):
+        code = text.mix(code * _U(31) + w + _U(k))
+    return code
+
+
+def _padded(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rows' words on end, each row after ``order - 1`` start signs and before an end sign; the rows' begins; their numbers of words."""
+    data, offsets = text.buffers(column)
+    data = text.LOWER[data]
+    starts, ends, first = text.words(data, offsets, text.NOT_SPACE)
+    n = np.diff(first)
+    begins = np.concatenate([[0], np.cumsum(n + order)])
+    out = np.full(begins[-1], START, _U)
+    out[np.arange(len(starts)) + order - 1 + np.repeat(begins[:-1] - first[:-1], n)] = text.word_hashes(data, starts, ends)
+    out[begins[1:] - 1] = END
+    return out, begins, n
+
+
+def _places(begins: np.ndarray, before: int) -> np.ndarray:
+    """Places of all rows from the ``before``-th of each on."""
+    n = np.diff(begins) - before
+    return np.arange(n.sum()) + np.repeat(begins[:-1] + before - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
+def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of every length that end at the last start sign or later, their rows, and the rows' numbers of words."""
+    words, begins, n = _padded(column, order)
+    codes, rows = [], []
+    for k in range(1, order + 1):
+        at = _places(begins, max(order - 2, k - 1))
+        codes.append(_fold([words[at - k + 1 + i] for i in range(k)]))
+        rows.append(np.searchsorted(begins, at, "right") - 1)
+    return np.concatenate(codes), np.concatenate(rows), n
+
+
+def _once(batches):
+    """Each text once for a scan task."""
+    seen: set[str] = set()
+    for batch in batches:
+        take = []
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                take.append(i)
+        for lo in range(0, len(take), 1024):
+            yield batch.take(pa.array(take[lo : lo + 1024], pa.int64()))
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    keys = table.column("key").to_pylist()
+    return table.take(pa.array(sorted({key: i for i, key in enumerate(keys)}.values()), pa.int64()))
+
+
+def _names(k: int) -> list[str]:
+    return [f"w{i}" for i in range(1, k + 1)]
+
+
+def _block(key: Column | str, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+
+
+def count_grams(dealt: DataFrame, counted: DataFrame, order: int) -> DataFrame:
+    """(w1, .., n): how often each n-gram of full order occurs in the texts whose keys are in ``counted`` (block, key)."""
+
+    def count(table, keys):
+        chosen = set(keys.column("key").to_pylist())
+        table = _distinct(table)
+        table = table.filter(pa.array([key in chosen for key in table.column("key").to_pylist()], pa.bool_()))
+        words, begins, _ = _padded(table.column("text"), order)
+        at = _places(begins, order - 1)
+        columns = [words[at - order + 1 + i].view(np.int64) for i in range(order)]
+        by = np.lexsort(columns)
+        columns = [c[by] for c in columns]
+        new = np.zeros(len(by), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        return pa.table([pa.array(c[first]) for c in columns] + [pa.array(np.diff(np.append(first, len(by))).astype(np.int64))], [*_names(order), "n"])
+
+    rows = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(count, ", ".join(f"{c} long" for c in [*_names(order), "n"]))
+    return rows.groupBy(*_names(order)).agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -96,70 +143,47 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, LEAST), float(i)) for i, d in enumerate(raw, 1)]
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """From order 1 to ``order``: (code, alpha) discounted shares of seen n-grams, and (history, gamma) what is left for the lower order."""
-    counts, tables = materialize(count_grams(trusted, order), "grams"), []
-    for k in range(order, 0, -1):
-        d = _discounts(counts)
-        history = F.expr(f"code div {SYMBOLS}")
-        discount = reduce(lambda rest, i: F.when(F.col("n") == i, F.lit(d[i - 1])).otherwise(rest), (2, 1), F.lit(d[2]))
-        rows = counts.withColumn("history", history).withColumn("d", discount)
-        totals = rows.groupBy("history").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        joined = rows.join(totals, "history")
-        alpha = joined.select("code", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"))
-        tables.append((alpha, totals.select("history", (F.col("left") / F.col("total")).alias("gamma"))))
-        if k > 1:  # continuation counts: distinct signs before the shorter n-gram
-            counts = materialize(counts.select(F.expr(f"code % {SYMBOLS ** (k - 1)}").alias("code")).groupBy("code").agg(F.count("*").alias("n")), "grams")
-    return tables[::-1]
-
-
-def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    out = df.toArrow()
-    return out.column(0).to_numpy().astype(np.int64), out.column(1).to_numpy().astype(np.float64)
-
-
-def log_table(model: list[tuple[tuple, tuple]]) -> np.ndarray:
-    """Logarithms of the interpolated probabilities of every n-gram of full order."""
-    p = np.full(1, 1 / SYMBOLS)
-    for k, ((codes, alpha), (histories, gamma)) in enumerate(model, 1):
-        left = np.ones(SYMBOLS ** (k - 1), np.float32)
-        left[histories] = gamma
-        lower = np.broadcast_to(p, (SYMBOLS,)) if k == 1 else p
-        # n-gram (sign, rest) falls back to rest; its history is all but the last sign.
-        p = (left.reshape(-1, 1) * np.broadcast_to(lower.reshape(1, -1), (SYMBOLS if k > 1 else 1, len(lower))).reshape(len(left), SYMBOLS)).ravel().astype(np.float32)
-        p[codes] += alpha.astype(np.float32)
-    return np.log(p, out=p)
-
-
-_TABLES: dict = {}
-
-
-def _table(handle) -> np.ndarray:
-    model = handle.value
-    if _TABLES.get("key") != model["key"]:
-        _TABLES.update(key=model["key"], table=log_table(model["orders"]))
-    return _TABLES["table"]
-
-
-def scorer(spark, model: list[tuple[DataFrame, DataFrame]]):
-    """A function from a text column to its perplexity by the model."""
-    orders = [(_columns(a), _columns(g)) for a, g in model]
-    order = len(orders)
-    handle = spark.sparkContext.broadcast({"key": hash(tuple(a[1].tobytes() + g[1].tobytes() for a, g in orders)), "orders": orders})
-
-    @F.arrow_udf("double")
-    def perplexity(values: pa.Array) -> pa.Array:
-        table, out = _table(handle), []
-        for lo, hi in text.pieces(values):
-            code, offsets = grams(values[lo:hi], order)
-            total = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
-            n = np.diff(offsets)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out.append(np.exp(-(total[offsets[1:]] - total[offsets[:-1]]) / n))
-        flat = np.concatenate(out) if out else np.empty(0)
-        return pa.array(flat, mask=np.isnan(flat))
-
-    return perplexity
+def train(counts: DataFrame, order: int) -> tuple[list[DataFrame], float]:
+    """Tables (w1, .., weight) of n-grams and of histories, and the logarithm of the probability of a word never seen."""
+    levels = {order: materialize(counts, "grams")}
+    for k in range(order - 1, 0, -1):  # continuation counts: distinct words before the shorter n-gram
+        shorter = levels[k + 1].select(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)])
+        levels[k] = materialize(shorter.groupBy(*_names(k)).agg(F.count("*").alias("n")), "grams")
+
+    def discounted(k: int) -> DataFrame:
+        d = _discounts(levels[k])
+        return levels[k].withColumn("d", reduce(lambda rest, i: F.when(F.col("n") == i, F.lit(d[i - 1])).otherwise(rest), (2, 1), F.lit(d[2])))
+
+    rows = discounted(1)
+    whole = rows.agg(F.count("*").alias("words"), F.sum("n").alias("total"), F.sum("d").alias("left")).first()
+    if not whole["words"]:
+        return [], 0.0
+    unseen = np.log(whole["left"] / whole["total"] / (whole["words"] + 1))
+    p = rows.select("w1", ((F.col("n") - F.col("d")) / whole["total"] + float(np.exp(unseen))).alias("p"))
+    weights = [p.select("w1", (F.ln("p") - float(unseen)).alias("weight"))]
+    for k in range(2, order + 1):
+        rows, history = discounted(k), _names(k - 1)
+        totals = materialize(rows.groupBy(*history).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), "histories")
+        lower = p.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, k)], F.col("p").alias("shorter"))
+        joined = rows.join(totals, history).join(lower, _names(k)[1:])
+        part = F.col("gamma") * F.col("shorter")
+        share = (F.col("n") - F.col("d")) / F.col("total") + part
+        p = materialize(joined.select(*_names(k), share.alias("p"), F.ln(share / part).alias("weight")), "seen")
+        weights += [p.select(*_names(k), "weight"), totals.select(*history, F.ln("gamma").alias("weight"))]
+    return weights, float(unseen)
+
+
+def _coded(weights: list[DataFrame], shards: int) -> DataFrame:
+    """(shard, code, weight) of the tables of n-grams and histories."""
+    shift = 64 - (shards.bit_length() - 1)
+
+    def code(batches):
+        for batch in batches:
+            codes = _fold([c.to_numpy().view(_U) for c in batch.columns[:-1]])
+            shard = (codes >> _U(shift)).astype(np.int32) if shards > 1 else np.zeros(len(codes), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(codes.view(np.int64)), batch.columns[-1]], ["shard", "code", "weight"])
+
+    return reduce(DataFrame.union, [w.mapInArrow(code, "shard int, code long, weight double") for w in weights])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -168,41 +192,100 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("t_id")).agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("t_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER):
-    """The perplexity function of a model of the trusted documents' whole texts."""
-    ids = trusted_ids(labels)
-    trusted = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("t_id"), "left_semi").where("text <> ''")
-    return scorer(docs.sparkSession, train(trusted, order))
-
-
-def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, float | None]:
-    """(l_lang, l_limit) of each language with trusted documents, and the limit of all; ``scored`` has doc_id, lang, perplexity."""
-    known = scored.join(trusted_ids(labels), F.col("doc_id") == F.col("t_id"), "left_semi").where("perplexity is not null")
-    cut = (F.percentile_approx("perplexity", quantile, 100_000) * slack).alias("l_limit")
-    every = known.agg(cut).first()["l_limit"]
-    by_lang = materialize(known.where("lang is not null").groupBy(F.col("lang").alias("l_lang")).agg(cut), "limits")
-    # A row of two values for each language; sent whole only where their number is known to be small.
-    return (F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang), every
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, held): MD5 of each trusted text, and whether it is held out for the limits."""
+    rows = docs.where("text is not null").select("doc_id", F.md5("text").alias("key"))
+    keys = rows.join(trusted_ids(labels), F.col("doc_id") == F.col("t_id"), "left_semi").select("key").distinct()
+    return keys.withColumn("held", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(HELD)) == 0)
+
+
+def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, loss, n) per distinct text with words: minus the logarithm of its probability, and the number of its words and its end."""
+    n_blocks, shards = blocks.sizes(docs, "text")
+    once = docs.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text string")
+    dealt = once.withColumn("block", _block("key", n_blocks))
+    counted = trusted.where("not held").select(_block("key", n_blocks).alias("block"), "key")
+    weights, unseen = train(count_grams(dealt, counted, order), order)
+    if not weights:
+        return docs.sparkSession.createDataFrame([], "key string, loss double, n long")
+
+    def ask(key, table):
+        codes, _, _ = _grams(_distinct(table).column("text"), order)
+        return blocks.questions(key[0].as_py(), np.unique(codes), shards)
+
+    def answer(key, questions, model):
+        if not questions.num_rows:
+            return blocks.answers(key[0].as_py(), [])
+        codes, at = np.unique(model.column("code").to_numpy().view(_U), return_inverse=True)
+        weight = np.append(np.bincount(at, model.column("weight").to_numpy(), len(codes)), 0).astype("<f4")
+        out = []
+        for block, values, _ in blocks.asked(questions, shards):
+            place = np.searchsorted(codes, values)
+            known = np.append(codes, _U(0))[place] == values
+            out.append((block, np.where(known, weight[place], np.float32(0)).tobytes()))
+        return blocks.answers(key[0].as_py(), out)
+
+    def finish(key, table, reply):
+        table = _distinct(table)
+        codes, rows, n = _grams(table.column("text"), order)
+        _, at = np.unique(codes, return_inverse=True)
+        weight = np.frombuffer(b"".join(blocks.replies(reply)), "<f4").astype(np.float64)
+        total = np.bincount(rows, weight[at], len(n)) + (n + 1) * unseen
+        has = n > 0
+        return pa.table({"key": table.column("key").filter(pa.array(has)), "loss": pa.array(-total[has]), "n": pa.array((n + 1)[has].astype(np.int64))})
+
+    asked = dealt.groupBy("block").applyInArrow(ask, blocks.QUESTION)
+    answered = asked.groupBy("shard").cogroup(_coded(weights, shards).groupBy("shard")).applyInArrow(answer, blocks.ANSWER)
+    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, "key string, loss double, n long")
+
+
+def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, dict]:
+    """(l_lang, l_mean, l_limit) of each language with held-out texts, and the same of all; ``scored`` has lang, loss, n and held."""
+    known = scored.where("held and loss is not null")
+    mean = (F.sum("loss") / F.sum("n")).alias("l_mean")
+    cut = (F.percentile_approx(_score(F.col("l_mean")), quantile, 100_000) * slack).alias("l_limit")
+    overall = known.agg(mean).first()["l_mean"]
+    every = {"mean": overall, "limit": known.withColumn("l_mean", F.lit(overall).cast("double")).agg(cut).first()["l_limit"]}
+    means = known.where("lang is not null").groupBy(F.col("lang").alias("l_lang")).agg(mean)
+    # A row of a few values for each language; sent whole only where their number is known to be small.
+    means = _sent(materialize(means, "means"))
+    by_lang = known.join(means, F.col("lang") == F.col("l_lang")).groupBy("l_lang").agg(F.first("l_mean").alias("l_mean"), cut)
+    return _sent(materialize(by_lang, "limits")), every
+
+
+def _sent(by_lang: DataFrame) -> DataFrame:
+    return F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang
+
+
+def _score(mean: Column) -> Column:
+    """Perplexity with ``PRIOR`` words of the language's mean loss added."""
+    return F.exp((F.col("loss") + PRIOR * mean) / (F.col("n") + PRIOR))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, order: int) -> DataFrame:
+    trusted = materialize(trusted_texts(docs, labels), "trusted")
+    scores = materialize(score(docs, trusted, order), "scores")
+    rows = docs.select("doc_id", "lang", F.md5("text").alias("key"))
+    scored = materialize(rows.join(scores.join(trusted.where("held"), "key", "left").hint("merge"), "key", "left"), "judged")
+    by_lang, every = limits(scored, quantile, slack)
+    out = scored.join(by_lang, F.col("lang") == F.col("l_lang"), "left")
+    out = out.withColumn("mean", F.coalesce("l_mean", F.lit(every["mean"]).cast("double")))
+    out = out.withColumn("limit", F.coalesce("l_limit", F.lit(every["limit"]).cast("double"))).withColumn("score", _score(F.col("mean")))
+    return out.withColumn("perplexity", F.exp(F.col("loss") / F.col("n"))).withColumn("keep", _kept(F.col("score"), F.col("limit")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, perplexity, limit, keep) for each row of ``docs`` (doc_id, text, lang)."""
-    perplexity = fit(docs, labels, order)
-    scored = materialize(docs.select("doc_id", "lang", perplexity("text").alias("perplexity")), "scores")
-    by_lang, every = limits(scored, labels, quantile, slack)
-    out = scored.join(by_lang, F.col("lang") == F.col("l_lang"), "left").withColumn("limit", F.coalesce("l_limit", F.lit(every).cast("double")))
-    return out.select("doc_id", "lang", "perplexity", "limit", _kept(F.col("perplexity"), F.col("limit")).alias("keep"))
+    """(doc_id, lang, perplexity, score, limit, keep) for each row of ``docs`` (doc_id, text, lang)."""
+    return _judged(docs, labels, quantile, slack, order).select("doc_id", "lang", "perplexity", "score", "limit", "keep")
 
 
-def _kept(perplexity: Column, limit: Column) -> Column:
-    return perplexity.isNull() | limit.isNull() | (perplexity <= limit)
+def _kept(value: Column, limit: Column) -> Column:
+    return value.isNull() | limit.isNull() | (value <= limit)
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns and order of columns stay."""
-    perplexity = fit(docs, labels, order)
-    scored = materialize(docs.select("doc_id", "lang", perplexity("text").alias("perplexity")), "scores")
-    by_lang, every = limits(scored, labels, quantile, slack)
-    rows = docs.join(by_lang, docs["lang"] == by_lang["l_lang"], "left")
-    limit = F.coalesce(by_lang["l_limit"], F.lit(every).cast("double"))
-    return rows.where(_kept(perplexity(docs["text"]), limit)).select(*[docs[c] for c in docs.columns])
+    poor = _judged(docs, labels, quantile, slack, order).where("not keep").select(F.col("key").alias("p_key"), F.col("lang").alias("p_lang")).distinct()
+    poor = materialize(poor, "poor")
+    same = (F.md5(docs["text"]) == poor["p_key"]) & docs["lang"].eqNullSafe(poor["p_lang"])
+    return docs.join(poor.hint("merge"), same, "left_anti")
