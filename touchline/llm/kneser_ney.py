@@ -4,14 +4,9 @@ The model is one of words (A-Z lower-cased, cut at white space), ``ORDER`` long,
 Each text stands between start signs and an end sign. Counts, continuation counts, count-of-count discounts and history totals
 are groupings and joins of count tables. Words are 64-bit hashes.
 
-In back-off form the logarithm of a text's probability is a sum of one weight for each n-gram of each length in it::
-
-    weight(g) = ln P(g) - ln gamma(history of g) - ln P(g without its first word)   where g was seen, else 0
-              + ln gamma(g)                                                          where g was seen as a history, else 0
-
-so scoring is a join of the documents' n-grams with the table of weights, sharded by hash: a block of texts asks for the weights of
-its distinct n-grams (see :mod:`blocks`), a shard answers from its part of the table, and the block adds them up. No table of
-the model goes to the driver or to every task.
+Scoring is a join of the documents' n-grams with the count tables, sharded by hash: a block of texts asks for its distinct n-grams
+of every length (see :mod:`blocks`), a shard answers with their counts and, as histories, their totals and what discounts leave over,
+and the block interpolates. No table of the model goes to the driver or to every task, and counts meet histories only there.
 
 Limits come from trusted texts that were not counted (one in ``HELD`` by hash), as counted ones look too good. A short text says
 little, so its mean loss counts with ``PRIOR`` words of its language's mean. A document is kept if the resulting score is at most the
@@ -24,6 +19,7 @@ with labels that contradict each other is not trusted. Other columns stay as the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -42,6 +38,7 @@ SLACK = 1.5
 LANGUAGES = 10_000
 LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
 START, END = 1, 2  # stand for words
+_SUMS = ["n", "total", "left"]
 _U = np.uint64
 
 
@@ -72,15 +69,11 @@ def _places(begins: np.ndarray, before: int) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(begins[:-1] + before - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
 
 
-def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of every length that end at the last start sign or later, their rows, and the rows' numbers of words."""
+def _grams(column: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams of each length that end at the last start sign (not those of full order) or later; the rows' numbers of words."""
     words, begins, n = _padded(column, order)
-    codes, rows = [], []
-    for k in range(1, order + 1):
-        at = _places(begins, max(order - 2, k - 1))
-        codes.append(_fold([words[at - k + 1 + i] for i in range(k)]))
-        rows.append(np.searchsorted(begins, at, "right") - 1)
-    return np.concatenate(codes), np.concatenate(rows), n
+    ends = [_places(begins, max(order - 2, k - 1)) for k in range(1, order + 1)]
+    return [_fold([words[at - k + 1 + i] for i in range(k)]) for k, at in enumerate(ends, 1)], n
 
 
 def _once(batches):
@@ -132,58 +125,62 @@ def count_grams(dealt: DataFrame, counted: DataFrame, order: int) -> DataFrame:
     return rows.groupBy(*_names(order)).agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts for counts of 1, 2 and 3 or more; without the counts they are made of, a half, one and one and a half."""
-    of = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+def _discounts(counts: DataFrame) -> tuple[list[float], dict]:
+    """Discounts for counts of 1, 2 and 3 or more (without the counts they are made of, a half, one and one and a half); counts of counts."""
+    of = counts.agg(F.count("*").alias("all"), F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
     n1, n2, n3, n4 = (of[f"n{i}"] for i in (1, 2, 3, 4))
     if not n1 or not n2 or not n3:
-        return [0.5, 1.0, 1.5]
+        return [0.5, 1.0, 1.5], of
     y = n1 / (n1 + 2 * n2)
     raw = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return [min(max(d, LEAST), float(i)) for i, d in enumerate(raw, 1)]
+    return [min(max(d, LEAST), float(i)) for i, d in enumerate(raw, 1)], of
+
 
+@dataclass
+class Model:
+    """Tables (w1, .., n, total, left) of n-grams of every length and of histories; discounts by length; the words' own sums."""
 
-def train(counts: DataFrame, order: int) -> tuple[list[DataFrame], float]:
-    """Tables (w1, .., weight) of n-grams and of histories, and the logarithm of the probability of a word never seen."""
+    tables: list[DataFrame]
+    discounts: list[list[float]]
+    words: int
+    total: float
+    left: float
+
+
+def train(counts: DataFrame, order: int) -> Model | None:
+    """The model of the counts of n-grams of full order; None where there are none."""
     levels = {order: materialize(counts, "grams")}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before the shorter n-gram
         shorter = levels[k + 1].select(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)])
         levels[k] = materialize(shorter.groupBy(*_names(k)).agg(F.count("*").alias("n")), "grams")
-
-    def discounted(k: int) -> DataFrame:
-        d = _discounts(levels[k])
-        return levels[k].withColumn("d", reduce(lambda rest, i: F.when(F.col("n") == i, F.lit(d[i - 1])).otherwise(rest), (2, 1), F.lit(d[2])))
-
-    rows = discounted(1)
-    whole = rows.agg(F.count("*").alias("words"), F.sum("n").alias("total"), F.sum("d").alias("left")).first()
-    if not whole["words"]:
-        return [], 0.0
-    unseen = np.log(whole["left"] / whole["total"] / (whole["words"] + 1))
-    p = rows.select("w1", ((F.col("n") - F.col("d")) / whole["total"] + float(np.exp(unseen))).alias("p"))
-    weights = [p.select("w1", (F.ln("p") - float(unseen)).alias("weight"))]
-    for k in range(2, order + 1):
-        rows, history = discounted(k), _names(k - 1)
-        totals = materialize(rows.groupBy(*history).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), "histories")
-        lower = p.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, k)], F.col("p").alias("shorter"))
-        joined = rows.join(totals, history).join(lower, _names(k)[1:])
-        part = F.col("gamma") * F.col("shorter")
-        share = (F.col("n") - F.col("d")) / F.col("total") + part
-        p = materialize(joined.select(*_names(k), share.alias("p"), F.ln(share / part).alias("weight")), "seen")
-        weights += [p.select(*_names(k), "weight"), totals.select(*history, F.ln("gamma").alias("weight"))]
-    return weights, float(unseen)
-
-
-def _coded(weights: list[DataFrame], shards: int) -> DataFrame:
-    """(shard, code, weight) of the tables of n-grams and histories."""
+    tables, discounts = [], []
+    for k in range(1, order + 1):
+        d, of = _discounts(levels[k])
+        if not of["all"]:
+            return None
+        discounts.append(d)
+        tables.append(levels[k].select(*_names(k), F.col("n").cast("float").alias("n"), F.lit(0).cast("float").alias("total"), F.lit(0).cast("float").alias("left")))
+        some = [F.count_if(F.col("n") == 1) * d[0], F.count_if(F.col("n") == 2) * d[1], F.count_if(F.col("n") > 2) * d[2]]
+        if k == 1:
+            words, total = of["all"], float(of["total"])
+            left = of["n1"] * d[0] + of["n2"] * d[1] + (words - of["n1"] - of["n2"]) * d[2]
+        else:
+            sums = levels[k].groupBy(*_names(k - 1)).agg(F.sum("n").cast("float").alias("total"), sum(some[1:], some[0]).cast("float").alias("left"))
+            tables.append(sums.select(*_names(k - 1), F.lit(0).cast("float").alias("n"), "total", "left"))
+    return Model(tables, discounts, words, total, left)
+
+
+def _coded(tables: list[DataFrame], shards: int) -> DataFrame:
+    """(shard, code, n, total, left) of the tables of n-grams and histories."""
     shift = 64 - (shards.bit_length() - 1)
 
     def code(batches):
         for batch in batches:
-            codes = _fold([c.to_numpy().view(_U) for c in batch.columns[:-1]])
+            codes = _fold([c.to_numpy().view(_U) for c in batch.columns[:-3]])
             shard = (codes >> _U(shift)).astype(np.int32) if shards > 1 else np.zeros(len(codes), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(codes.view(np.int64)), batch.columns[-1]], ["shard", "code", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(codes.view(np.int64)), *batch.columns[-3:]], ["shard", "code", *_SUMS])
 
-    return reduce(DataFrame.union, [w.mapInArrow(code, "shard int, code long, weight double") for w in weights])
+    return reduce(DataFrame.union, [t.mapInArrow(code, f"shard int, code long, {', '.join(f'{c} float' for c in _SUMS)}") for t in tables])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -205,37 +202,54 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     once = docs.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text string")
     dealt = once.withColumn("block", _block("key", n_blocks))
     counted = trusted.where("not held").select(_block("key", n_blocks).alias("block"), "key")
-    weights, unseen = train(count_grams(dealt, counted, order), order)
-    if not weights:
+    model = train(count_grams(dealt, counted, order), order)
+    if model is None:
         return docs.sparkSession.createDataFrame([], "key string, loss double, n long")
+    discounts, words, overall, left_over = model.discounts, model.words, model.total, model.left
 
     def ask(key, table):
-        codes, _, _ = _grams(_distinct(table).column("text"), order)
+        codes = np.concatenate(_grams(_distinct(table).column("text"), order)[0])
         return blocks.questions(key[0].as_py(), np.unique(codes), shards)
 
-    def answer(key, questions, model):
+    def answer(key, questions, rows):
+        """Per block, the sums of its values one after the other; 0 for what was never counted."""
         if not questions.num_rows:
             return blocks.answers(key[0].as_py(), [])
-        codes, at = np.unique(model.column("code").to_numpy().view(_U), return_inverse=True)
-        weight = np.append(np.bincount(at, model.column("weight").to_numpy(), len(codes)), 0).astype("<f4")
+        codes, at = np.unique(rows.column("code").to_numpy().view(_U), return_inverse=True)
+        sums = [np.append(np.bincount(at, rows.column(c).to_numpy(), len(codes)), 0).astype("<f4") for c in _SUMS]
         out = []
         for block, values, _ in blocks.asked(questions, shards):
             place = np.searchsorted(codes, values)
-            known = np.append(codes, _U(0))[place] == values
-            out.append((block, np.where(known, weight[place], np.float32(0)).tobytes()))
+            place[np.append(codes, _U(0))[place] != values] = len(codes)
+            out.append((block, b"".join(x[place].tobytes() for x in sums)))
         return blocks.answers(key[0].as_py(), out)
 
     def finish(key, table, reply):
         table = _distinct(table)
-        codes, rows, n = _grams(table.column("text"), order)
-        _, at = np.unique(codes, return_inverse=True)
-        weight = np.frombuffer(b"".join(blocks.replies(reply)), "<f4").astype(np.float64)
-        total = np.bincount(rows, weight[at], len(n)) + (n + 1) * unseen
+        codes, n = _grams(table.column("text"), order)
+        at = np.unique(np.concatenate(codes), return_inverse=True)[1]
+        got = [np.frombuffer(r, "<f4").reshape(len(_SUMS), -1) for r in blocks.replies(reply)]
+        count, total, left = (np.concatenate([g[i] for g in got])[at].astype(np.float64) for i in range(len(_SUMS)))
+        ends = np.cumsum([0, *(len(c) for c in codes)])
+        edges = np.cumsum(n + 2)
+        after, before = np.ones(ends[1], bool), np.ones(ends[1], bool)  # n-grams that end at a word or the end; that something follows
+        after[edges - n - 2], before[edges - 1] = False, False
+        p = np.full(after.sum(), 1 / (words + 1))
+        for k in range(1, order + 1):
+            seen = count[ends[k - 1] : ends[k]]
+            seen = seen if k == order else seen[after]
+            if k == 1:
+                all_, rest = overall, left_over
+            else:
+                all_, rest = total[ends[k - 2] : ends[k - 1]][before], left[ends[k - 2] : ends[k - 1]][before]
+            share = (seen - np.array([0.0, *discounts[k - 1]])[np.minimum(seen, 3).astype(int)] + rest * p) / np.maximum(all_, 1)
+            p = np.where(all_ > 0, share, p)
+        loss = -np.bincount(np.repeat(np.arange(len(n)), n + 1), np.log(p), len(n))
         has = n > 0
-        return pa.table({"key": table.column("key").filter(pa.array(has)), "loss": pa.array(-total[has]), "n": pa.array((n + 1)[has].astype(np.int64))})
+        return pa.table({"key": table.column("key").filter(pa.array(has)), "loss": pa.array(loss[has]), "n": pa.array((n + 1)[has].astype(np.int64))})
 
     asked = dealt.groupBy("block").applyInArrow(ask, blocks.QUESTION)
-    answered = asked.groupBy("shard").cogroup(_coded(weights, shards).groupBy("shard")).applyInArrow(answer, blocks.ANSWER)
+    answered = asked.groupBy("shard").cogroup(_coded(model.tables, shards).groupBy("shard")).applyInArrow(answer, blocks.ANSWER)
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, "key string, loss double, n long")
 
 
