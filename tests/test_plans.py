@@ -107,17 +107,22 @@ def test_prefix_sums_and_peak(spark, block_rows):
     assert (both.running - both.want).abs().max() < 1e-9 and (both.peak - both.want_peak).abs().max() < 1e-9
 
 
-@pytest.mark.parametrize("small", [50, 10_000_000])
-def test_exact_quantiles(spark, small):
+def test_exact_quantiles(spark):
     rng = random.Random(3)
     pdf = pd.DataFrame({"a": [rng.gauss(0, 1) for _ in range(4001)], "b": [float(rng.randint(0, 4)) for _ in range(4001)]})
     pdf.loc[::7, "a"] = None
     qs = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = exact_quantiles(spark.createDataFrame(pdf).withColumn("a", F.nanvl("a", F.lit(None))), {"a": qs, "b": qs}, small=small)
+    got = exact_quantiles(spark.createDataFrame(pdf).withColumn("a", F.nanvl("a", F.lit(None))), {"a": qs, "b": qs})
     for c in "ab":
         assert got[c] == pytest.approx(list(pdf[c].quantile(qs)), abs=1e-12)
 
 
+def test_quantiles_at_the_border_of_two_values(spark):
+    df = spark.range(10_000).select((F.col("id") % 2).cast("double").alias("half"), (F.col("id") % 5 < 2).cast("int").alias("some"), F.lit(None).cast("double").alias("none"))
+    got = exact_quantiles(df, {"half": [0.25, 0.5, 0.75], "some": [0.5, 0.6, 0.9], "none": [0.5]})
+    assert got == {"half": [0.0, 0.5, 1.0], "some": [0.0, pytest.approx(0.4), 1.0], "none": [None]}
+
+
 def test_blocks_follow_key_order(spark):
     df = spark.createDataFrame([(f"k{i % 3}", i) for i in range(300)], "k string, us long")
     blocks = plan_blocks(df, ["k", "us"], block_rows=50)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators.evaluation import MODEL
-from touchline.plans.ordering import QUANTILE_ROWS, exact_quantiles
+from touchline.plans.ordering import exact_quantiles
 from touchline.schema import OUTCOME_NAMES, OUTCOMES, PROBS
 
 BINS = 10
@@ -77,9 +77,9 @@ def _all_bins(found: DataFrame, by: Sequence[str], n_bins: int, edges: Column) -
         F.coalesce("mean_actual", F.lit(0.0)).alias("mean_actual"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def quantile_bins(scored: DataFrame, n_bins: int = BINS, *, small: int = QUANTILE_ROWS) -> DataFrame:
+def quantile_bins(scored: DataFrame, n_bins: int = BINS) -> DataFrame:
     """Equal-count bins per class over the whole frame; edges are exact quantiles."""
-    edges = exact_quantiles(scored, {p: [i / n_bins for i in range(n_bins + 1)] for p in PROBS}, small=small)
+    edges = exact_quantiles(scored, {p: [i / n_bins for i in range(n_bins + 1)] for p in PROBS})
     number = F.lit(None).cast("int")
     literal = F.lit(None).cast("array<double>")
     for i, p in enumerate(PROBS):
@@ -132,9 +132,9 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return F.pandas_udf(tails, T.DoubleType())(x, df)
 
 
-def hosmer_lemeshow(scored: DataFrame, *, small: int = QUANTILE_ROWS) -> DataFrame:
+def hosmer_lemeshow(scored: DataFrame) -> DataFrame:
     """Chi-square of observed against expected hits in decile bins, with its p-value, per class."""
-    bins = quantile_bins(scored, BINS, small=small).filter(F.col("count") > 0)
+    bins = quantile_bins(scored, BINS).filter(F.col("count") > 0)
     o, e = F.col("mean_actual") * F.col("count"), F.col("mean_predicted") * F.col("count")
     sums = bins.groupBy("cls").agg(F.sum((o - e) * (o - e) / (e + 1e-10)).alias("chi2"), F.count("*").alias("bins"))
     enough = F.col("bins") > 2

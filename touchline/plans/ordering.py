@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.plans.materialize import materialize
+
 BLOCK_ROWS = 2_000_000   # rows one window task may hold
 MAX_BLOCKS = 16_384      # bounds the split points kept on the driver
 SAMPLES_PER_BLOCK = 20
@@ -152,92 +154,41 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return done.drop("_sum", "_start", "_peak", BLOCK)
 
 
-QUANTILE_ROWS = 1_000_000   # exact percentile sketch in one task is fine up to here
-_ACCURACY = 10_000
-
-
-def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]], *,
-                    small: int = QUANTILE_ROWS) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of numeric columns, as driver scalars.
 
-    Large inputs are narrowed: an approximate percentile brackets each wanted order
-    statistic, exact counts confirm the bracket, and the search goes on inside it. Every
-    pass is one aggregation with bounded state; no data is sorted or collected.
+    Equal values are folded to one row with their count, so tied values cost nothing; the rows are written in order of
+    value, block sums give each block's first rank, and only blocks that hold a wanted rank are looked into.
     """
     cols = list(quantiles)
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    if max(counts[c] for c in cols) <= small:
-        row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(q)) for q in quantiles[c]])).alias(c)
-                       for c in cols]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(quantiles[c]) for c in cols}
-    wanted = {c: sorted({k for q in quantiles[c] for k in _ranks(counts[c], q)}) for c in cols if counts[c]}
-    found = _order_statistics(df, wanted, counts, small)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+    counts = df.select(cells.alias("cell")).select("cell.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    levels = materialize(counts.repartitionByRange("c", "v").withColumn(BLOCK, F.spark_partition_id()), "levels")
+    sizes = levels.groupBy("c", BLOCK).agg(F.sum("n").alias("size"))
+    before = Window.partitionBy("c").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    totals = {r["c"]: r["n"] for r in sizes.groupBy("c").agg(F.sum("size").alias("n")).collect()}
+    wanted = sorted({(i, k) for i, c in enumerate(cols) if i in totals for q in quantiles[c] for k in _ranks(totals[i], q)})
+    if not wanted:
+        return {c: [None] * len(quantiles[c]) for c in cols}
+    ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "c int, k long"))  # a few for each column
+    held = starts.join(ranks, "c").where("k >= start AND k < start + size").groupBy("c", BLOCK, "start").agg(F.collect_list("k").alias("ks"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("c", BLOCK).orderBy("v"))
+    at = levels.join(held, ["c", BLOCK]).withColumn("upto", upto).select("c", "v", "n", "upto", F.explode("ks").alias("k"))
+    found = {(r["c"], r["k"]): r["v"] for r in at.where("k < upto AND k >= upto - n").collect()}
     out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if not counts[c]:
-            out[c] = [None] * len(quantiles[c])
-            continue
-        values = []
+    for i, c in enumerate(cols):
+        out[c] = []
         for q in quantiles[c]:
-            low, high = _ranks(counts[c], q)
-            part = q * (counts[c] - 1) - low
-            values.append(found[c, low] * (1 - part) + found[c, high] * part if part else found[c, low])
-        out[c] = values
+            if i not in totals:
+                out[c].append(None)
+                continue
+            low, high = _ranks(totals[i], q)
+            part = q * (totals[i] - 1) - low
+            out[c].append(found[i, low] * (1 - part) + found[i, high] * part if part else found[i, low])
     return out
 
 
 def _ranks(n: int, q: float) -> tuple[int, int]:
     at = q * (n - 1)
     return math.floor(at), math.ceil(at)
-
-
-def _order_statistics(df: DataFrame, wanted: dict[str, list[int]], counts, small: int) -> dict:
-    """Value at each 0-based rank, by narrowing [low, high] brackets around it."""
-    open_ = {(c, k): (None, None, 0, counts[c]) for c, ks in wanted.items() for k in ks}
-    found: dict[tuple[str, int], float] = {}
-
-    def inside(c, low, high):
-        x = F.col(c)
-        return x.isNotNull() if low is None else x.between(F.lit(low), F.lit(high))
-
-    while open_:
-        # Brackets of at most `small` rows: exact percentiles of the rows inside finish the search.
-        # At a whole-numbered rank the percentile is the order statistic itself.
-        last = {s: b for s, b in open_.items() if b[3] <= small}
-        if last:
-            row = df.agg(*[
-                F.percentile(F.when(inside(c, lo, hi), F.col(c)), F.lit((k - below) / max(1, n - 1))).alias(f"{c}|{k}")
-                for (c, k), (lo, hi, below, n) in last.items()]).first()
-            exact = _snap(df, {s: (row[f"{s[0]}|{s[1]}"], b) for s, b in last.items()})
-            found.update(exact)
-            open_ = {s: b for s, b in open_.items() if s not in last}
-            if not open_:
-                break
-        row = df.agg(*[
-            F.percentile_approx(
-                F.when(inside(c, lo, hi), F.col(c)),
-                F.array(F.lit(max(0.0, (k - below) / n - 2 / _ACCURACY)),
-                        F.lit(min(1.0, (k - below + 1) / n + 2 / _ACCURACY))), _ACCURACY).alias(f"{c}|{k}")
-            for (c, k), (lo, hi, below, n) in open_.items()]).first()
-        narrower = {s: row[f"{s[0]}|{s[1]}"] for s in open_}
-        row = df.agg(*[e for (c, k), (lo, hi) in narrower.items() for e in (
-            F.count_if(F.col(c) < F.lit(lo)).alias(f"{c}|{k}|b"),
-            F.count_if(F.col(c).between(F.lit(lo), F.lit(hi))).alias(f"{c}|{k}|n"))]).first()
-        for (c, k), (lo, hi) in narrower.items():
-            below, n = row[f"{c}|{k}|b"], row[f"{c}|{k}|n"]
-            if not below <= k < below + n:
-                raise RuntimeError(f"quantile bracket of {c} lost rank {k}")
-            if lo == hi:
-                found[c, k] = float(lo)
-                del open_[c, k]
-            else:
-                open_[c, k] = (lo, hi, below, n)
-    return found
-
-
-def _snap(df: DataFrame, guesses: dict) -> dict:
-    """Interpolation at a whole rank may be off in the last bit; take the nearest stored value."""
-    row = df.agg(*[
-        F.min_by(F.col(c), F.abs(F.col(c) - F.lit(float(v)))).alias(f"{c}|{k}")
-        for (c, k), (v, _) in guesses.items()]).first()
-    return {s: float(row[f"{s[0]}|{s[1]}"]) for s in guesses}
