@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and a limit on perplexity for each language.
 
-The model is one of words (A-Z lower-cased, cut at white space), ``ORDER`` long, over all trusted documents, so it grows with them.
+The model is one of words (A-Z lower-cased, cut at white space), ``ORDER`` (two at least) long, over all trusted documents, so it grows with them.
 Each text stands between start signs and an end sign. Counts, continuation counts, count-of-count discounts and history totals
 are groupings and joins of count tables. Words are 64-bit hashes.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from touchline.llm import blocks, text
 from touchline.plans.materialize import materialize
 
-ORDER = 3
+ORDER = 2
 HELD = 3
 PRIOR = 50
 QUANTILE = 0.99
