@@ -130,3 +130,9 @@ def test_compare_models_first_wins_ties(spark):
     rows = [(1, .5, 1.0, .4, None), (2, .5, .9, .4, -3.0)]
     df = spark.createDataFrame(rows, "model_version_id int, accuracy double, log_loss double, f1_macro double, roi_percent double")
     assert tuple(E.compare_models(df).first()) == (1, 2, 1, 1)
+
+
+def test_compare_models_missing_metrics_lose(spark):
+    rows = [(1, None, None, None, None), (2, .5, .9, .4, -3.0)]
+    df = spark.createDataFrame(rows, "model_version_id int, accuracy double, log_loss double, f1_macro double, roi_percent double")
+    assert tuple(E.compare_models(df).first()) == (2, 2, 2, 1)

@@ -199,9 +199,10 @@ COMPARED = {"accuracy": "max", "log_loss": "min", "f1_macro": "max", "roi_percen
 
 
 def compare_models(evaluated: DataFrame, key: str = "model_version_id") -> DataFrame:
-    """Best model per metric; the first model wins ties, missing betting counts as 0."""
+    """Best model per metric; the first model wins ties, missing betting counts as 0, any other missing metric as the worst."""
     def best(metric: str, how: str) -> Column:
-        value = F.coalesce(F.col(metric).cast("double"), F.lit(0.0))
+        missing = 0.0 if metric == "roi_percent" else float("inf") if how == "min" else float("-inf")
+        value = F.coalesce(F.col(metric).cast("double"), F.lit(missing))
         return F.min(F.struct((value if how == "min" else -value).alias("score"), F.col(key).alias("key")))["key"]
 
     return evaluated.agg(*[best(m, how).alias(f"best_{m}") for m, how in COMPARED.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.match import DAY_US, is_finished, match_result, micros, ntz, points, round2
 from touchline.plans.asof import asof_count, asof_trailing, trailing_rows
-from touchline.plans.ordering import BLOCK_ROWS
+from touchline.plans.ordering import BLOCK_ROWS, join_on
 
 WINDOWS = (3, 5, 10)
 SIDES = ("home", "away")
@@ -304,7 +304,7 @@ def match_preview(matches: DataFrame, teams: DataFrame, tournaments: DataFrame,
         F.col("match_id").alias("id"), round2("home_points_last_5").alias("home_avg_points"),
         round2("away_points_last_5").alias("away_avg_points"))
     t = tournaments.select(F.col("id").alias("tournament_id"), F.col("name").alias("tournament"))
-    return match_names(matches, teams).join(t, "tournament_id").join(form, "id").select(
+    return match_names(matches, teams).join(t, "tournament_id", "left").join(form, "id").select(
         "id", "home_team", "away_team", "match_date", "tournament", "home_avg_points", "away_avg_points")
 
 
@@ -345,18 +345,17 @@ def tournament_context(matches: DataFrame) -> DataFrame:
     season_teams = rows.select("season_id", "team_id").distinct()
     before = Window.partitionBy("season_id", "team_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     table = (
-        season_days.select("season_id", "day").join(season_teams, "season_id")
-        .join(daily, ["season_id", "team_id", "day"], "left")
+        join_on(join_on(season_days.select("season_id", "day"), season_teams, ["season_id"]), daily, ["season_id", "team_id", "day"], "left")
         .select("season_id", "team_id", "day", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("points_total"),
                 F.coalesce(F.sum("gd").over(before), F.lit(0)).alias("gd_total"))
         .withColumn("league_position", F.rank().over(
             Window.partitionBy("season_id", "day").orderBy(F.desc("points_total"), F.desc("gd_total")))))
-    sides = rows.select("match_id", "is_home", "season_id", "team_id", "day").join(table, ["season_id", "team_id", "day"])
+    sides = join_on(rows.select("match_id", "is_home", "season_id", "team_id", "day"), table, ["season_id", "team_id", "day"])
     wide = by_match(sides, ["league_position", "points_total"])
     stage = F.when(F.col("season_progress") < 0.2, "early").when(F.col("season_progress") <= 0.75, "mid").otherwise("late")
     return (
-        matches.select(F.col("id").alias("match_id"), "season_id", day.alias("day"))
-        .join(progress, ["season_id", "day"]).join(wide, "match_id")
+        join_on(matches.select(F.col("id").alias("match_id"), "season_id", day.alias("day")), progress, ["season_id", "day"])
+        .join(wide, "match_id")
         .select("match_id", "season_progress", stage.alias("season_stage"),
                 "home_league_position", "away_league_position",
                 (F.col("home_league_position") - F.col("away_league_position")).alias("position_diff"),

@@ -174,8 +174,8 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
     ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "c int, k long"))  # a few for each column
     held = starts.join(ranks, "c").where("k >= start AND k < start + size").groupBy("c", BLOCK, "start").agg(F.collect_list("k").alias("ks"))
     upto = F.col("start") + F.sum("n").over(Window.partitionBy("c", BLOCK).orderBy("v"))
-    at = levels.join(held, ["c", BLOCK]).withColumn("upto", upto).select("c", "v", "n", "upto", F.explode("ks").alias("k"))
-    found = {(r["c"], r["k"]): r["v"] for r in at.where("k < upto AND k >= upto - n").collect()}
+    picked = levels.join(held, ["c", BLOCK]).withColumn("upto", upto).select("c", "v", "n", "upto", F.explode("ks").alias("k"))
+    found = {(r["c"], r["k"]): r["v"] for r in picked.where("k < upto AND k >= upto - n").collect()}
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         out[c] = []
@@ -184,8 +184,8 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
                 out[c].append(None)
                 continue
             low, high = _ranks(totals[i], q)
-            part = q * (totals[i] - 1) - low
-            out[c].append(found[i, low] * (1 - part) + found[i, high] * part if part else found[i, low])
+            a, b, at = found[i, low], found[i, high], q * (totals[i] - 1)
+            out[c].append(a if a == b else (high - at) * a + (at - low) * b)  # tied values stay what they are to the last bit
     return out
 
 

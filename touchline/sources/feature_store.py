@@ -26,9 +26,10 @@ def to_feature_rows(features: DataFrame, version: str, computed_at) -> DataFrame
 
 
 def merge_features(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Upsert on (match, version): a fresh row replaces the stored one, the newest fresh row wins."""
+    """Upsert on (match, version): a fresh row replaces the stored one, the newest fresh row wins; of equally new rows the one whose
+    features come last as JSON."""
     both = stored.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)))
-    newest = Window.partitionBy(*KEY).orderBy(F.col("_fresh").desc(), F.col("computed_at").desc())
+    newest = Window.partitionBy(*KEY).orderBy(F.col("_fresh").desc(), F.col("computed_at").desc(), F.to_json("features").desc())
     return both.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "_fresh")
 
 
