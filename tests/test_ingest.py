@@ -129,3 +129,42 @@ def test_late_rows_beyond_the_watermark_drop(spark, tmp_path):
     stats = S.stream_job_stats(S.read_files(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1), lateness="1 hour")
     S.write_append(stats, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.schema(stats.schema).parquet(str(tmp_path / "out")).filter(F.col("window_start") < "2025-01-05").count() == 0
+
+
+def test_replay_after_a_part_committed_batch_keeps_ids(spark, tmp_path):
+    table = S.MatchTable(spark, str(tmp_path / "m"))
+    table.create(stored(spark, (1, 7, None, 10, 20, D, "SCHEDULED", None, None, 2.0, 3.0, 4.0, 5)))
+    april = datetime(2025, 4, 1, 15, 0)
+    rows = [(1, 7, 30, 20, D, None, None, 1.5, 3.0, 4.0, 1), (2, 7, 31, 20, april, None, None, 1.6, 3.0, 4.0, 1)]
+    batch = spark.createDataFrame(rows, RESOLVED)
+    # A first try that numbered the batch and committed April only.
+    before = table.read().drop("month")
+    ids = table._batch_ids(before.filter(F.lit(False)), batch, 0, I.UPCOMING_KEY)
+    part = table.with_month(I.upsert_upcoming(before, batch, ids=ids)).filter("month = '2025-04'")
+    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table.rows)
+    for _ in range(2):
+        table.merge(batch, 0, I.upsert_upcoming)
+        assert sorted((r["id"], r["home_team_id"]) for r in table.read().collect()) == [(1, 10), (2, 30), (3, 31)]
+    assert table.next_id(1) == 4
+
+
+def test_batches_out_of_order_end_as_one_batch(spark, tmp_path):
+    start = stored(spark, (1, None, None, 10, 20, D, "SCHEDULED", None, None, 2.0, 3.0, 4.0, 5))
+    rows = [(3, 9, 10, 20, D, None, None, 9.0, 3.0, 4.0, 1), (2, 8, 10, 20, D, None, None, 1.5, 3.0, 4.0, 1), (8, 6, 30, 20, D, None, None, None, 8.0, 8.0, 1),
+            (7, 5, 30, 20, D, None, None, 0.0, 7.0, 7.0, 1), (9, None, 40, 20, D, None, None, 2.2, 3.0, 4.0, 1), (6, 4, 40, 20, D, None, None, None, 1.0, 1.0, 1)]
+    table = S.MatchTable(spark, str(tmp_path / "m"))
+    table.create(start)
+    for i, row in enumerate(rows):
+        table.merge(spark.createDataFrame([row], RESOLVED), i, I.upsert_upcoming)
+    columns = ["home_team_id", "tournament_id", "status", "odds_home", "odds_draw", "odds_away"]
+    expected = I.upsert_upcoming(start, spark.createDataFrame(rows, RESOLVED)).select(*columns)
+    assert sorted(map(tuple, table.read().select(*columns).collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_results_without_tournament_are_inserted_once(spark, tmp_path):
+    table = S.MatchTable(spark, str(tmp_path / "m"))
+    table.create(stored(spark))
+    batch = spark.createDataFrame([(1, None, 10, 20, D, 2, 1, None, None, None, None), (2, None, 10, 20, D, 3, 3, None, None, None, None)], RESOLVED)
+    for turn in (0, 0, 1):
+        table.merge(batch, turn, I.insert_results)
+        assert [(r["id"], r["home_score"]) for r in table.read().collect()] == [(1, 2)]

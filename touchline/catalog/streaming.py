@@ -2,29 +2,39 @@
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.base import query
-from touchline.catalog.ingest import FOLD, resolved
+from touchline.catalog.base import AS_OF, ORACLES, query
+from touchline.catalog.ingest import MERGED_COLS, resolved
 from touchline.operators.ingest import ODDS
-from touchline.plans.materialize import fresh_path
+from touchline.plans.materialize import fresh_path, materialize
 from touchline.streaming import jobs as S
 
-FILES = 3
+PARTS = 3
 
 
-def source(t, df, name):
-    """The table as files of a landing folder, read back as a stream."""
+def landings(t, df, part, name):
+    """For each part in turn: writes its rows to a landing folder and gives the folder as a stream, so each part is one micro-batch."""
     path = fresh_path(t.spark, name)
-    df.repartition(FILES).write.parquet(path)
-    return S.read_files(t.spark, path, df.schema, files_per_trigger=1)
+    df = materialize(df.withColumn("part", part), name)
+    for i in range(PARTS):
+        rows = df.filter(F.col("part") == i).drop("part")
+        rows.write.mode("append").parquet(path)
+        yield S.read_files(t.spark, path, rows.schema)
 
 
+# A window is final, and written, once the watermark (a day behind the latest start) has passed its end.
 @query("X2_stream_job_stats", """SELECT CAST(date_trunc('hour', started_at) AS TIMESTAMP) AS window_start, status, count(*) AS jobs, CAST(sum(matches_scraped) AS BIGINT) AS matches_scraped,
-    round(sum(duration_seconds), 6) AS total_duration FROM task_executions GROUP BY 1, 2""")
+    round(sum(duration_seconds), 6) AS total_duration FROM task_executions GROUP BY 1, 2
+    HAVING date_trunc('hour', any_value(started_at)) + INTERVAL '1' HOUR <= (SELECT max(started_at) FROM task_executions) - INTERVAL '1' DAY""")
 def job_stats(t):
     out, mark = fresh_path(t.spark, "stats"), fresh_path(t.spark, "mark")
-    stream = S.stream_job_stats(source(t, t.task_executions, "runs"), lateness="36500 days")
-    S.write_complete(stream, out, mark).awaitTermination()
-    return t.spark.read.parquet(out).withColumns({
+    us = F.unix_micros(F.col("started_at").cast("timestamp"))
+    ends = t.task_executions.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    low, width = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
+    part = F.coalesce(F.floor((us - low) * PARTS / width), F.lit(0))  # runs come in order of time
+    for runs in landings(t, t.task_executions, part, "runs"):
+        stats = S.stream_job_stats(runs, lateness="1 day")
+        S.write_append(stats, out, mark).awaitTermination()
+    return t.spark.read.schema(stats.schema).parquet(out).withColumns({
         "window_start": F.col("window_start").cast("timestamp_ntz"), "total_duration": F.round("total_duration", 6)})
 
 
@@ -32,21 +42,29 @@ PICK_ODDS = "CASE p.predicted_outcome WHEN 'H' THEN m.odds_home WHEN 'D' THEN m.
 
 
 @query("X3_stream_value_bets", f"""SELECT m.id AS match_id, p.id AS prediction_id, p.model_version_id, p.predicted_outcome, {PICK_ODDS} AS market_odds, p.confidence * ({PICK_ODDS}) - 1 AS expected_value
-    FROM predictions p JOIN matches m ON m.id = p.match_id WHERE m.odds_home IS NOT NULL AND {PICK_ODDS} <= 10 AND p.confidence * ({PICK_ODDS}) - 1 >= 0.05::DOUBLE""")
+    FROM predictions p JOIN matches m ON m.id = p.match_id WHERE p.model_version_id = 2 AND m.status = 'SCHEDULED'
+    AND m.match_date >= TIMESTAMP '{AS_OF}' AND m.match_date <= TIMESTAMP '{AS_OF}' + INTERVAL '30' DAY
+    AND m.odds_home IS NOT NULL AND {PICK_ODDS} <= 10 AND p.confidence * ({PICK_ODDS}) - 1 >= 0.05::DOUBLE""")
 def value_bets(t):
     out, mark = fresh_path(t.spark, "alerts"), fresh_path(t.spark, "mark")
-    updates = source(t, t.matches.select(F.col("id").alias("match_id"), *ODDS), "updates")
-    S.write_append(S.stream_value_bets(updates, t.predictions), out, mark).awaitTermination()
-    return t.spark.read.parquet(out).drop("kelly_fraction")
+    games = S.open_predictions(t.predictions, t.matches, 2, AS_OF, ahead=30)
+    rows = t.matches.select(F.col("id").alias("match_id"), *ODDS)
+    for updates in landings(t, rows, F.pmod("match_id", F.lit(PARTS)), "updates"):
+        alerts = S.stream_value_bets(updates, games)
+        S.write_append(alerts, out, mark).awaitTermination()
+    return t.spark.read.schema(alerts.schema).parquet(out).drop("kelly_fraction")
 
 
-@query("X1_stream_upsert", f"""WITH f AS ({FOLD}) SELECT m.home_team_id, m.away_team_id, m.match_date, m.tournament_id, m.status FROM matches m
-    UNION ALL SELECT home_team_id, away_team_id, match_date, tournament_id, 'SCHEDULED' FROM f
-    WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.home_team_id = f.home_team_id AND m.away_team_id = f.away_team_id AND m.match_date = f.match_date)""")
 def upsert(t):
+    """Second scrapes arrive before first ones; new keys come last, so the answer is that of one batch, ids included."""
     table = S.MatchTable(t.spark, fresh_path(t.spark, "matches"))
     table.create(t.matches)
-    S.stream_upsert(source(t, resolved(t), "scraped"), table, fresh_path(t.spark, "mark")).awaitTermination()
-    return table.read().select("home_team_id", "away_team_id", "match_date", "tournament_id", "status")
+    mark, turn = fresh_path(t.spark, "mark"), F.pmod("seq", F.lit(4))
+    part = F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)
+    for scraped in landings(t, resolved(t), part, "scraped"):
+        S.stream_upsert(scraped, table, mark).awaitTermination()
+    return table.read().select(*MERGED_COLS)
 
 
+query("X1_stream_upsert")(upsert)
+ORACLES["X1_stream_upsert"] = ORACLES["J17_upsert_upcoming"]

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from touchline.functions.odds import expected_value, has_odds, kelly
-from touchline.operators.ingest import insert_results, upsert_upcoming
+from touchline.operators.ingest import RESULT_KEY, SEQS, UPCOMING_KEY, fresh_ids, insert_results, upsert_upcoming
+from touchline.operators.value_bets import upcoming
+from touchline.plans.materialize import materialize
 from touchline.schema import MATCH, ODDS, PROBS
 
+SPREAD = 4  # files of a month at most in one write of a match table
+
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -29,14 +34,21 @@ def stream_job_stats(runs: DataFrame, *, window: str = "1 hour", lateness: str =
         .select(F.col("w.start").alias("window_start"), "status", "jobs", "matches_scraped", "total_duration"))
 
 
-def stream_value_bets(odds_updates: DataFrame, predictions: DataFrame, *, min_ev: float = 0.05, max_odds: float = 10.0) -> DataFrame:
-    """Odds updates (match_id and three odds) joined to stored predictions: alerts on the predicted outcome."""
+def open_predictions(predictions: DataFrame, matches: DataFrame, model_version_id: int, as_of, *, ahead: int = 7) -> DataFrame:
+    """One model's predictions of matches scheduled within ``ahead`` days, written once: what each micro-batch is joined to."""
+    games = upcoming(matches, as_of, ahead).select(F.col("id").alias("match_id"))
+    chosen = predictions.filter(F.col("model_version_id") == model_version_id).withColumnRenamed("id", "prediction_id")
+    return materialize(chosen.join(games, "match_id", "left_semi"), "open-predictions")
+
+
+def stream_value_bets(odds_updates: DataFrame, open_: DataFrame, *, min_ev: float = 0.05, max_odds: float = 10.0) -> DataFrame:
+    """Odds updates (match_id and three odds) joined to :func:`open_predictions`: alerts on the predicted outcome."""
     pick = F.col("predicted_outcome")
 
     def of_pick(cols):
         return F.when(pick == "H", F.col(cols[0])).when(pick == "D", F.col(cols[1])).otherwise(F.col(cols[2]))
 
-    joined = odds_updates.filter(has_odds()).join(predictions.withColumnRenamed("id", "prediction_id"), "match_id")
+    joined = odds_updates.filter(has_odds()).join(open_, "match_id")
     return (
         joined.withColumn("market_odds", of_pick(ODDS)).withColumn("probability", of_pick(PROBS))
         .filter(F.col("market_odds") <= max_odds)
@@ -49,46 +61,72 @@ def stream_value_bets(odds_updates: DataFrame, predictions: DataFrame, *, min_ev
 class MatchTable:
     """A match table partitioned by month, so a batch reads and rewrites only the months it touches.
 
-    The next free id is kept per batch number. A batch that runs again after a failure starts
-    from the same id and merges into the same keys, so it gives the same rows.
+    Ids of new keys are numbered over the whole batch and written as a small table before the months are. A batch that runs again,
+    also after some months were committed, reads them back, so a match never gets another one's id; the next batch starts after
+    them. Rows carry the ``seq`` that priced and named them (see :func:`upsert_upcoming`), so the order of batches does not decide
+    between two prices. Results are inserted once: the first batch that brings a key wins. Rows without
+    teams or date are left out, as they have no place in the table.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.rows, self.ids = f"{self.root}/matches", f"{self.root}/next_id"
+        self.rows, self.ids, self.first = f"{self.root}/matches", f"{self.root}/ids", f"{self.root}/next_id"
 
     @staticmethod
     def with_month(df: DataFrame) -> DataFrame:
         return df.withColumn("month", F.date_format("match_date", "yyyy-MM"))
 
     def create(self, matches: DataFrame) -> None:
-        # By month, but spread: a crowded month is still written by many tasks.
-        self.with_month(matches).write.mode("overwrite").partitionBy("month").parquet(self.rows)
+        # Each month goes to a few tasks, so that neither one task nor the number of files grows out of hand.
+        rows = self.with_month(matches.withColumns({c: F.lit(None).cast("long") for c in SEQS}))
+        rows = rows.repartition("month", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+        rows.write.mode("overwrite").partitionBy("month").parquet(self.rows)
         self._set_next_id(0, matches.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"] + 1)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self._schema()).parquet(self.rows)
 
     def _schema(self) -> T.StructType:
-        return T.StructType([*MATCH.fields, T.StructField("month", T.StringType())])
+        seqs = [T.StructField(c, T.LongType()) for c in SEQS]
+        return T.StructType([*MATCH.fields, *seqs, T.StructField("month", T.StringType())])
 
     def _set_next_id(self, batch: int, value: int) -> None:
-        self.spark.createDataFrame([(value,)], "next_id long").write.mode("overwrite").parquet(f"{self.ids}/{batch}")
-
-    def next_id(self, batch: int) -> int:
-        return self.spark.read.parquet(f"{self.ids}/{batch}").first()["next_id"]
+        self.spark.createDataFrame([(value,)], "next_id long").write.mode("overwrite").parquet(f"{self.first}/{batch}")
+
+    def next_id(self, batch: int) -> int | None:
+        """The first id of a batch; None until the batch before it has numbered its keys."""
+        try:
+            row = self.spark.read.schema("next_id long").parquet(f"{self.first}/{batch}").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return row and row["next_id"]
+
+    def _batch_ids(self, stored: DataFrame, batch: DataFrame, batch_id: int, key: list[str]) -> DataFrame:
+        """The batch's ids, numbered the first time only: the next batch's first id is written after them and before any month."""
+        types = {f.name: f.dataType for f in MATCH.fields}
+        schema = T.StructType([*[T.StructField(c, types[c]) for c in key], T.StructField("new_id", T.LongType())])
+        path = f"{self.ids}/{batch_id}"
+        numbered = self.next_id(batch_id + 1) is not None
+        if not numbered:
+            fresh_ids(stored, batch, key, self.next_id(batch_id)).write.mode("overwrite").parquet(path)
+        ids = self.spark.read.schema(schema).parquet(path)
+        if not numbered:
+            self._set_next_id(batch_id + 1, self.next_id(batch_id) + ids.count())
+        return ids
 
     def merge(self, batch: DataFrame, batch_id: int, rule: Callable[..., DataFrame]) -> None:
+        batch = batch.filter(" AND ".join(f"{c} IS NOT NULL" for c in UPCOMING_KEY))
         months = [r["month"] for r in self.with_month(batch).select("month").distinct().collect()]  # calendar months
-        first = self.next_id(batch_id)
-        touched = self.read().filter(F.col("month").isin(months))
-        merged = self.with_month(rule(touched.drop("month"), batch, first_id=first))
+        stored = self.read().filter(F.col("month").isin(months)).drop("month")
+        ids = self._batch_ids(stored, batch, batch_id, KEYS[rule])
+        merged = self.with_month(rule(stored, batch, ids=ids)).repartition("month", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.rows)
-        top = self.read().filter(F.col("month").isin(months)).agg(F.max("id").alias("m")).first()["m"]
-        self._set_next_id(batch_id + 1, max(first, (top or 0) + 1))
 
 
 RULES = {"upcoming": upsert_upcoming, "results": insert_results}
+KEYS = {upsert_upcoming: UPCOMING_KEY, insert_results: RESULT_KEY}
 
 
 def merge_batch(table: MatchTable, kind: str) -> Callable[[DataFrame, int], None]:
@@ -108,11 +146,3 @@ def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return (
         stream.writeStream.outputMode("append").format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def write_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Aggregates rewritten per micro-batch; the folder holds the newest result."""
-    return (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(path))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
