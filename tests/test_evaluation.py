@@ -136,3 +136,18 @@ def test_compare_models_missing_metrics_lose(spark):
     rows = [(1, None, None, None, None), (2, .5, .9, .4, -3.0)]
     df = spark.createDataFrame(rows, "model_version_id int, accuracy double, log_loss double, f1_macro double, roi_percent double")
     assert tuple(E.compare_models(df).first()) == (2, 2, 2, 1)
+
+
+def test_quantiles_of_each_group_with_ties_and_nulls(spark):
+    import numpy as np
+
+    from touchline.plans.ordering import quantile_table
+
+    rng = np.random.default_rng(3)
+    data = {1: np.repeat([0.0, 1.0], 500), 2: rng.random(777), 3: np.array([0.25])}
+    rows = [(g, float(v)) for g, values in data.items() for v in values] + [(1, None), (4, None), (None, 0.5)]
+    got = {r["g"]: r["edges"] for r in quantile_table(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", [0.0, 0.1, 0.5, 1.0]).collect()}
+    assert set(got) == set(data)
+    for g, values in data.items():
+        np.testing.assert_allclose(got[g], np.quantile(values, [0.0, 0.1, 0.5, 1.0]), atol=1e-12)
+    assert not quantile_table(spark.createDataFrame([], "g long, v double"), ["g"], "v", [0.5]).collect()

@@ -111,11 +111,11 @@ query("E17_calibration_bins", f"""SELECT model_version_id, cls, bin, bin_lower,
     round(mean_actual, 9) AS mean_actual, count FROM ({BINS})""")(
     lambda t: r9(K.calibration_bins(scored(t)), "mean_predicted", "mean_actual"))
 QUANTILES = "[" + ", ".join(f"{i / 10!r}" for i in range(11)) + "]"
-QBINS = f"""SELECT g.cls, CAST(g.bin AS INT) AS bin, e[g.bin + 1] AS bin_lower, e[g.bin + 2] AS bin_upper,
+QBINS = f"""SELECT g.model_version_id, g.cls, CAST(g.bin AS INT) AS bin, e[g.bin + 1] AS bin_lower, e[g.bin + 2] AS bin_upper,
     coalesce(avg(prob), (e[g.bin + 1] + e[g.bin + 2]) / 2) AS mean_predicted, coalesce(avg(CAST(hit AS DOUBLE)), 0.0::DOUBLE) AS mean_actual, count(prob) AS count
-    FROM (SELECT cls, quantile_cont(prob, {QUANTILES}) AS e, unnest(range(10)) AS bin FROM by_class GROUP BY cls) g
-    LEFT JOIN by_class b ON b.cls = g.cls AND b.prob <= e[g.bin + 2] AND (b.prob > e[g.bin + 1] OR (g.bin = 0 AND b.prob >= e[1])) GROUP BY g.cls, g.bin, e"""
-query("E17_calibration_bins_quantile", f"""SELECT cls, bin, round(bin_lower, 9) AS bin_lower, round(bin_upper, 9) AS bin_upper,
+    FROM (SELECT model_version_id, cls, quantile_cont(prob, {QUANTILES}) AS e, unnest(range(10)) AS bin FROM by_class GROUP BY model_version_id, cls) g
+    LEFT JOIN by_class b ON b.model_version_id = g.model_version_id AND b.cls = g.cls AND b.prob <= e[g.bin + 2] AND (b.prob > e[g.bin + 1] OR (g.bin = 0 AND b.prob >= e[1])) GROUP BY g.model_version_id, g.cls, g.bin, e"""
+query("E17_calibration_bins_quantile", f"""SELECT model_version_id, cls, bin, round(bin_lower, 9) AS bin_lower, round(bin_upper, 9) AS bin_upper,
     round(mean_predicted, 9) AS mean_predicted, round(mean_actual, 9) AS mean_actual, count FROM ({QBINS})""")(
     lambda t: r9(K.quantile_bins(scored(t)), "bin_lower", "bin_upper", "mean_predicted", "mean_actual"))
 
@@ -135,9 +135,9 @@ query("E19_calibration_corr", f"SELECT model_version_id, cls, round(correlation,
 OVERALL = f"SELECT model_version_id, avg(ece) AS overall_ece, 1.0::DOUBLE - least(avg(ece), 1.0::DOUBLE) AS reliability_score FROM ({ERRORS}) GROUP BY model_version_id"
 query("E20_calibration_overall", f"SELECT model_version_id, round(overall_ece, 9) AS overall_ece, round(reliability_score, 9) AS reliability_score FROM ({OVERALL})")(
     lambda t: r9(K.calibration_overall(errors(t)), "overall_ece", "reliability_score"))
-query("E21_hosmer_lemeshow_chi2", f"""SELECT cls, round(sum(power(mean_actual * count - mean_predicted * count, 2) / (mean_predicted * count + 1e-10)), 6) AS chi2
-    FROM ({QBINS}) WHERE count > 0 GROUP BY cls""")(
-    lambda t: r9(K.hosmer_lemeshow(scored(t)), "chi2", digits=6).select("cls", "chi2"))
+query("E21_hosmer_lemeshow_chi2", f"""SELECT model_version_id, cls, round(sum(power(mean_actual * count - mean_predicted * count, 2) / (mean_predicted * count + 1e-10)), 6) AS chi2
+    FROM ({QBINS}) WHERE count > 0 GROUP BY model_version_id, cls""")(
+    lambda t: r9(K.hosmer_lemeshow(scored(t)), "chi2", digits=6).select("model_version_id", "cls", "chi2"))
 query("E21_hosmer_lemeshow_pvalue")(lambda t: K.hosmer_lemeshow(scored(t)))
 query("E22_calibration_large", """SELECT model_version_id, cls, round(avg(power(prob - hit, 2)), 9) AS brier_score,
     round(avg(CAST(hit AS DOUBLE)) - avg(prob), 9) AS calibration_intercept FROM by_class GROUP BY model_version_id, cls""")(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators.evaluation import MODEL
-from touchline.plans.ordering import exact_quantiles
+from touchline.plans.materialize import materialize
+from touchline.plans.ordering import quantile_table
 from touchline.schema import OUTCOME_NAMES, OUTCOMES, PROBS
 
 BINS = 10
@@ -28,7 +29,7 @@ def by_class(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
         for i, p in enumerate(PROBS)])))
 
 
-def bin_number(p: Column, edges: Sequence[float], closed_first: bool) -> Column:
+def bin_number(p: Column, edges: Sequence[float | Column], closed_first: bool) -> Column:
     """Left-open bins ``(lo, hi]``; the first is ``[lo, hi]`` on request. NULL outside."""
     inner = sum(((p > F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
     low = p >= F.lit(edges[0]) if closed_first else p > F.lit(edges[0])
@@ -62,32 +63,29 @@ def calibration_curve(scored: DataFrame, by: Sequence[str] = MODEL, n_bins: int
 
 def calibration_bins(scored: DataFrame, by: Sequence[str] = MODEL, n_bins: int = BINS) -> DataFrame:
     """Uniform bins with a closed first bin; empty bins show their midpoint and 0."""
-    edges = linspace_edges(n_bins)
-    found = _binned(scored, by, n_bins, closed_first=True)
-    return _all_bins(found, by, n_bins, F.array(*[F.lit(e) for e in edges]))
+    keys, found = [*by, "cls"], _binned(scored, by, n_bins, closed_first=True)
+    groups = found.select(*keys).distinct().withColumn("edges", F.array(*[F.lit(e) for e in linspace_edges(n_bins)]))
+    return _all_bins(groups, found, keys, n_bins)
 
 
-def _all_bins(found: DataFrame, by: Sequence[str], n_bins: int, edges: Column) -> DataFrame:
-    keys = [*by, "cls"]
-    grid = found.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    low, high = F.get(edges, F.col("bin")), F.get(edges, F.col("bin") + 1)
+def _all_bins(groups: DataFrame, found: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
+    """Every bin of every group (keys, edges)."""
+    grid = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    low, high = F.get("edges", F.col("bin")), F.get("edges", F.col("bin") + 1)
     return grid.join(found, [*keys, "bin"], "left").select(
         *keys, "bin", low.alias("bin_lower"), high.alias("bin_upper"),
         F.coalesce("mean_predicted", (low + high) / 2).alias("mean_predicted"),
         F.coalesce("mean_actual", F.lit(0.0)).alias("mean_actual"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def quantile_bins(scored: DataFrame, n_bins: int = BINS) -> DataFrame:
-    """Equal-count bins per class over the whole frame; edges are exact quantiles."""
-    edges = exact_quantiles(scored, {p: [i / n_bins for i in range(n_bins + 1)] for p in PROBS})
-    number = F.lit(None).cast("int")
-    literal = F.lit(None).cast("array<double>")
-    for i, p in enumerate(PROBS):
-        number = F.when(F.col("cls") == i, bin_number(F.col("prob"), edges[p], closed_first=True)).otherwise(number)
-        literal = F.when(F.col("cls") == i, F.array(*[F.lit(e) for e in edges[p]])).otherwise(literal)
-    found = by_class(scored, []).withColumn("bin", number).groupBy("cls", "bin").agg(
+def quantile_bins(scored: DataFrame, by: Sequence[str] = MODEL, n_bins: int = BINS) -> DataFrame:
+    """Equal-count bins per class; edges are exact quantiles of each model's own probabilities."""
+    keys, rows = [*by, "cls"], by_class(scored, by)
+    groups = materialize(quantile_table(rows, keys, "prob", [i / n_bins for i in range(n_bins + 1)]), "edges")
+    edges = [F.get("edges", F.lit(i)) for i in range(n_bins + 1)]
+    found = rows.join(groups, keys).withColumn("bin", bin_number(F.col("prob"), edges, closed_first=True)).groupBy(*keys, "bin").agg(
         F.count("*").alias("n"), F.avg("prob").alias("mean_predicted"), F.avg("hit").alias("mean_actual"))
-    return _all_bins(found, [], n_bins, literal)
+    return _all_bins(groups, found, keys, n_bins)
 
 
 def calibration_errors(bins: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
@@ -132,14 +130,14 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return F.pandas_udf(tails, T.DoubleType())(x, df)
 
 
-def hosmer_lemeshow(scored: DataFrame) -> DataFrame:
-    """Chi-square of observed against expected hits in decile bins, with its p-value, per class."""
-    bins = quantile_bins(scored, BINS).filter(F.col("count") > 0)
+def hosmer_lemeshow(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
+    """Chi-square of observed against expected hits in decile bins, with its p-value, per model and class."""
+    bins = quantile_bins(scored, by, BINS).filter(F.col("count") > 0)
     o, e = F.col("mean_actual") * F.col("count"), F.col("mean_predicted") * F.col("count")
-    sums = bins.groupBy("cls").agg(F.sum((o - e) * (o - e) / (e + 1e-10)).alias("chi2"), F.count("*").alias("bins"))
+    sums = bins.groupBy(*by, "cls").agg(F.sum((o - e) * (o - e) / (e + 1e-10)).alias("chi2"), F.count("*").alias("bins"))
     enough = F.col("bins") > 2
     return sums.select(
-        "cls", F.when(enough, F.col("chi2")).otherwise(F.lit(0.0)).alias("chi2"),
+        *by, "cls", F.when(enough, F.col("chi2")).otherwise(F.lit(0.0)).alias("chi2"),
         F.when(enough, chi2_sf(F.col("chi2"), (F.col("bins") - 1).cast("double"))).otherwise(F.lit(1.0)).alias("p_value"))
 
 
