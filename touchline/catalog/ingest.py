@@ -131,13 +131,11 @@ def resolved(t):
 
 
 MERGED_COLS = ["id", "tournament_id", "home_team_id", "away_team_id", "match_date", "status", "odds_home", "odds_draw", "odds_away"]
+FOLDED_ODDS = ", ".join(f"""(arg_max(struct_pack(v := {o}), CASE WHEN odds_home IS NOT NULL THEN seq END)).v AS last_{o}, (arg_min(struct_pack(v := {o}), seq)).v AS first_{o}""" for o in I.ODDS)
 FOLD = f"""SELECT h.id AS home_team_id, a.id AS away_team_id, r.match_date, min(seq) AS seq, arg_min(tournament_id, seq) AS tournament_id,
-    {", ".join(f"arg_max(struct_pack(v := {o}), seq) FILTER (WHERE odds_home IS NOT NULL).v AS last_{o}, arg_min(struct_pack(v := {o}), seq).v AS first_{o}" for o in I.ODDS)},
+    {FOLDED_ODDS},
     count(*) FILTER (WHERE odds_home IS NOT NULL) > 0 AS priced
     FROM ({RAW}) r JOIN ({ALL_TEAMS}) h ON h.name = r.home_team JOIN ({ALL_TEAMS}) a ON a.name = r.away_team GROUP BY h.id, a.id, r.match_date"""
-FOLD = FOLD.replace(" FILTER (WHERE odds_home IS NOT NULL).v", ".v").replace("arg_max(struct_pack(v := ", "arg_max(struct_pack(v := ")
-for o in I.ODDS:
-    FOLD = FOLD.replace(f"arg_max(struct_pack(v := {o}), seq).v", f"(arg_max(struct_pack(v := {o}), CASE WHEN odds_home IS NOT NULL THEN seq END)).v").replace(f"arg_min(struct_pack(v := {o}), seq).v", f"(arg_min(struct_pack(v := {o}), seq)).v")
 query("J17_upsert_upcoming", f"""WITH f AS ({FOLD})
     SELECT m.id, m.tournament_id, m.home_team_id, m.away_team_id, m.match_date, m.status, {", ".join(f"CASE WHEN f.priced THEN f.last_{o} ELSE m.{o} END AS {o}" for o in I.ODDS)}
     FROM matches m LEFT JOIN f ON f.home_team_id = m.home_team_id AND f.away_team_id = m.away_team_id AND f.match_date = m.match_date

@@ -295,12 +295,15 @@ def confidence_score(completeness: Column, flags: dict[str, Column] | None = Non
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
+# The uniform guess, what playing at home adds, what playing away costs, and the shift for better form.
+UNIFORM, AT_HOME, AWAY, BETTER_FORM = 0.33, 0.10, 0.05, 0.05
+
+
 def rules_probs(home_form: Column | str = "home_points_last_5", away_form: Column | str = "away_points_last_5") -> list[Column]:
     """Home advantage and better form as fixed shifts of a uniform guess, normalised."""
     better = F.col(home_form) > F.col(away_form) if isinstance(home_form, str) else home_form > away_form
-    h = F.lit(0.33 + 0.10) + F.when(better, F.lit(0.05)).otherwise(F.lit(0.0))
-    d = F.lit(0.33)
-    a = F.lit(0.33 - 0.05) - F.when(better, F.lit(0.05)).otherwise(F.lit(0.0))
+    shift = F.when(better, F.lit(BETTER_FORM)).otherwise(F.lit(0.0))
+    h, d, a = F.lit(UNIFORM + AT_HOME) + shift, F.lit(UNIFORM), F.lit(UNIFORM - AWAY) - shift
     total = h + d + a
     return [h / total, d / total, a / total]
 

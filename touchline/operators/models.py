@@ -335,7 +335,10 @@ def backtest(scored: DataFrame, *, share: float = 0.3, start=None, end=None, min
 
 def calibrate_latest(scored: DataFrame, *, newest: int = 2000, share: float = 0.2, method: str = "isotonic",
                      min_rows: int = 100) -> DataFrame:
-    """Fit a calibrator on the validation part of the newest rows and compare before with after on it."""
+    """Fit a calibrator on the validation part of the newest rows and compare before with after on it.
+
+    ``newest`` bounds the labelled rows by rule: older ones take no part in the fit nor in the comparison.
+    """
     rows = scored.orderBy(F.col("match_date").desc(), F.col("match_id").desc()).limit(newest)
     if rows.count() < min_rows:
         raise ValueError(f"fewer than {min_rows} matches")
