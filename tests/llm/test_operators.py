@@ -105,6 +105,24 @@ def test_line_templates(spark, docs, none):
     assert line_templates.drop_lines(none).count() == 0
 
 
+def _own(i, k):
+    """Lines that no other document has."""
+    return [" ".join(hashlib.md5(f"{i} {j} {w}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for w in range(5)) for j in range(k)]
+
+
+def test_line_templates_among_copies_and_together(spark):
+    """Neither hot copies nor lines that stand together, blank ones included, keep a template; copies and near copies do."""
+    note, shared = "All of these words stand everywhere", "Another of those lines stands there"
+    rows = [(i, "\n".join([note, "", *_own(i, 3), shared])) for i in range(60)]
+    rows += [(1000 + i, "\n".join([note, *_own(-1, 4)])) for i in range(200)]
+    near = [f"{x} of near copies that stays" for x in _own(-2, 12)]
+    rows += [(2000 + i, "\n".join([*near[: i % 12], f"{near[i % 12]} {_own(i, 1)[0][:32]}", *near[i % 12 + 1 :]])) for i in range(60)]
+    out = {r["doc_id"]: r for r in line_templates.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["t_dropped"] == 2 and note not in out[i]["t_text"] and shared not in out[i]["t_text"] for i in range(60))
+    assert all(out[1000 + i]["t_text"].split("\n") == _own(-1, 4) for i in range(200))
+    assert all(out[2000 + i]["t_dropped"] == 0 for i in range(60))
+
+
 def test_substrings(docs, none, spark):
     got = substrings.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("d"), "spans")
     same(got, ["doc_id", "n_words", "n_removed", "d"], brute.substrings(plain(docs)))
