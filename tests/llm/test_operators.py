@@ -123,6 +123,15 @@ def test_line_templates_among_copies_and_together(spark):
     assert all(out[2000 + i]["t_dropped"] == 0 for i in range(60))
 
 
+@pytest.mark.parametrize("line", ["Posted by {a}", "Posted by {a} on {b}", "one two three {a} {c} six seven eight nine ten", "Seen at {a} in the town of {b} by {c} of us"])
+def test_line_templates_with_fields(spark, line):
+    """Fields of any number and place; some words of a field are frequent themselves."""
+    names, days = [x.split()[0] for x in _own(-3, 9)], "Monday Tuesday Wednesday Thursday Friday".split()
+    rows = [(i, "\n".join([line.format(a=names[i * i % 9], b=days[i % 5], c=_own(i, 1)[0].split()[1]), *_own(i, 3)])) for i in range(120)]
+    out = line_templates.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["t_text"].split("\n") == _own(r["doc_id"], 3) for r in out)
+
+
 def test_substrings(docs, none, spark):
     got = substrings.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("d"), "spans")
     same(got, ["doc_id", "n_words", "n_removed", "d"], brute.substrings(plain(docs)))
