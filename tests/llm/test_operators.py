@@ -93,6 +93,20 @@ def test_license_blocks_are_all_found(spark):
     assert got == {i for i, t in enumerate(lines) if len(set(t.split()) & set(wording)) >= math.ceil(0.8 * len(wording))}
 
 
+def test_licenses_across_lines_and_far_apart(spark):
+    """Notices wrapped over lines are found; words that lie far apart are none."""
+    wrapped = {1: ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that", "bsd"),
+               2: ("This work is licensed under the GNU\r\n# General Public License,\n# version 3.", "gpl-3"),
+               3: ("Licensed under the Mozilla\nPublic License, version 2.0", "mpl-2"), 4: ("Licensed under\nCC BY-SA\n4.0", "cc-by-sa")}
+    rows = [(10 * i + k, "own words " * k + text) for i, (text, _) in wrapped.items() for k in range(8)]
+    rows += [(900 + i, (" filler" * 200 + " ").join(t.split())) for i, t in enumerate(licenses.TEMPLATES)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["labels"] for r in found}
+    assert len(found) == len(rows)
+    assert {i: {got[10 * i + k] for k in range(8)} for i in wrapped} == {i: {label} for i, (_, label) in wrapped.items()}
+    assert all(got[900 + i] == "" for i in range(len(licenses.TEMPLATES)))
+
+
 def test_line_templates(spark, docs, none):
     rows = [(i, f"Own line number {i} of {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i + 3)} kind\nSeen {i} times by reader{i} of this page\nplain text {i}") for i in range(30)]
     rows += [(100 + i, "A copied document of some words\nand its second line here") for i in range(40)] + [(200, None), (201, ""), (202, "Seen 7 times by reader7 of this page")]

@@ -1,7 +1,9 @@
 """License scan by an exact set-similarity join, native throughout.
 
-Two findings per document. Base: the places where a license's phrase stands word by word. Method: every text block (a line)
-that holds enough of a notice template's words, by containment: ``|block and template| >= share * |template|`` over distinct words.
+Two findings per document. Base: the places where a license's phrase stands word by word. Method: every text block that
+holds enough of a notice template's words, by containment: ``|block and template| >= share * |template|`` over distinct words.
+A template's blocks are windows over the words of the whole text, across line breaks: twice as long as the template, one each half
+length. So a notice of up to one and a half lengths stands whole in one, and words that lie further apart never meet.
 
 The join: template words are ordered by frequency in the whole corpus, rarest first (documents that
 hold the word). A block that meets the
@@ -50,7 +52,7 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), f"[{GAP}]+"), lambda w: w != "")
 
 
-_NO_ENTRY = "('', 0, 1, 1, array(''), '')"  # the empty word is in no block
+_NO_ENTRY = "('', 0, 0, 1, 1, array(''), '')"  # the empty word is in no block
 
 
 def _quoted(word: str) -> str:
@@ -75,9 +77,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     if len(templates) > TEMPLATES_MOST:
         raise ValueError("too many templates")
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"))
+    docs = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))  # numbered before any explode
     folded = docs.withColumn("folded", F.lower("text"))  # only to leave rows out early; any A-Z word is in it
     sets = [(sorted(set(t.split())), label) for t, label in templates.items()]
+    lengths = [t.split() for t in templates]
     need = [max(1, -(-round(share * 1000) * len(s) // 1000)) for s, _ in sets]
     vocabulary = sorted({w for s, _ in sets for w in s})
     # The global order: documents that hold each template word, counted over the whole corpus.
@@ -109,18 +112,36 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     base = F.flatten(F.array(none, *[F.when(reduce(and_, map(holds, p.split())), places(p, label)).otherwise(none) for p, label in phrases.items()]))
-    hit = rf"(?i)(?<![^{GAP}])(?:{'|'.join(prefixes)})(?![^{GAP}])"
-    lines = F.when(any_of([holds(w) for w in prefixes]), F.filter(F.split("text", "\n"), lambda b: b.rlike(hit))).otherwise(F.array().cast("array<string>"))
-    rows = folded.select("doc_id", F.monotonically_increasing_id().alias("row"), _count(F.col("text")).alias("n_words"),
-                         base.alias("base"), F.explode_outer(lines).alias("block"))
-    rows = rows.withColumn("ordered", F.array_distinct(_words(F.col("block"))))
-
-    # The templates as a small inverted list: prefix word to (template, place in its order).
-    entries = [(w, i, len(s), need[k], s, sets[k][1]) for k, s in enumerate(ordered) for i, w in enumerate(s[: len(s) - need[k] + 1])]
-    values = ", ".join("({}, {}, {}, {}, array({}), {})".format(_quoted(w), i, size, n, ", ".join(map(_quoted, s)), _quoted(label)) for w, i, size, n, s, label in entries)
-    posted = docs.sparkSession.sql(f"select * from values {values or _NO_ENTRY} as t(word, place, size, need, words, label)")
+    no_block = F.array().cast("array<struct<kind:int,words:array<string>>>")
+
+    def windows(kind: int) -> Column:
+        """Template ``kind``'s blocks that hold one of its prefix words."""
+        size = len(lengths[kind])
+        first = F.array(*map(F.lit, ordered[kind][: len(ordered[kind]) - need[kind] + 1]))
+
+        def of(words: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size - 1), F.lit(max(1, size // 2)))
+            cut = F.transform(starts, lambda at: F.slice(words, at + 1, 2 * size))
+            return F.transform(F.filter(cut, lambda w: F.arrays_overlap(w, first)), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("words")))
+
+        return F.transform(F.array(_words(F.col("text"))), of)[0]
+
+    def hit(kind: int) -> Column:
+        first = ordered[kind][: len(ordered[kind]) - need[kind] + 1]
+        return any_of([holds(w) for w in first]) & F.col("text").rlike(rf"(?i)(?<![^{GAP}])(?:{'|'.join(first)})(?![^{GAP}])")
+
+    found = F.flatten(F.array(no_block, *[F.when(hit(k), windows(k)).otherwise(no_block) for k in range(len(ordered))]))
+    rows = folded.select("doc_id", "row", _count(F.col("text")).alias("n_words"),
+                         base.alias("base"), F.explode_outer(found).alias("window"))
+    rows = rows.select("doc_id", "row", "n_words", "base", F.col("window.kind").alias("kind"), F.array_join("window.words", " ").alias("block"),
+                       F.array_distinct("window.words").alias("ordered"))
+
+    # The templates as a small inverted list: prefix word and template to its place in the order.
+    entries = [(w, k, i, len(s), need[k], s, sets[k][1]) for k, s in enumerate(ordered) for i, w in enumerate(s[: len(s) - need[k] + 1])]
+    values = ", ".join("({}, {}, {}, {}, {}, array({}), {})".format(_quoted(w), k, i, size, n, ", ".join(map(_quoted, s)), _quoted(label)) for w, k, i, size, n, s, label in entries)
+    posted = docs.sparkSession.sql(f"select * from values {values or _NO_ENTRY} as t(word, kind, place, size, need, words, label)")
     asked = rows.withColumn("word", F.explode_outer(F.array_intersect("ordered", F.array(*map(F.lit, prefixes)).cast("array<string>"))))
-    met = asked.join(posted, "word", "left")
+    met = asked.join(posted, ["word", "kind"], "left")
     overlap = F.size(F.array_intersect("ordered", "words"))
     possible = (F.size("ordered") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need"))
     good = F.when(possible, F.when(overlap >= F.col("need"), overlap / F.col("size")))
