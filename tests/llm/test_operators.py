@@ -263,6 +263,18 @@ def test_kneser_ney(spark, docs, none, order):
     assert kneser_ney.judge(docs, labels.limit(0), order=order).where("keep").count() == len(TEXTS)
 
 
+def test_kneser_ney_limits_with_a_hot_text(spark):
+    """Copies of held-out texts change no limit."""
+    docs, labels = stored(spark, "documents").select("doc_id", "text", "lang"), stored(spark, "labels")
+    held = kneser_ney.trusted_texts(docs, labels).where("held").orderBy("key").limit(2).collect()
+    hot = docs.where(F.md5("text").isin([r["key"] for r in held])).crossJoin(spark.range(1, 400)).select((F.col("id") * 100_000 + F.col("doc_id")).alias("doc_id"), "text", "lang")
+
+    def limits(table):
+        return {r["lang"]: r["limit"] for r in kneser_ney.judge(table, labels).select("lang", "limit").distinct().collect()}
+
+    assert limits(docs.union(hot)) == pytest.approx(limits(docs))
+
+
 def test_kneser_ney_on_held_out_labels(spark):
     """Trained on even ids, judged on odd ones: good documents stay, poor ones mostly go."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))

@@ -254,12 +254,16 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, dict]:
-    """(l_lang, l_mean, l_limit) of each language with held-out texts, and the same of all; ``scored`` has lang, loss, n and held."""
-    known = scored.where("held and loss is not null")
+    """(l_lang, l_mean, l_limit) of each language with held-out texts, and the same of all; ``scored`` has lang, key, loss, n and held.
+
+    A text counts once for each language and once for all, however many rows it has.
+    """
+    known = materialize(scored.where("held and loss is not null").select("lang", "key", "loss", "n").distinct(), "held")
+    texts = known.select("key", "loss", "n").distinct()
     mean = (F.sum("loss") / F.sum("n")).alias("l_mean")
     cut = (F.percentile_approx(_score(F.col("l_mean")), quantile, 100_000) * slack).alias("l_limit")
-    overall = known.agg(mean).first()["l_mean"]
-    every = {"mean": overall, "limit": known.withColumn("l_mean", F.lit(overall).cast("double")).agg(cut).first()["l_limit"]}
+    overall = texts.agg(mean).first()["l_mean"]
+    every = {"mean": overall, "limit": texts.withColumn("l_mean", F.lit(overall).cast("double")).agg(cut).first()["l_limit"]}
     means = known.where("lang is not null").groupBy(F.col("lang").alias("l_lang")).agg(mean)
     # A row of a few values for each language; sent whole only where their number is known to be small.
     means = _sent(materialize(means, "means"))
