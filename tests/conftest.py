@@ -7,12 +7,12 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from checker import SF  # noqa: E402
+
 from touchline.schema import MATCH  # noqa: E402
 from touchline.session import local_session  # noqa: E402
 from touchline.sources.fixtures import derive  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

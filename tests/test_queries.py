@@ -3,8 +3,7 @@
 import os
 
 import pytest
-from checker import compare, connect
-from conftest import SF
+from checker import SF, compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
