@@ -21,6 +21,8 @@ TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, "Under The MIT  license, under the mit license"), (5, PASSAGE), (6, f"Before it. {PASSAGE} after it"),
     (7, PASSAGE), (8, PASSAGE), (9, LONG), (10, LONG + " one more"), (11, "a b"), (12, "A  b"), (13, "ÉÀ ß 漢字 🙂 cc-by-nc apache license, version 2"),
     (None, "no id " + PASSAGE), (None, None), (14, PASSAGE + "\n" + PASSAGE), (8, PASSAGE), (15, " ".join(["same"] * 70)), (16, "\x00 zero\x00 K İ"),
+    (17, "Avant. Un deux trois voilà quatre cinq six sept huit neuf dix. Après"), (18, "да Россия будет хорошо жить в мире и труде всегда и везде вместе"),
+    (19, "Åse gick\u00a0hem 漢字\u0085はさ る"),
 ]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, block string, found string, k_text string, t_text string"
 
@@ -51,7 +53,8 @@ def stored(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
 
-ITEMS = [(1, " ".join(f"word{i}" for i in range(5, 30))), (2, "license under"), (3, None), (4, "!!"), (None, PASSAGE), (5, "license, UNDER"), (5, "license, UNDER"), (10, "漢字 🙂")]
+ITEMS = [(1, " ".join(f"word{i}" for i in range(5, 30))), (2, "license under"), (3, None), (4, "!!"), (None, PASSAGE), (5, "license, UNDER"), (5, "license, UNDER"), (10, "漢字 🙂"),
+         (11, "un deux trois voilà quatre cinq six sept huit neuf dix"), (12, "Россия будет хорошо жить в мире и труде всегда и"), (13, "Åse gick\u00a0hem"), (14, "漢字\u0085はさ")]
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -71,6 +74,19 @@ def test_decontamination(spark, docs, none, monkeypatch, small):
     assert decontaminate.find(docs, items.limit(0), into="hits_").where("size(hits_.items) > 0").count() == 0
 
 
+def test_decontamination_keeps_columns_of_any_case(spark):
+    docs = spark.createDataFrame([(1, "quick brown", "mine"), (2, "other", "yours")], "doc_id long, text string, Found string")
+    items = spark.createDataFrame([(7, "quick brown")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(docs, items).collect()] == [(2, "other", "yours")]
+
+
+def test_encoding_refuses_a_taken_name(spark):
+    docs = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, Pieces string")
+    with pytest.raises(ValueError, match="pieces"):
+        sentencepiece_bpe.encode(docs, queries.MODEL)
+    assert sentencepiece_bpe.encode(docs, queries.MODEL, "own").columns == ["doc_id", "text", "Pieces", "own"]
+
+
 def test_decontamination_offsets(spark):
     docs = spark.createDataFrame([(1, "Ünd — the QUICK, brown 🙂 fox.")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown")], "item_id long, text string")

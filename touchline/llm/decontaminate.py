@@ -43,7 +43,7 @@ def windows(items: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out = []
             for item, value in zip(batch["item_id"], batch["text"], strict=True):
-                words = normal(value).split()
+                words = [w for w in normal(value).split(" ") if w]  # bytes 85 and A0 are white space to a bare split()
                 for i in range(max(1, len(words) - window + 1) if words else 0):
                     out.append((item, " " + " ".join(words[i : i + window]) + " "))
             yield pd.DataFrame(out, columns=["item_id", "phrase"])
@@ -156,7 +156,7 @@ def _merged(both: pa.Array) -> pa.Array:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a window of any item."""
-    name = "found"
-    while name in docs.columns:
+    name, taken = "found", {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     return find(docs, items, window, name).where(F.size(f"{name}.hits") == 0).select(*docs.columns)
