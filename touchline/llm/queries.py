@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, jaccard, kneser_ney, licenses, line_templates, permutation_index, sentencepiece_bpe, substrings, urls, warc
+from touchline.llm import alignment, decontaminate, jaccard, kneser_ney, licenses, line_templates, permutation_index, sentencepiece_bpe, substrings, topk, urls, warc, whitening
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 
 # The rules of the url query.
 RULES = """select * from values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
@@ -75,8 +76,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, MODEL)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", "aligned.*").withColumn("groups_sha256", digest).drop("groups")
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_permutation_index, op2_decontamination, op3_license_scan, op4_line_dedup, op5_substring_dedup, op6_jaccard_join,
-    op7_url_filter, op8_sentencepiece, op9_quality_classifier, op10_warc)}
+    op7_url_filter, op8_sentencepiece, op9_quality_classifier, op10_warc, op11_alignment, op12_exact_topk, op13_whitening)}
 
 ORACLES: dict[str, str] = {}
