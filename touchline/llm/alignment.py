@@ -4,9 +4,9 @@ Tokenizer A is a byte-level one of the tokenizers library and gets a space and t
 space itself. Both are sequences over the same bytes. Where tokens of A and B end together a group ends; every two tokens with
 common bytes are a link.
 
-A text is cut into units: before a space that follows a character which is no white space, A's pattern and B's merges both start
-anew (no piece goes on after ``▁``; checked when the model is read), so a unit has the same tokens alone as in its text. Equal units of
-a block of texts are found by Arrow and aligned once.
+A text is cut into units: before a space that follows a character which is no white space, but for a text's last one, A's pattern and B's merges
+both start anew (no piece goes on after ``▁``; checked when the model is read), so a unit has the same tokens alone as in its text. Equal units of
+a block of texts are found by Arrow, encoded once, and aligned by array operations over all of them.
 
 1. Texts are dealt into blocks of about ``BLOCK_BYTES`` as they come and written. Each block's distinct pairs (A id, B id) with their
    numbers of links form packed lists, one for each of ``CELLS`` cells of the hash space.
@@ -28,7 +28,6 @@ spaces. ``docs`` keeps all columns, whatever their names, but for a column named
 from __future__ import annotations
 
 import uuid
-from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
@@ -49,7 +48,7 @@ FILE_BYTES = 64 << 20
 CELLS = 256
 FAN = 64
 GAMMA = 2  # places per key at each level of the hash
-REMEMBERED, SHORT = 200_000, 64  # units known to a worker, and the longest kept
+JOINT_BYTES = 1 << 14  # units are encoded in strings of about this size
 SPACE = "▁"
 # Characters beyond ASCII that are white space, as UTF-8.
 _WHITE = [0xC285, 0xC2A0, 0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
@@ -57,16 +56,18 @@ _U = np.uint64
 _FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [T.StructField("groups", T.StringType())])
 
 
-class Unit(NamedTuple):
-    ok: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: tuple[int, ...]  # a * |B| + b
-    groups: str
+class Units(NamedTuple):
+    """The distinct units of some texts: numbers of tokens, groups and links, all links on end, and what the texts consist of."""
 
-
-_BAD = Unit(False, 0, 0, 0, (), "")
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    links: np.ndarray  # a * |B| + b
+    tokens: tuple  # ids, ends in bytes and last token of each group, for both tokenizers
+    at: np.ndarray  # the unit at each place
+    first: np.ndarray  # the place of each text's first (one more at the end)
 
 
 def _byte_of() -> dict[str, int]:
@@ -76,7 +77,7 @@ def _byte_of() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers with the units met before."""
+    """Both tokenizers."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         self.a = Tokenizer.from_str(a_file.decode())
@@ -84,81 +85,146 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         byte = _byte_of()
         entries = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
-            self.a_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+            a_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         n = self.b.get_piece_size()
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
         if any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(n)):
             raise ValueError("pieces that go on after a space are not read")
-        self.size_b = n
-        self.known: dict[bytes, Unit] = {}
-
-    def align(self, unit: bytes, a: list[int], b: list[int]) -> Unit:
-        a_bytes, b_bytes, size = self.a_bytes, self.b_bytes, self.size_b
-        if b"".join(map(a_bytes.__getitem__, a)) != unit or b"".join(map(b_bytes.__getitem__, b)) != unit:
-            return _BAD
-        a_ends, b_ends = list(accumulate(len(a_bytes[i]) for i in a)), list(accumulate(len(b_bytes[i]) for i in b))
-        links, groups = [], []
-        i = j = a_from = b_from = 0
-        while i < len(a):
-            links.append(a[i] * size + b[j])
-            x, y = a_ends[i], b_ends[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                a_from, b_from = i, j
-        return Unit(True, len(a), len(b), len(groups), tuple(links), ";".join(groups))
-
-    def units(self, values: pa.Array | pa.ChunkedArray) -> tuple[list[Unit], np.ndarray, np.ndarray]:
-        """The distinct units of a column of texts, the one at each place, and the place of each text's first (one more at the end)."""
+        self.size_a, self.size_b = len(a_bytes), n
+        self.bytes = [pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes)]
+        self.sizes = [np.array([len(y) for y in x], np.int64) for x in (a_bytes, b_bytes)]
+        # Ids as written in groups: A's before a comma and before the bar, B's before a comma, before the next group, and last.
+        self.written = pa.array([f"{i}{end}" for size, ends in ((self.size_a, ",|"), (n, (",", ";", ""))) for end in ends for i in range(size)], pa.large_string())
+
+    def _tokens(self, strings: list[str]) -> list[list[np.ndarray]]:
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
+        return [a, [np.array(ids, np.int64) for ids in self.b.encode([s[1:] for s in strings], num_threads=1)]]
+
+    def _given_back(self, side: int, ids: np.ndarray, data: np.ndarray) -> bool:
+        if self.sizes[side][ids].sum() != len(data):
+            return False
+        return np.array_equal(_content(self.bytes[side].take(pa.array(ids)))[0], data)
+
+    def _encoded(self, data: np.ndarray, ends: np.ndarray, joint: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which units are given back, and the ids of those on end, for A and for B.
+
+        Neighbours of which the former ends in no white space are encoded as one string, as they would be within a text.
+        """
+        ok = np.ones(len(ends), bool)
+        found: list[list[np.ndarray]] = [[], []]
+        first = np.concatenate([[0], ends[:-1]])
+        # A string ends with a unit that ends in white space, at a multiple of JOINT_BYTES, and with the last unit.
+        stops = np.flatnonzero(~joint | (ends // JOINT_BYTES != np.append(ends[1:], ends[-1:] + JOINT_BYTES) // JOINT_BYTES)) + 1 if len(ends) else np.empty(0, np.int64)
+        for lo in range(0, len(stops), 16):
+            of = stops[lo : lo + 16]
+            units = np.concatenate([[stops[lo - 1] if lo else 0], of])
+            spans = [data[first[i] : ends[j - 1]] for i, j in zip(units[:-1], units[1:], strict=True)]
+            for i, j, span, *ids in zip(units[:-1], units[1:], spans, *self._tokens([x.tobytes().decode() for x in spans]), strict=True):
+                if all(self._given_back(side, x, span) for side, x in enumerate(ids)):
+                    for side in (0, 1):
+                        found[side].append(ids[side])
+                    continue
+                for k in range(i, j):  # one of these units isn't given back
+                    own = data[first[k] : ends[k]]
+                    alone = [x[0] for x in self._tokens([own.tobytes().decode()])]
+                    ok[k] = all(self._given_back(side, x, own) for side, x in enumerate(alone))
+                    for side in (0, 1) if ok[k] else ():
+                        found[side].append(alone[side])
+        return ok, [np.concatenate([np.empty(0, np.int64), *x]) for x in found]
+
+    def units(self, values: pa.Array | pa.ChunkedArray) -> Units:
         wide = pa.large_string()
         data, offsets = text.buffers(pc.binary_join_element_wise(pa.scalar(" ", wide), pc.fill_null(values, "").cast(wide), pa.scalar("", wide)))
         starts = _starts(data, offsets)
         bounds = np.append(starts, len(data)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         encoded = column.dictionary_encode()
-        distinct = encoded.dictionary.to_pylist()
-        known = self.known
-        found = [known.get(u) for u in distinct]
-        new = [i for i, u in enumerate(found) if u is None]
-        if new:
-            strings = [distinct[i].decode() for i in new]
-            a = self.a.encode_batch_fast(strings, add_special_tokens=False)
-            b = self.b.encode([s[1:] for s in strings], num_threads=1)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            for i, x, y in zip(new, a, b, strict=True):
-                found[i] = self.align(distinct[i], x.ids, y)
-                if len(distinct[i]) <= SHORT and len(known) < REMEMBERED:
-                    known[distinct[i]] = found[i]
-        return found, encoded.indices.to_numpy(), np.searchsorted(starts, offsets)
+        own, ends = _content(encoded.dictionary)
+        ok, ids = self._encoded(own, ends, _no_white_before(own, ends))
+        # Places of the units given back, all on end.
+        sizes = np.diff(np.concatenate([[0], ends]))
+        kept = np.flatnonzero(ok)
+        unit_ends = np.cumsum(sizes[kept])
+        token_ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)]
+        is_end = [np.zeros(int(sizes[kept].sum()) + 1, bool) for _ in ids]
+        for mark, x in zip(is_end, token_ends, strict=True):
+            mark[x] = True
+        either, both = np.flatnonzero(is_end[0] | is_end[1]), np.flatnonzero(is_end[0] & is_end[1])
+        a, b = (x[np.searchsorted(e, either)] for x, e in zip(ids, token_ends, strict=True))
+
+        def per_unit(at):
+            out = np.zeros(len(ok), np.int64)
+            out[kept] = np.diff(np.searchsorted(at, np.concatenate([[0], unit_ends]), "right"))
+            return out
+
+        numbers = [per_unit(x) for x in (*token_ends, both, either)]
+        last = [np.searchsorted(e, both) for e in token_ends]
+        at_unit_end = np.zeros(len(is_end[0]), bool)
+        at_unit_end[unit_ends] = True
+        return Units(ok, *numbers, a * self.size_b + b, (ids, last, at_unit_end[both]), encoded.indices.to_numpy().astype(np.int64), np.searchsorted(starts, offsets))
+
+    def groups(self, units: Units) -> pa.Array:
+        """Each unit's groups as written."""
+        ids, last, closes = units.tokens
+        closing = [np.zeros(len(x), np.int64) for x in ids]
+        closing[0][last[0]] = 1
+        closing[1][last[1]] = np.where(closes, 2, 1)
+        # A group's tokens of A come before its tokens of B.
+        group = [np.searchsorted(e, np.arange(len(x))) for e, x in zip(last, ids, strict=True)]
+        through = [np.concatenate([[0], e + 1]) for e in last]
+        order = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        order[np.arange(len(ids[0])) + through[1][group[0]]] = ids[0] + self.size_a * closing[0]
+        order[np.arange(len(ids[1])) + through[0][group[1] + 1]] = 2 * self.size_a + ids[1] + self.size_b * closing[1]
+        ends = np.concatenate([[0], np.cumsum(units.n_a + units.n_b)])
+        return _joined(self.written.take(pa.array(order)), ends, "")
+
+
+def _content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary column on end, and each row's end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
+def _joined(strings: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings), pa.scalar(by, pa.large_string()))
+
+
+def _no_white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is certainly no white space; False at the first two."""
+    at = np.maximum(at, 3)
+    if len(data) < 3:
+        return np.zeros(len(at), bool)
+    last = data[at - 1].astype(np.int32)
+    two = (data[at - 2].astype(np.int32) << 8) | last
+    three = (data[at - 3].astype(np.int32) << 16) | two
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~np.isin(two, _WHITE) & ~np.isin(three, _WHITE))
 
 
 def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of the units: of every text, and spaces after a character that is no white space."""
     at = np.flatnonzero(data == 0x20)
     at = at[at > 2]
-    last = data[at - 1].astype(np.int32)
-    two = (data[at - 2].astype(np.int32) << 8) | last
-    three = (data[at - 3].astype(np.int32) << 16) | two
-    cut = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~np.isin(two, _WHITE) & ~np.isin(three, _WHITE))
-    return np.union1d(offsets[:-1], at[cut])
+    begins = np.zeros(len(data), bool)
+    begins[at[_no_white_before(data, at)]] = True
+    begins[offsets[1:] - 1] = False  # a last space has no token of B without what is before it
+    begins[offsets[:-1]] = True
+    return np.flatnonzero(begins)
 
 
-def _whole(found: list[Unit], at: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _whole(units: Units) -> np.ndarray:
     """Whether each text consists of units that both tokenizers give back."""
-    bad = np.concatenate([[0], np.cumsum(~np.array([u.ok for u in found], bool)[at])])
-    return bad[first[1:]] == bad[first[:-1]]
+    bad = np.concatenate([[0], np.cumsum(~units.ok[units.at])])
+    return bad[units.first[1:]] == bad[units.first[:-1]]
 
 
 def _counted(aligner: Aligner, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of some texts, ascending, with their numbers of links."""
-    found, at, first = aligner.units(values)
-    times = np.bincount(at[np.repeat(_whole(found, at, first), np.diff(first))], minlength=len(found))
-    keys = np.fromiter(chain.from_iterable(u.links for u in found), np.int64)
-    return _summed(keys, np.repeat(times, [len(u.links) for u in found]))
+    units = aligner.units(values)
+    times = np.bincount(units.at[np.repeat(_whole(units), np.diff(units.first))], minlength=len(units.ok))
+    return _summed(units.links, np.repeat(times, units.n_links))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,29 +462,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, into: str = "aligned") -> D
 
     def realign(key, block, known):
         row = block.column("row").combine_chunks()
-        found, at, first = _aligner(handle).units(pc.struct_field(row, "text"))
-        whole = _whole(found, at, first)
+        aligner = _aligner(handle)
+        units = aligner.units(pc.struct_field(row, "text"))
+        whole = _whole(units)
         keys, counts, best = _flat(known.column("keys")), _flat(known.column("counts")), _flat(known.column("best"))
         order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order]
-        links = np.fromiter(chain.from_iterable(u.links for u in found), np.int64)
-        place = np.searchsorted(keys, links)
+        place = np.searchsorted(keys, units.links)
         here = place < len(keys)
-        here[here] = keys[place[here]] == links[here]  # pairs of texts that are not given back have no count
-        ends = np.cumsum([0, *(len(u.links) for u in found)])
+        here[here] = keys[place[here]] == units.links[here]  # pairs of texts that are not given back have no count
+        ends = np.cumsum(np.concatenate([[0], units.n_links]))
 
         def per_unit(of):
-            values = np.zeros(len(links), np.int64)
+            values = np.zeros(len(units.links), np.int64)
             values[here] = of[place[here]]
             return np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
 
         def per_text(of):
-            total = np.concatenate([[0], np.cumsum(of[at])])
-            return pa.array(np.where(whole, total[first[1:]] - total[first[:-1]], 0), pa.int64())
+            total = np.concatenate([[0], np.cumsum(of[units.at])])
+            return pa.array(np.where(whole, total[units.first[1:]] - total[units.first[:-1]], 0), pa.int64())
 
-        numbers = [np.array([u[i] for u in found], np.int64) for i in (1, 2, 3)] + [np.diff(ends), per_unit(best), per_unit(counts)]
-        strings = pa.array([u.groups for u in found], pa.large_string()).take(pa.array(at))
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), strings), pa.scalar(";", pa.large_string()))
+        numbers = [units.n_a, units.n_b, units.n_groups, units.n_links, per_unit(best), per_unit(counts)]
+        joined = _joined(aligner.groups(units).take(pa.array(units.at)), units.first, ";")
         groups = pc.if_else(pa.array(whole), joined, pa.scalar("", pa.large_string())).cast(pa.string())
         return pa.table({"row": row, "found": pa.StructArray.from_arrays([*map(per_text, numbers), groups], _FOUND.names)})
 
