@@ -43,7 +43,7 @@ from tokenizers import Tokenizer
 from touchline.llm import text
 from touchline.plans.materialize import materialize
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 FILE_BYTES = 64 << 20
 CELLS = 256
 FAN = 64
