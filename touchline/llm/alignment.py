@@ -27,6 +27,7 @@ spaces. ``docs`` keeps all columns, whatever their names, but for a column named
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import NamedTuple
 
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,10 @@ CELLS = 256
 FAN = 64
 GAMMA = 2  # places per key at each level of the hash
 JOINT_BYTES = 1 << 14  # units are encoded in strings of about this size
+LONG = 1 << 16  # longer strings, single units all of them, are left to the library that takes any length
 SPACE = "▁"
+# Fixed value: where byte-level tokenizers cut before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters beyond ASCII that are white space, as UTF-8.
 _WHITE = [0xC285, 0xC2A0, 0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
 _U = np.uint64
@@ -76,8 +81,18 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
+def _ranks(spec: dict, byte: dict[str, int]) -> dict[bytes, int]:
+    """Entries as bytes with their ids, which have to be in the order of the merges."""
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]
+    if not plain or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        raise ValueError("only byte-level merges by rank without a normaliser are read")
+    return {bytes(byte[c] for c in entry): i for entry, i in vocab.items() if i < 256 + len(merges)}
+
+
 class Aligner:
-    """Both tokenizers."""
+    """Both tokenizers; A by the rank-based library, which is several times faster, and long strings by the other."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         self.a = Tokenizer.from_str(a_file.decode())
@@ -85,6 +100,8 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         byte = _byte_of()
         entries = self.a.get_vocab(with_added_tokens=True)
+        ranks = _ranks(json.loads(a_file), byte)
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             a_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
@@ -99,8 +116,8 @@ class Aligner:
         self.written = pa.array([f"{i}{end}" for size, ends in ((self.size_a, ",|"), (n, (",", ";", ""))) for end in ends for i in range(size)], pa.large_string())
 
     def _tokens(self, strings: list[str]) -> list[list[np.ndarray]]:
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
-        return [a, [np.array(ids, np.int64) for ids in self.b.encode([s[1:] for s in strings], num_threads=1)]]
+        a = [self.fast.encode_ordinary(s) if len(s) <= LONG else self.a.encode(s, add_special_tokens=False).ids for s in strings]
+        return [[np.array(ids, np.int64) for ids in a], [np.array(ids, np.int64) for ids in self.b.encode([s[1:] for s in strings], num_threads=1)]]
 
     def _given_back(self, side: int, ids: np.ndarray, data: np.ndarray) -> bool:
         if self.sizes[side][ids].sum() != len(data):
@@ -115,8 +132,8 @@ class Aligner:
         ok = np.ones(len(ends), bool)
         found: list[list[np.ndarray]] = [[], []]
         first = np.concatenate([[0], ends[:-1]])
-        # A string ends with a unit that ends in white space, at a multiple of JOINT_BYTES, and with the last unit.
-        stops = np.flatnonzero(~joint | (ends // JOINT_BYTES != np.append(ends[1:], ends[-1:] + JOINT_BYTES) // JOINT_BYTES)) + 1 if len(ends) else np.empty(0, np.int64)
+        # A string ends with a unit that ends in white space, before the unit of empty texts, at a multiple of JOINT_BYTES, and last.
+        stops = np.flatnonzero(~joint | np.append(ends[1:] - ends[:-1] == 1, True) | (ends // JOINT_BYTES != np.append(ends[1:], ends[-1:] + JOINT_BYTES) // JOINT_BYTES)) + 1 if len(ends) else np.empty(0, np.int64)
         for lo in range(0, len(stops), 16):
             of = stops[lo : lo + 16]
             units = np.concatenate([[stops[lo - 1] if lo else 0], of])
@@ -193,20 +210,20 @@ def _joined(strings: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
 
 
 def _no_white_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the character before each place is certainly no white space; False at the first two."""
+    """Whether the character before each place is certainly no white space; False at the first three places."""
+    late = at >= 3
+    if not late.any():
+        return late
     at = np.maximum(at, 3)
-    if len(data) < 3:
-        return np.zeros(len(at), bool)
     last = data[at - 1].astype(np.int32)
     two = (data[at - 2].astype(np.int32) << 8) | last
     three = (data[at - 3].astype(np.int32) << 16) | two
-    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~np.isin(two, _WHITE) & ~np.isin(three, _WHITE))
+    return late & (((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~np.isin(two, _WHITE) & ~np.isin(three, _WHITE)))
 
 
 def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of the units: of every text, and spaces after a character that is no white space."""
     at = np.flatnonzero(data == 0x20)
-    at = at[at > 2]
     begins = np.zeros(len(data), bool)
     begins[at[_no_white_before(data, at)]] = True
     begins[offsets[1:] - 1] = False  # a last space has no token of B without what is before it
