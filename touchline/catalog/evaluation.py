@@ -138,7 +138,12 @@ query("E20_calibration_overall", f"SELECT model_version_id, round(overall_ece, 9
 query("E21_hosmer_lemeshow_chi2", f"""SELECT model_version_id, cls, round(sum(power(mean_actual * count - mean_predicted * count, 2) / (mean_predicted * count + 1e-10)), 6) AS chi2
     FROM ({QBINS}) WHERE count > 0 GROUP BY model_version_id, cls""")(
     lambda t: r9(K.hosmer_lemeshow(scored(t)), "chi2", digits=6).select("model_version_id", "cls", "chi2"))
-query("E21_hosmer_lemeshow_pvalue")(lambda t: K.hosmer_lemeshow(scored(t)))
+CHI2 = f"SELECT model_version_id, cls, sum(power(mean_actual * count - mean_predicted * count, 2) / (mean_predicted * count + 1e-10)) AS chi2, count(*) AS bins FROM ({QBINS}) WHERE count > 0 GROUP BY model_version_id, cls"
+# The lower tail as the power series of the incomplete gamma function, term by term.
+query("E21_hosmer_lemeshow_pvalue", f"""SELECT model_version_id, cls, round(CASE WHEN bins > 2 THEN any_value(chi2) ELSE 0.0::DOUBLE END, 6) AS chi2,
+    round(CASE WHEN bins <= 2 OR any_value(chi2) <= 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - sum(exp(-chi2 / 2 + ((bins - 1) / 2.0::DOUBLE + n) * ln(greatest(chi2, 1e-300::DOUBLE) / 2) - lgamma((bins - 1) / 2.0::DOUBLE + n + 1))) END, 9) AS p_value
+    FROM ({CHI2}) CROSS JOIN range(0, 4000) r(n) GROUP BY model_version_id, cls, bins""")(
+    lambda t: r9(r9(K.hosmer_lemeshow(scored(t)), "chi2", digits=6), "p_value"))
 query("E22_calibration_large", """SELECT model_version_id, cls, round(avg(power(prob - hit, 2)), 9) AS brier_score,
     round(avg(CAST(hit AS DOUBLE)) - avg(prob), 9) AS calibration_intercept FROM by_class GROUP BY model_version_id, cls""")(
     lambda t: r9(K.calibration_large(scored(t)), "brier_score", "calibration_intercept"))

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from touchline.catalog.base import AS_OF, query
@@ -84,8 +85,35 @@ def calibrated(t, method):
     return M.fit_calibrator(df, method).calibrate(df).select("match_id", "model_version_id", *PROBS)
 
 
-query("M17_isotonic_calibrate")(lambda t: calibrated(t, "isotonic"))
-query("M18_sigmoid_calibrate")(lambda t: calibrated(t, "sigmoid"))
+def calibrated_sql(values: str) -> str:
+    """Rows of ``scored`` with the class values (cls, prob, value) of ``values``, normalised."""
+    joins = " ".join(f"JOIN v {k} ON {k}.cls = {i} AND {k}.prob = s.{p}" for i, (k, p) in enumerate(zip("abc", PROBS)))
+    shares = ", ".join(f"round({k} / greatest(a + b + c, 1e-10::DOUBLE), 9) AS {p}" for k, p in zip("abc", PROBS))
+    return f"""SELECT match_id, model_version_id, {shares} FROM (WITH v AS MATERIALIZED ({values})
+        SELECT s.match_id, s.model_version_id, a.value AS a, b.value AS b, c.value AS c FROM scored s {joins})"""
+
+
+# A level's value is the largest, over levels up to it, of the smallest mean from there to a level from it on.
+ISOTONIC = """WITH lv AS (SELECT cls, prob, sum(hit) AS s, count(*) AS w FROM by_class GROUP BY cls, prob),
+      cum AS (SELECT *, row_number() OVER o AS i, sum(s) OVER o AS cs, sum(w) OVER o AS cw FROM lv WINDOW o AS (PARTITION BY cls ORDER BY prob)),
+      means AS (SELECT a.cls, a.i AS j, b.i, (b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS m FROM cum a JOIN cum b ON a.cls = b.cls AND b.i >= a.i),
+      least_mean AS (SELECT cls, i, min(m) OVER (PARTITION BY cls, j ORDER BY i DESC) AS m FROM means)
+    SELECT cum.cls, cum.prob, max(m) AS value FROM least_mean JOIN cum ON cum.cls = least_mean.cls AND cum.i = least_mean.i GROUP BY cum.cls, cum.prob"""
+
+
+def sigmoid_sql(steps: int = 12) -> str:
+    """Newton steps one after the other, from 0."""
+    p = "(1 / (1 + exp(-(a * x + b))))"
+    sums = f"sum(n * {p} - h) AS gb, sum((n * {p} - h) * x) + any_value(a) AS ga, sum(n * {p} * (1 - {p})) AS hbb, sum(n * {p} * (1 - {p}) * x) AS hab, sum(n * {p} * (1 - {p}) * x * x) + 1 AS haa"
+    parts = ["lv AS MATERIALIZED (SELECT cls, prob AS x, sum(hit) AS h, count(*) AS n FROM by_class GROUP BY cls, prob)",
+             "it0 AS MATERIALIZED (SELECT DISTINCT cls, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM lv)"]
+    parts += [f"""it{i + 1} AS MATERIALIZED (SELECT cls, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b
+        FROM (SELECT cls, any_value(a) AS a, any_value(b) AS b, {sums} FROM lv JOIN it{i} USING (cls) GROUP BY cls))""" for i in range(steps)]
+    return f"WITH {', '.join(parts)} SELECT cls, x AS prob, {p} AS value FROM lv JOIN it{steps} USING (cls)"
+
+
+query("M17_isotonic_calibrate", calibrated_sql(ISOTONIC))(lambda t: r9(calibrated(t, "isotonic"), *PROBS))
+query("M18_sigmoid_calibrate", calibrated_sql(sigmoid_sql()))(lambda t: r9(calibrated(t, "sigmoid"), *PROBS))
 
 
 @query("M19_calibrated_predict")
@@ -101,6 +129,33 @@ query("M22_train_run")(lambda t: M.train_run(labelled(t), small_rf).metrics)
 query("M25_stacking")(lambda t: M.stacking(rows(t)[1], [lambda d: small_rf(d, trees=5, depth=4, weight=None), lambda d: M.logistic(d, max_iter=20)])[1])
 query("M26_poisson_goals")(lambda t: M.poisson_goals(part(t, "train"))(rows(t)[1]).select(
     "match_id", "split", "home_rate", "away_rate", "btts_prob", "over_2_5_prob"))
+
+
+def two_prices(t):
+    """Finished matches with the raw implied probabilities of both sides as their features."""
+    rows = t.matches.filter(is_finished() & F.col("odds_home").isNotNull() & F.col("odds_away").isNotNull())
+    return rows.select(F.col("id").alias("match_id"), "home_score", "away_score", array_to_vector(F.array(1 / F.col("odds_home"), 1 / F.col("odds_away"))).alias("features"))
+
+
+def poisson_sql(side: str, steps: int = 12) -> str:
+    """Newton steps for two features and an intercept, each a 3 by 3 system by Cramer's rule."""
+    mu = "exp(b0 + b1 * x1 + b2 * x2)"
+    parts = [f"d AS MATERIALIZED (SELECT id AS match_id, 1 / odds_home AS x1, 1 / odds_away AS x2, {side}_score AS y FROM matches WHERE {DONE} AND odds_home IS NOT NULL AND odds_away IS NOT NULL)",
+             "it0 AS MATERIALIZED (SELECT ln(avg(y)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM d)"]
+    sums = ", ".join(f"avg({mu}{f}) AS {n}" for n, f in (("s00", ""), ("s01", " * x1"), ("s02", " * x2"), ("s12", " * x1 * x2"))) + \
+        f", avg({mu} * x1 * x1) + 0.1 AS s11, avg({mu} * x2 * x2) + 0.1 AS s22, avg(y - {mu}) AS g0, avg((y - {mu}) * x1) - 0.1 * any_value(b1) AS g1, avg((y - {mu}) * x2) - 0.1 * any_value(b2) AS g2"
+    det = "(s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02))"
+    by = ["(g0 * (s11 * s22 - s12 * s12) - s01 * (g1 * s22 - s12 * g2) + s02 * (g1 * s12 - s11 * g2))",
+          "(s00 * (g1 * s22 - s12 * g2) - g0 * (s01 * s22 - s12 * s02) + s02 * (s01 * g2 - g1 * s02))",
+          "(s00 * (s11 * g2 - g1 * s12) - s01 * (s01 * g2 - g1 * s02) + g0 * (s01 * s12 - s11 * s02))"]
+    parts += [f"""it{i + 1} AS MATERIALIZED (SELECT {", ".join(f"b{k} + {by[k]} / {det} AS b{k}" for k in range(3))}
+        FROM (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {sums} FROM d CROSS JOIN it{i}))""" for i in range(steps)]
+    return f"WITH {', '.join(parts)} SELECT match_id, {mu} AS rate FROM d CROSS JOIN it{steps}"
+
+
+query("M26_poisson_two_features", f"""SELECT h.match_id, round(h.rate, 9) AS home_rate, round(a.rate, 9) AS away_rate, round((1 - exp(-h.rate)) * (1 - exp(-a.rate)), 9) AS btts_prob
+    FROM ({poisson_sql("home")}) h JOIN ({poisson_sql("away")}) a ON a.match_id = h.match_id""")(
+    lambda t: r9(M.poisson_goals(two_prices(t))(two_prices(t)), "home_rate", "away_rate", "btts_prob").select("match_id", "home_rate", "away_rate", "btts_prob"))
 query("F17_goal_markets")(lambda t: M.poisson_goals(part(t, "train"))(rows(t)[1]).groupBy("split").agg(
     F.avg("btts_prob").alias("btts_prob"), F.avg("over_2_5_prob").alias("over_2_5_prob")))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from touchline.operators.evaluation import MODEL
 from touchline.plans.materialize import materialize
@@ -15,6 +14,7 @@ from touchline.plans.ordering import quantile_table
 from touchline.schema import OUTCOME_NAMES, OUTCOMES, PROBS
 
 BINS = 10
+SERIES_TERMS, FRACTION_LEVELS = 120, 80  # to rounding for up to 50 degrees of freedom
 
 
 def linspace_edges(n_bins: int = BINS) -> list[float]:
@@ -104,30 +104,25 @@ def calibration_overall(errors: DataFrame, by: Sequence[str] = MODEL) -> DataFra
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
-    """Upper tail of the chi-square distribution for whole degrees of freedom.
+    """Upper tail of the chi-square distribution for whole degrees of freedom: the regularised incomplete gamma function.
 
-    Spark has no complementary error function, so this one scalar per class is a Pandas UDF.
+    With ``a = df / 2`` and ``h = x / 2``: below ``a + 1`` one less the power series, above it the continued fraction from its end;
+    both are folds over a fixed sequence. The gamma function of a half or whole number is a product.
     """
-
-    def tail(x: float, k: int) -> float:
-        import math
-
-        if x <= 0:
-            return 1.0
-        half = x / 2
-        if k % 2:
-            total, order = math.erfc(math.sqrt(half)), 0.5
-        else:
-            total, order = math.exp(-half), 1.0
-        while order < k / 2:
-            total += math.exp(order * math.log(half) - half - math.lgamma(order + 1))
-            order += 1
-        return total
-
-    def tails(x: pd.Series, df: pd.Series) -> pd.Series:
-        return x.combine(df, lambda a, k: tail(float(a), int(k)))
-
-    return F.pandas_udf(tails, T.DoubleType())(x, df)
+    a, h = df / 2, x / 2
+    whole = df % 2 == 0
+    first = F.when(whole, F.lit(1.0)).otherwise(F.lit(math.sqrt(math.pi)))
+    factors = F.sequence(F.lit(1), F.greatest(F.ceil(a) - 1, F.lit(0)).cast("int"))
+    step = F.when(whole, F.lit(0.0)).otherwise(F.lit(0.5))
+    gamma = F.when(df <= 2, first).otherwise(F.aggregate(factors, first, lambda g, i: g * (i - step)))
+    scale = F.exp(a * F.log(h) - h) / gamma
+    # Sum of h ** n / (a (a + 1) .. (a + n)), the last term beside it.
+    start = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
+    terms = F.sequence(F.lit(1), F.lit(SERIES_TERMS))
+    series = F.aggregate(terms, start, lambda s, n: F.struct((s["term"] * h / (a + n)).alias("term"), (s["total"] + s["term"] * h / (a + n)).alias("total")))
+    levels = F.sequence(F.lit(FRACTION_LEVELS), F.lit(1))
+    below = F.aggregate(levels, F.lit(0.0), lambda t, n: n * (a - n) / (h + 2 * n + 1 - a + t))
+    return F.when(x <= 0, F.lit(1.0)).when(h < a + 1, 1 - scale * series["total"]).otherwise(scale / (h + 1 - a + below))
 
 
 def hosmer_lemeshow(scored: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:

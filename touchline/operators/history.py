@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.match import DAY_US, is_finished, match_result, micros, ntz, points, round2
 from touchline.plans.asof import asof_count, asof_trailing, trailing_rows
-from touchline.plans.ordering import BLOCK_ROWS, join_on
+from touchline.plans.ordering import BLOCK_ROWS, join_on, prefix_sums
 
 WINDOWS = (3, 5, 10)
 SIDES = ("home", "away")
@@ -326,35 +326,41 @@ def team_record(matches: DataFrame) -> DataFrame:
         F.sum("loss").alias("losses"), F.sum("gf").alias("goals_for"), F.sum("ga").alias("goals_against"))
 
 
-def tournament_context(matches: DataFrame) -> DataFrame:
+def tournament_context(matches: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Season progress and stage, league points and position of both sides before the match day.
 
-    The standings table has one row per season day and team: bounded by teams times the
-    days of a season, whatever the number of matches.
+    A team's standing changes on days it has played; such a change takes its old standing out and puts its new one in. The
+    position is one more than the number of teams then above, a sum of such changes over earlier days and higher standings,
+    counted by :func:`counts_above`. No table of days by teams is made; ``season_id`` may be NULL and a season of any size.
     """
     day = F.to_date("match_date")
     rows = team_rows(matches).withColumn("day", day)
-    daily = rows.filter("is_hist").groupBy("season_id", "team_id", "day").agg(
-        F.sum("points").alias("p"), F.sum(F.col("gf") - F.col("ga")).alias("gd"))
-    season_days = matches.groupBy("season_id", day.alias("day")).agg(F.count("*").alias("n"))
-    in_order = Window.partitionBy("season_id").orderBy("day")
+    season = F.coalesce(F.col("season_id").cast("string"), F.lit("")).alias("season")  # NULL is a season too
+    daily = rows.groupBy(season, "team_id", "day").agg(
+        F.sum(F.when(F.col("is_hist"), F.col("points"))).alias("p"), F.sum(F.when(F.col("is_hist"), F.col("gf") - F.col("ga"))).alias("gd"))
+    upto = Window.partitionBy("season", "team_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    # Standings before and after each of a team's days, which are as many as it has matches at most.
+    daily = daily.select("season", "team_id", "day", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_after") for c in ("p", "gd")],
+                         F.coalesce("p", F.lit(0)).alias("p_day"), F.coalesce("gd", F.lit(0)).alias("gd_day"))
+    daily = daily.withColumns({c: F.col(f"{c}_after") - F.col(f"{c}_day") for c in ("p", "gd")})
+    changes = daily.where("p_day <> 0 OR gd_day <> 0").select("season", "day", F.inline(F.array(
+        F.struct(F.col("p"), F.col("gd"), F.lit(-1).alias("weight")), F.struct(F.col("p_after").alias("p"), F.col("gd_after").alias("gd"), F.lit(1).alias("weight")))))
+    first = daily.select("season", "team_id").distinct().groupBy("season").agg(F.count("*").cast("int").alias("weight")).select(
+        "season", F.lit(None).cast("date").alias("day"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("gd"), "weight")
+    placed = counts_above(daily.select("season", "team_id", "day", "p", "gd"), changes.unionByName(first), block_rows=block_rows)
+    standing = placed.select("season", "team_id", "day", F.col("p").alias("points_total"), (F.col("above") + 1).cast("int").alias("league_position"))
+    sides = rows.select("match_id", "is_home", season, "team_id", "day").join(standing, ["season", "team_id", "day"])
+    wide = by_match(sides, ["league_position", "points_total"])
+
+    season_days = matches.groupBy(season, day.alias("day")).agg(F.count("*").alias("n"))
+    in_order = Window.partitionBy("season").orderBy("day")
     progress = season_days.select(
-        "season_id", "day",
+        "season", "day",
         (F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-         / F.sum("n").over(Window.partitionBy("season_id"))).alias("season_progress"))
-    season_teams = rows.select("season_id", "team_id").distinct()
-    before = Window.partitionBy("season_id", "team_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    table = (
-        join_on(join_on(season_days.select("season_id", "day"), season_teams, ["season_id"]), daily, ["season_id", "team_id", "day"], "left")
-        .select("season_id", "team_id", "day", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("points_total"),
-                F.coalesce(F.sum("gd").over(before), F.lit(0)).alias("gd_total"))
-        .withColumn("league_position", F.rank().over(
-            Window.partitionBy("season_id", "day").orderBy(F.desc("points_total"), F.desc("gd_total")))))
-    sides = join_on(rows.select("match_id", "is_home", "season_id", "team_id", "day"), table, ["season_id", "team_id", "day"])
-    wide = by_match(sides, ["league_position", "points_total"])
+         / F.sum("n").over(Window.partitionBy("season"))).alias("season_progress"))
     stage = F.when(F.col("season_progress") < 0.2, "early").when(F.col("season_progress") <= 0.75, "mid").otherwise("late")
     return (
-        join_on(matches.select(F.col("id").alias("match_id"), "season_id", day.alias("day")), progress, ["season_id", "day"])
+        matches.select(F.col("id").alias("match_id"), season, day.alias("day")).join(progress, ["season", "day"])
         .join(wide, "match_id")
         .select("match_id", "season_progress", stage.alias("season_stage"),
                 "home_league_position", "away_league_position",
@@ -363,6 +369,33 @@ def tournament_context(matches: DataFrame) -> DataFrame:
                 (F.col("home_points_total") - F.col("away_points_total")).alias("points_diff")))
 
 
+def counts_above(asked: DataFrame, changes: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``asked`` (season, team_id, day, p, gd) with ``above``: the weight of changes on earlier days at a higher (p, gd).
+
+    Offline dominance counting by divide and conquer over time. Days are numbered in binary; two days part at one bit, where the
+    earlier has 0 and the later 1. So at each bit the changes with 0 and the rows asked with 1 that agree in all higher bits form a
+    group, and a running sum down the standings of the group gives each row its share of the count. A row takes part in half of the
+    bits on average, and a group of any size is summed in blocks. Changes without a day come before all days.
+    """
+    first = asked.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    bits = max(1, ((first["b"] - first["a"]).days + 1).bit_length()) if first["a"] else 1
+    number = F.coalesce(F.datediff("day", F.lit(first["a"])) + 1, F.lit(0))
+
+    def parted(df: DataFrame, bit: int) -> DataFrame:
+        has = [F.when(F.shiftright("t", i).bitwiseAND(F.lit(1)) == bit, F.struct(F.lit(i).alias("bit"), F.shiftright("t", i + 1).alias("node"))) for i in range(bits)]
+        return df.select("*", F.inline(F.array_compact(F.array(*has))))
+
+    folded = changes.withColumn("t", number).groupBy("season", "t", "p", "gd").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    here = parted(folded, 0).groupBy("season", "bit", "node", "p", "gd").agg(F.sum("weight").cast("double").alias("weight"))
+    rows = parted(asked.withColumn("t", number), 1)
+    # Of equal standings the rows asked come first: they count what is strictly above them.
+    both = rows.select("season", "bit", "node", (-F.col("p")).alias("low_p"), (-F.col("gd")).alias("low_gd"), F.lit(0).alias("kind"), "team_id", "t", F.lit(0.0).alias("weight")).unionByName(
+        here.select("season", "bit", "node", (-F.col("p")).alias("low_p"), (-F.col("gd")).alias("low_gd"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("team_id"), F.lit(0).alias("t"), "weight"))
+    summed = prefix_sums(both, ["season", "bit", "node"], ["low_p", "low_gd", "kind", "team_id", "t"], "weight", out="above", block_rows=block_rows)
+    total = summed.where("kind = 0").groupBy("season", "team_id", "t").agg(F.sum("above").cast("long").alias("above"))
+    return asked.withColumn("t", number).join(total, ["season", "team_id", "t"]).drop("t")
+
+
 def training_rows(matches: DataFrame, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Finished matches with odds: result, raw implied probabilities, calendar and days since the last home match."""
     rows = matches.filter(is_finished() & F.col("odds_home").isNotNull()).withColumn("us", micros())

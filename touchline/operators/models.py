@@ -21,8 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +29,12 @@ from touchline.functions.match import encode_target, is_finished, match_result,
 from touchline.functions.odds import favourite, goal_markets, has_odds
 from touchline.operators import calibration as K
 from touchline.operators import evaluation as E
+from touchline.operators import fits
 from touchline.operators.features import feature_columns, feature_matrix
 from touchline.operators.prep import feature_pipeline
 from touchline.operators.splits import backtest_split, calibration_split, split_members, temporal_split
 from touchline.operators.value_bets import with_pick
+from touchline.plans.materialize import materialize
 from touchline.plans.ordering import BLOCK_ROWS
 from touchline.schema import ODDS, PROBS
 
@@ -183,35 +184,29 @@ def ensemble_average(scored: Sequence[DataFrame], weights: Sequence[float] | Non
 
 @dataclass
 class Calibrator:
-    """Per-class maps fitted one-vs-rest, then rows normalised to sum 1."""
+    """Per-class maps fitted one-vs-rest, then rows normalised to sum 1: a table of isotonic steps, or logistic curves by class."""
 
     method: str
-    maps: list[Any]
+    maps: Any
 
     def calibrate(self, df: DataFrame) -> DataFrame:
         if self.method == "isotonic":
-            for i, (p, m) in enumerate(zip(PROBS, self.maps)):
-                df = m.copy({m.featuresCol: p, m.predictionCol: f"_c{i}"}).transform(df)
+            asked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cls"), F.col(p).cast("double").alias("score")) for i, p in enumerate(PROBS)])))
+            values = materialize(fits.isotonic_values(self.maps, asked), "calibrated")
+            for i, p in enumerate(PROBS):
+                own = values.filter(F.col("cls") == i).select(F.col("score").alias(f"_s{i}"), F.col("value").alias(f"_c{i}"))
+                df = df.join(own, F.col(p) == F.col(f"_s{i}"), "left").drop(f"_s{i}")
         else:
             df = df.withColumns({f"_c{i}": 1 / (1 + F.exp(-(F.lit(a) * F.col(p) + F.lit(b))))
-                                 for i, (p, (a, b)) in enumerate(zip(PROBS, self.maps))})
+                                 for i, p in enumerate(PROBS) for a, b in [self.maps[i]]})
         total = F.greatest(F.col("_c0") + F.col("_c1") + F.col("_c2"), F.lit(1e-10))
         return df.withColumns({p: F.col(f"_c{i}") / total for i, p in enumerate(PROBS)}).drop("_c0", "_c1", "_c2")
 
 
 def fit_calibrator(scored: DataFrame, method: str = "isotonic") -> Calibrator:
-    """Isotonic: rows are folded to distinct scores with weights first. Sigmoid: a logistic fit on the score."""
-    maps: list[Any] = []
-    for i, p in enumerate(PROBS):
-        hits = scored.select(F.col(p), (F.col("label") == i).cast("double").alias("hit"))
-        if method == "isotonic":
-            levels = hits.groupBy(p).agg(F.avg("hit").alias("hit"), F.count("*").cast("double").alias("w"))
-            maps.append(IsotonicRegression(featuresCol=p, labelCol="hit", weightCol="w").fit(levels))
-        else:
-            rows = hits.select(array_to_vector(F.array(p)).alias("x"), "hit")
-            lr = LogisticRegression(featuresCol="x", labelCol="hit", regParam=1 / rows.count(), standardization=False).fit(rows)
-            maps.append((float(lr.coefficients[0]), float(lr.intercept)))
-    return Calibrator(method, maps)
+    """Isotonic steps, or a logistic curve on the score with an L2 penalty of strength 1, for each class against the others."""
+    rows = fits.labelled_scores(scored, PROBS)
+    return Calibrator(method, fits.isotonic_steps(rows) if method == "isotonic" else fits.sigmoid_curves(rows))
 
 
 @dataclass
@@ -368,16 +363,6 @@ def stacking(rows: DataFrame, bases: Sequence[Fit], *, c: float = 1.0) -> tuple[
 
 
 def poisson_goals(rows: DataFrame, *, features: str = "features", alpha: float = 0.1) -> Callable[[DataFrame], DataFrame]:
-    """Two Poisson regressions; gives a scorer that adds rates and the goal markets."""
-    models = []
-    for side in ("home", "away"):
-        glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=alpha, featuresCol=features,
-                                          labelCol=f"{side}_score", predictionCol=f"{side}_rate")
-        models.append(glm.fit(rows))
-
-    def score(df: DataFrame) -> DataFrame:
-        for m in models:
-            df = m.transform(df)
-        return df.withColumns(goal_markets("home_rate", "away_rate"))
-
-    return score
+    """Two Poisson regressions, fitted together; gives a scorer that adds rates and the goal markets."""
+    model = fits.poisson_rates(rows, {f"{side}_rate": f"{side}_score" for side in ("home", "away")}, features=features, alpha=alpha)
+    return lambda df: model.transform(df).withColumns(goal_markets("home_rate", "away_rate"))
