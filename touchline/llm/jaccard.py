@@ -28,7 +28,8 @@ from touchline.plans.materialize import materialize
 
 FRAGMENTS = 4
 STARS = 1
-OUTLIERS, NODES = 512, 2048  # of a block when the rest is compared
+OUTLIERS, NODES = 512, 2048  # of a block when the rest is compared, at most
+OUTLIER_TOKENS, NODE_TOKENS = 1 << 18, 1 << 20  # n-grams of a block on average, at most
 _PARSED = f"node string, n long, entries array<struct<token:long,pos:int>>, {', '.join(f'f{i} array<long>' for i in range(FRAGMENTS))}"
 
 
@@ -172,10 +173,11 @@ def _rest(rows: DataFrame, parsed: DataFrame, percent: int) -> DataFrame:
     blocks of bounded size; a task returns one link for each node and component at most.
     """
     clusters = components(rows.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    nodes = rows.select("node", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
-    parts = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"))
-    parts = parts.select("cluster", F.ceil(F.col("m") / NODES).alias("n_right"), F.ceil((F.col("m") - F.col("main.m")) / OUTLIERS).alias("n_left"), F.col("main.comp").alias("main"))
-    held = nodes.join(materialize(parts, "clusters"), "cluster").join(parsed.select("node", "n", *[f"f{i}" for i in range(FRAGMENTS)]), "node")
+    nodes = rows.select("node", "comp", "n").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "node")
+    parts = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w")).groupBy("cluster").agg(F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "comp", "w")).alias("main"))
+    outside = F.greatest(F.ceil((F.col("m") - F.col("main.m")) / OUTLIERS), F.ceil((F.col("w") - F.col("main.w")) / OUTLIER_TOKENS))
+    parts = parts.select("cluster", F.greatest(F.ceil(F.col("m") / NODES), F.ceil(F.col("w") / NODE_TOKENS)).alias("n_right"), outside.alias("n_left"), F.col("main.comp").alias("main"))
+    held = nodes.join(materialize(parts, "clusters"), "cluster").join(parsed.select("node", *[f"f{i}" for i in range(FRAGMENTS)]), "node")
     held = materialize(held.withColumn("left", F.pmod(F.xxhash64("node"), "n_left").cast("int")).withColumn("right", F.pmod(F.xxhash64("node"), "n_right").cast("int")), "nodes")
     keep = ["cluster", "left", "right", "node", "comp", "n", *[f"f{i}" for i in range(FRAGMENTS)]]
     some = held.where("comp <> main").withColumn("right", F.explode(F.sequence(F.lit(0), (F.col("n_right") - 1).cast("int")))).select(*keep)

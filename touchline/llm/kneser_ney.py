@@ -35,6 +35,7 @@ HELD = 3
 PRIOR = 50
 QUANTILE = 0.99
 SLACK = 1.5
+BROADCAST_ROWS = 1_000_000  # short keys of rejected texts sent to all tasks at most
 LANGUAGES = 10_000
 LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
 START, END = 1, 2  # stand for words
@@ -284,7 +285,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, o
     trusted = materialize(trusted_texts(docs, labels), "trusted")
     scores = materialize(score(docs, trusted, order), "scores")
     rows = docs.select("doc_id", "lang", F.md5("text").alias("key"))
-    scored = materialize(rows.join(scores.join(trusted.where("held"), "key", "left").hint("merge"), "key", "left"), "judged")
+    scored = materialize(rows.join(scores.join(trusted.where("held"), "key", "left"), "key", "left"), "judged")
     by_lang, every = limits(scored, quantile, slack)
     out = scored.join(by_lang, F.col("lang") == F.col("l_lang"), "left")
     out = out.withColumn("mean", F.coalesce("l_mean", F.lit(every["mean"]).cast("double")))
@@ -306,4 +307,5 @@ def drop_poor(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sl
     poor = _judged(docs, labels, quantile, slack, order).where("not keep").select(F.col("key").alias("p_key"), F.col("lang").alias("p_lang")).distinct()
     poor = materialize(poor, "poor")
     same = (F.md5(docs["text"]) == poor["p_key"]) & docs["lang"].eqNullSafe(poor["p_lang"])
-    return docs.join(poor.hint("merge"), same, "left_anti")
+    # A list of known size goes to the texts; beyond it texts move to the list's partitions.
+    return docs.join(F.broadcast(poor) if poor.count() <= BROADCAST_ROWS else poor, same, "left_anti")
