@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", encoding),
 ]
 
-ORACLE_SQL: str | None = None  # the classifier and the encoding are beyond SQL; tests hold each stage against brute force
+ORACLE_SQL: str | None = None  # the classifier and the encoding are beyond SQL; no test runs the chain as a whole, tests/llm has each operator
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
