@@ -5,7 +5,8 @@
    :mod:`blocks`); n-grams of one document alone come first and can be left out of all that follows.
 3. Prefix filter: two sets that meet the threshold share an n-gram among the first ``n - ceil(t n) + 1`` of each. In text whose
    n-grams are its own this prefix holds nothing shared, and the document ends here.
-4. The order is cut into ``FRAGMENTS`` fragments. Overlaps of a candidate pair are counted in each fragment by itself and summed.
+4. N-grams are dealt by the top bits of their hashes into ``FRAGMENTS`` fragments, not by segments of the order of rarity. Overlaps of
+   a candidate pair are counted in each fragment by itself and summed.
 5. Candidates of a prefix n-gram are first compared with one centre each (``STARS`` turns with other centres), so most of a group
    of near copies joins at a cost in proportion to its size. What lies outside a group's largest component is then compared with
    the whole group, in blocks of bounded size, so no link between components is lost and no pair list is ever written out.

@@ -1,9 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by membership of word windows in indexed reference blocks.
 
 Documents are cut by ``doc_id`` into reference blocks. Each block's index is the sorted list of the hashes of its word windows.
-Every document is factored against all earlier blocks and the earlier part of its own: a factor is a maximal run of windows that
-occur earlier, it grows word by word while the next window is found and ends where one is not, so a factor is checked at both of
-its boundaries and is at least one window long. The words of factors go.
+Every window of a document is looked up in all earlier blocks and the earlier part of its own, and the words of windows found go.
+This takes the place of relative Lempel-Ziv factors: a run of found windows need not be one passage of any reference, no source or
+position is kept, and words are not compared beyond the hashes of their windows.
 
 Exactness: windows are compared by 64-bit hashes; two different windows meet with a chance of 2**-64 per pair.
 Text moves once; hashes move as packed lists (see :mod:`blocks`), one entry per block and window, so a passage that a third of
