@@ -52,8 +52,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     text = F.concat("host", "path")
     listed = rules.select(F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("r_digest"), text.alias("r_rule"), F.col("verdict").alias("r_verdict"))
     listed = listed.withColumn("r_short", F.substring("r_digest", 1, PREFIX))
-    met = asked.join(listed, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")), "left")
-    # Smallest first: longer rules, block before allow, then the text.
-    order = F.when(F.col("r_rule").isNotNull(), F.struct((-F.length("r_rule")).alias("n"), (F.col("r_verdict") != "block").alias("a"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict")))
+    met = asked.join(listed, F.col("short") == F.col("r_short"), "left")
+    # Confirmed by the whole digest. Smallest first: longer rules, block before allow, then the text.
+    order = F.when(F.col("digest") == F.col("r_digest"), F.struct((-F.length("r_rule")).alias("n"), (F.col("r_verdict") != "block").alias("a"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict")))
     best = met.groupBy("row").agg(F.first("page_key").alias("page_key"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(order).alias("best"))
     return best.select(F.col("page_key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
