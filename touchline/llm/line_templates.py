@@ -34,12 +34,15 @@ MIN_TOKENS = 3
 OWN = 10
 
 
-def _masked(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, "[0-9]+", "#"))
+def _masked(text: Column) -> Column:
+    """The masked lines of a text; digits are masked in the whole text at once."""
+    return F.transform(F.split(F.regexp_replace(text, "[0-9]+", "#"), "\n"), F.trim)
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(line, r"[ \t\r]+")
+    """Split at runs of blanks; only lines with a run, tab or carriage return need a pattern."""
+    plain = ~(F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")))
+    return F.when(plain, F.split(line, " ")).otherwise(F.split(line, r"[ \t\r]+"))
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -48,9 +51,11 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(k_text, k_doc, line): a row for each distinct masked line of a row, without blank ones."""
-    masked = F.array_distinct(F.transform(F.split("text", "\n"), _masked))
-    rows = docs.where("text <> ''").select(*_key(F.col("doc_id"), F.col("text")), F.explode(masked).alias("line"))
-    return rows.where(~F.col("line").rlike(r"^[ \t\r]*$"))
+    masked = F.filter(F.array_distinct(_masked(F.col("text"))), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
+    # The keys are taken before the lines are dealt out: beside explode() they would be hashed for each line. The plain explode()
+    # would also get a filter on its size, which masks every text a second time.
+    rows = docs.where("text <> ''").select(*_key(F.col("doc_id"), F.col("text")), masked.alias("lines"))
+    return rows.select("k_text", "k_doc", F.explode_outer("lines").alias("line")).where("line is not null")
 
 
 def _templates(docs: DataFrame, once: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
@@ -81,11 +86,9 @@ def _templates(docs: DataFrame, once: DataFrame, min_docs: int, min_tokens: int)
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(k_text, k_doc, gone): for each text that holds lines of recurring templates, the hashes of those masked lines."""
-    def shape(tokens: Column) -> Column:
-        return F.struct(F.size(tokens).alias("words"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"))
-
-    occ = _lines(docs).select("k_text", "k_doc", F.xxhash64("line").alias("hash"), F.transform(F.array(_tokens(F.col("line"))), shape)[0].alias("shape"))
-    occ = materialize(occ.select("k_text", "k_doc", "hash", "shape.*"), "lines")
+    occ = _lines(docs).select("k_text", "k_doc", F.xxhash64("line").alias("hash"), _tokens(F.col("line")).alias("tokens"))
+    occ = occ.select("k_text", "k_doc", "hash", F.size("tokens").alias("words"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)).alias("leaf"))
+    occ = materialize(occ, "lines")
     once = materialize(occ.groupBy("k_text", "hash", "leaf", "words").agg(F.min("k_doc").alias("k_doc")), "once")
     templates = materialize(_templates(docs, once, min_docs, min_tokens), "templates")
 
@@ -119,12 +122,13 @@ def mark(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS
     key = _key(docs["doc_id"], docs["text"])
     joined = docs.join(gone, (key[0] == gone["k_text"]) & (key[1] == gone["k_doc"]), "left")
     lines = F.split(docs["text"], "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(gone["gone"], F.xxhash64(_masked(x))))
-    some = gone["gone"].isNotNull()
-    text = F.when(some, F.array_join(kept, "\n")).otherwise(docs["text"])
+    stays = F.zip_with(lines, _masked(docs["text"]), lambda x, m: F.when(~F.array_contains(gone["gone"], F.xxhash64(m)), x))
+    count, kept = f"{prefix}lines", f"{prefix}text"
     n_lines = F.when(docs["text"] == "", 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
-    return joined.select(*[docs[c] for c in docs.columns], n_lines.cast("long").alias(f"{prefix}lines"),
-                         F.when(some, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias(f"{prefix}dropped"), text.alias(f"{prefix}text"))
+    # The lines that stay are listed first and counted and joined from the list, so that a text is masked once.
+    listed = joined.select(*[docs[c] for c in docs.columns], n_lines.cast("long").alias(count), F.when(gone["gone"].isNotNull(), F.array_compact(stays)).alias(kept))
+    return listed.select(*docs.columns, count, F.coalesce(F.col(count) - F.size(kept), F.lit(0).cast("long")).alias(f"{prefix}dropped"),
+                         F.coalesce(F.array_join(kept, "\n"), F.col("text")).alias(kept))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
