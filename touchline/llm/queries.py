@@ -94,4 +94,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_permutation_index, op2_decontamination, op3_license_scan, op4_line_dedup, op5_substring_dedup, op6_jaccard_join,
     op7_url_filter, op8_sentencepiece, op9_quality_classifier, op10_warc, op11_alignment, op12_exact_topk, op13_whitening)}
 
-ORACLES: dict[str, str] = {}
+# Words as the contracts define them: a pattern over bytes that RE2 takes as code points.
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words(column: str, pattern: str, fold: bool) -> str:
+    text = f"translate({column}, {_FOLD})" if fold else column
+    return f"regexp_extract_all(coalesce({text}, ''), '{pattern}')"
+
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+        with d as (select row_number() over () as r, doc_id, {_words("text", _ALNUM, True)} as w from documents),
+        b as (select item_id, {_words("text", _ALNUM, True)} as w from benchmark where item_id is not null),
+        items as (select distinct item_id, case when len(w) < 10 then w else w[i:i + 9] end as g
+            from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+        sizes as (select distinct len(g) as n from items),
+        starts as (select r, i, n, w[i:i + n - 1] as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+        met as (select s.r, s.i, s.n, t.item_id from starts s join items t on s.g = t.g),
+        hits as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from met) group by r),
+        named as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+            from (select distinct r, item_id::varchar as item_id from met) group by r)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+            sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hits using (r) left join named using (r)""",
+    "op5_substring_dedup": f"""
+        with d as (select doc_id, {_words("text", _SPACED, False)} as w from documents),
+        starts as (select doc_id, i, w[i:i + 19] as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+        again as (select doc_id, i from starts qualify row_number() over (partition by g order by doc_id, i) > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from again),
+        each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select e.doc_id, count(g.p) as n_removed, string_agg(e.word, ' ' order by e.p) filter (where g.p is null) as text
+            from each e left join gone g on e.doc_id = g.doc_id and e.p = g.p group by e.doc_id)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+        from d left join kept using (doc_id)""",
+    "op7_url_filter": f"""
+        with p as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+        s as (select row_number() over () as r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_FOLD}) as host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+        rules(h, t, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+        select page_id, host, path, h || t as rule, coalesce(v, 'allow') as verdict
+        from s left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t)
+        qualify row_number() over (partition by r order by length(h || t) desc, v desc, h || t) = 1""",
+    "op10_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        s as (select page_id, octet_length(payload)::bigint as n, sha1(payload) as digest from p),
+        t as (select *, max(page_id) over (partition by digest, n) as top from s)
+        select page_id, n as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+            case when n >= 1000 and page_id <> top then top end as refers_to from t""",
+}
