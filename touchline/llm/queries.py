@@ -144,4 +144,22 @@ ORACLES: dict[str, str] = {
         t as (select *, max(page_id) over (partition by digest, n) as top from s)
         select page_id, n as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
             case when n >= 1000 and page_id <> top then top end as refers_to from t""",
+    "op6_jaccard_join": f"""
+        with recursive d as (select row_number() over () as r, doc_id, {_words("text", _SPACED, True)} as w from documents),
+        grams as (select distinct r, case when len(w) < 4 then w else w[i:i + 3] end as g
+            from (select r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from d where len(w) > 0)),
+        sizes as (select r, count(*) as n from grams group by r),
+        meet as (select a.r as a, b.r as b, count(*) as n from grams a join grams b on a.g = b.g and a.r <> b.r group by a.r, b.r),
+        links as (select a, b from meet join sizes x on x.r = a join sizes y on y.r = b where 100 * meet.n >= 85 * (x.n + y.n - meet.n)),
+        reach(a, b) as (select r, r from d union select reach.a, links.b from reach join links on links.a = reach.b),
+        least as (select a as r, min(doc_id) as component_id, count(*) as n_members from reach join d on d.r = reach.b group by a)
+        select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, n_members::bigint as n_members
+        from d join least using (r) left join sizes using (r)""",
+    "op12_exact_topk": """
+        with v as (select vec_id::bigint as id, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+        s as (select q.id as query_id, v.id as vec_id, list_dot_product(q.x, v.x)::bigint as score
+            from v q join v on q.id <> v.id and len(q.x) = len(v.x) where q.id % 100 = 0)
+        select query_id, (row_number() over best)::integer as rank, vec_id, score from s
+        window best as (partition by query_id order by score desc, vec_id) qualify row_number() over best <= 10""",
 }
