@@ -101,6 +101,13 @@ def test_licenses(docs, none):
     assert licenses.scan(docs, {}, {}).where("n_base > 0 or labels <> ''").count() == 0
 
 
+def test_licenses_with_many_places(spark):
+    """Places are folded to their count, first and last, whatever their number."""
+    rows = [(1, "x " + "cc by nc " * 20_000 + "under the MIT license"), (2, "cc by nc"), (3, "cc by")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={})
+    same(got, ["doc_id", "n_base", "first_word", "last_word", "base_labels"], [(1, 20_001, 1, 60_001, "cc-by-nc,mit"), (2, 1, 0, 0, "cc-by-nc"), (3, 0, None, None, "")])
+
+
 def test_license_blocks_are_all_found(spark):
     wording = "released under the mit license by example people and their friends today".split()
     lines = [" ".join(wording[:n]) for n in range(1, 13)] + ["x " + " ".join(reversed(wording)), "", "the mit"]

@@ -90,18 +90,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     ordered = [sorted(s, key=rank.get) for s, _ in sets]
     prefixes = sorted({w for s, n in zip(ordered, need, strict=True) for w in s[: len(s) - n + 1]})
 
+    none = F.array().cast("array<struct<n:bigint,first:bigint,last:bigint,label:string>>")
+
     def places(phrase: str, label: str) -> Column:
-        """(first word, label) of the phrase's places: the text is cut at each, and the words before each cut are counted."""
+        """Count, first and last of the phrase's places: the text is cut at each, and the words before each cut are counted."""
         parts = F.split("text", _phrase(phrase))
-        none = F.array().cast("array<struct<at:bigint,label:string>>")
 
         def step(state: Column, part: Column) -> Column:
             at = state["words"] + _count(part)
-            here = F.array(F.struct(at.alias("at"), F.lit(label).alias("label")))
-            return F.struct((at + 1).alias("words"), F.concat(state["found"], here).alias("found"))
+            return F.struct((at + 1).alias("words"), (state["n"] + 1).alias("n"), F.coalesce(state["first"], at).alias("first"), at.alias("last"))
 
-        start = F.struct(F.lit(0).cast("long").alias("words"), none.alias("found"))
-        found = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda state: state["found"])
+        zero, unknown = F.lit(0).cast("long"), F.lit(None).cast("long")
+        start = F.struct(zero.alias("words"), zero.alias("n"), unknown.alias("first"), unknown.alias("last"))
+        found = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step,
+                            lambda state: F.array(F.named_struct(F.lit("n"), state["n"], F.lit("first"), state["first"], F.lit("last"), state["last"], F.lit("label"), F.lit(label))))
         return F.when(F.size(parts) > 1, found).otherwise(none)
 
     def holds(word: str) -> Column:
@@ -110,7 +112,6 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     def any_of(tests: list[Column]) -> Column:
         return reduce(or_, tests, F.lit(False))
 
-    none = F.array().cast("array<struct<at:bigint,label:string>>")
     base = F.flatten(F.array(none, *[F.when(reduce(and_, map(holds, p.split())), places(p, label)).otherwise(none) for p, label in phrases.items()]))
     no_block = F.array().cast("array<struct<kind:int,words:array<string>>>")
 
@@ -151,7 +152,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                                   F.collect_set(found).alias("blocks"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     labels = F.array_sort(F.array_union(base_labels, F.transform("blocks", lambda b: b["label"])))
-    starts = F.transform("base", lambda b: b["at"])
+    n_base = F.aggregate("base", F.lit(0).cast("long"), lambda n, b: n + b["n"])
+    first, last = F.array_min(F.transform("base", lambda b: b["first"])), F.array_max(F.transform("base", lambda b: b["last"]))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
-    return each.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+    return each.select("doc_id", "n_words", n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"),
                        F.array_join(base_labels, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "blocks")
