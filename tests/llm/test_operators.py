@@ -322,7 +322,7 @@ def test_archives(spark, version):
 
 
 def test_permutation_index(spark, monkeypatch):
-    for name, value in (("LEAST", 150), ("PIVOTS", 128), ("LENGTH", 64), ("SHARD_ROWS", 1024), ("QUERY_ROWS", 64)):
+    for name, value in (("LEAST", 7), ("PIVOTS", 128), ("LENGTH", 64), ("SHARD_ROWS", 1024), ("QUERY_ROWS", 64)):
         monkeypatch.setattr(permutation_index, name, value)
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", F.lit(1).alias("v"), F.lit(1).alias("dim"))
     odd = [(100_000, None), (100_020, []), (100_040, [0.0] * 64), (100_060, [float("nan")] * 64), (100_080, [1.0, None] * 32), (None, [1.0] * 64), (100_100, [float("inf")] * 64)]
@@ -346,6 +346,32 @@ def test_permutation_index(spark, monkeypatch):
         if q >= 200_000:  # a common vector: the smallest ids of its copies
             assert list(part["vec_id"]) == [i for i, _ in hot if i != q][:20]
     assert found / (20 * len(asked)) >= 0.9
+    # With the parameters of the query the index is in use, and enough is found, at every size.
+    monkeypatch.undo()
+    for scale in ("0.01", "0.1"):
+        table = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
+        frame = table.orderBy("vec_id").toPandas()
+        ids, vectors = frame["vec_id"].to_numpy(), np.array(frame["embedding"].tolist(), np.float64)
+        kept = next(permutation_index._candidates(vectors, vectors[:1], vectors[:400], 20))
+        assert len(kept) == max(200, np.ceil(0.15 * len(ids))) < len(ids)
+        got = permutation_index.search(table, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("near")).toPandas()
+        found = 0
+        for q, near in zip(got["query_id"], got["near"], strict=True):
+            scores = vectors @ vectors[ids == q][0]
+            found += len(set(near) & set([int(i) for i in ids[np.lexsort((ids, -scores))] if i != q][:20]))
+        assert len(got) == (ids % 20 == 0).sum() and found / (20 * len(got)) >= 0.9
     few = permutation_index.search(table.where("vec_id < 5"), F.col("vec_id") % 20 == 0)
     assert few.count() == 4
     assert permutation_index.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_footrule_order():
+    """The rows kept for a query are those of the least footrule distance, summed plainly over all pivots."""
+    rng = np.random.default_rng(1)
+    vectors, pivots = rng.normal(size=(300, 16)), rng.normal(size=(40, 16))
+    length = 40
+    places = np.argsort(np.argsort(-vectors @ pivots.T, axis=1), axis=1)
+    for i, kept in enumerate(permutation_index._candidates(vectors, vectors[:5], pivots, 3)):
+        footrule = np.abs(np.minimum(places, length) - np.minimum(places[i], length)).sum(1)
+        assert len(set(kept.tolist())) == 45 and i in kept
+        assert footrule[kept].max() <= np.delete(footrule, kept).min()

@@ -3,8 +3,9 @@
 ``PIVOTS`` vectors are drawn by hash. A vector is represented by its ``LENGTH`` nearest pivots in order and posted, with its
 place in that order, in the inverted file of each. A query walks the files of its own pivots: with places counted from 0 and
 ``LENGTH`` for an absent pivot, the footrule distance falls by ``2 * (LENGTH - max(place, place'))`` for every shared pivot, so
-summing these over the files ranks by footrule. The best ``SHARE`` of each shard (``LEAST`` at least) are scored by the exact inner product in double
-precision.
+summing these over the files ranks by footrule. A file holds one number for each vector, ``LENGTH - place`` or 0 where the pivot
+is not among its nearest: a quarter of the numbers at least is not 0, so this is smaller than a list of rows and places. The best
+``SHARE`` of each shard (``LEAST`` times ``k`` at least) are scored by the exact inner product in double precision.
 
 Vectors are dealt by hash into shards of about ``SHARD_ROWS`` and queries into blocks of about ``QUERY_ROWS``; a task holds one
 of each. Equal vectors are one entry with its ``k + 1`` smallest ids, and equal queries one query, so neither a common vector nor
@@ -29,10 +30,10 @@ from touchline.plans.materialize import materialize
 
 PIVOTS = 512
 LENGTH = 128
-SHARE = 0.06
-LEAST = 1000
+SHARE = 0.15
+LEAST = 10
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 
 
 def _usable(v: Column) -> Column:
@@ -51,26 +52,27 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
 
-def _candidates(vectors: np.ndarray, queries: np.ndarray, pivots: np.ndarray):
-    """For each query the rows of its best footrule distances."""
-    n, m = len(vectors), len(pivots)
-    keep = max(LEAST, int(np.ceil(SHARE * n)))
-    if n <= keep:
-        for _ in range(len(queries)):
-            yield np.arange(n)
-        return
-    length = min(LENGTH, m)
+def _files(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+    """Inverted files, a row for each pivot: what each vector's place for it is short of ``length``."""
+    files = np.zeros((len(pivots), len(vectors)), np.uint16)
     orders = _orders(vectors, pivots, length)
-    # Inverted files: the postings (row, place) of all pivots on end.
-    flat = np.argsort(orders.ravel(), kind="stable")
-    rows, weights = (flat // length).astype(np.int64), (length - flat % length).astype(np.float64)
-    first = np.searchsorted(orders.ravel()[flat], np.arange(m + 1))
+    files[orders, np.arange(len(vectors))[:, None]] = np.arange(length, 0, -1, dtype=np.uint16)
+    return files
+
+
+def _candidates(vectors: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int):
+    """For each query the rows of its best footrule distances."""
+    n, length = len(vectors), min(LENGTH, len(pivots))
+    keep = min(n, max(LEAST * k, int(np.ceil(SHARE * n))))
+    files = _files(vectors, pivots, length)
+    # A sum is at most length * (length + 1) / 2.
+    gain, shared = np.empty(n, np.uint16 if length < 360 else np.uint32), np.empty(n, np.uint16)
     for order in _orders(queries, pivots, length):
-        files = [(first[p], first[p + 1], length - place) for place, p in enumerate(order.tolist())]
-        met = np.concatenate([rows[a:b] for a, b, _ in files])
-        shared = np.concatenate([np.minimum(weights[a:b], w) for a, b, w in files])
-        gain = np.bincount(met, shared, n)
-        yield np.argpartition(-gain, keep - 1)[:keep]
+        gain[:] = 0
+        for weight, pivot in zip(range(length, 0, -1), order.tolist(), strict=True):
+            np.minimum(files[pivot], np.uint16(weight), out=shared)
+            gain += shared
+        yield np.argpartition(gain, n - keep)[n - keep :]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -99,10 +101,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             v, q = _matrix(have.column("v")), _matrix(want.column("v"))
             ids = have.column("ids").to_pylist()
             points = handle.value[v.shape[1]]
-            for i, rows_ in enumerate(_candidates(v, q, points)):
+            first = np.array([i[0] for i in ids])
+            for i, rows_ in enumerate(_candidates(v, q, points, k)):
                 scores = np.einsum("ij,j->i", v[rows_], q[i])
-                least = np.array([ids[r][0] for r in rows_])
-                best = np.lexsort((least, -scores))[: k + 1]
+                if len(rows_) > k + 1:  # rows below the last score wanted can't be listed; equal scores stay
+                    high = scores >= np.partition(scores, -k - 1)[-k - 1]
+                    rows_, scores = rows_[high], scores[high]
+                best = np.lexsort((first[rows_], -scores))[: k + 1]
                 members = sorted((-scores[b], x) for b in best for x in ids[rows_[b]])[: k + 1]
                 found.append((i, [x for _, x in members], [-s for s, _ in members]))
         take = pa.array([f[0] for f in found], pa.int64())
