@@ -1,5 +1,6 @@
 """Every operator against plain Python on a table of awkward rows and on the small test tables."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -319,6 +320,31 @@ def test_archives(spark, version):
         list(warc.read_arc(warc.arc_file("n", [], "1").replace(b"\n1 0", b"\n9 0")))
     with pytest.raises(ValueError, match="shorter"):
         list(warc.read_arc(warc.arc_file("n", [(1, "u", "body")], version)[:-4]))
+    twice = warc.archive(pages.union(pages), version).select("record_id", "record_type", "refers_to").toPandas()
+    assert twice["record_id"].nunique() == len(twice) == 2 * len(rows)
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_foreign_archives(spark, tmp_path, monkeypatch, version):
+    """Bytes that are no text, spaces in urls and types, urls of other encodings, files bounded by bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    more = b"" if version == "1" else b" 200 - - 0 n"
+    bodies = [b"caf\xe9\r\n\r\n", b"\x00\xff" * 700, b"\x00\xff" * 700, b"", bytes(range(256)) * 30]
+    raw = warc.arc_file("n", [], version)
+    for i, body in enumerate(bodies):
+        raw += b"http://h/a b/caf\xe9 %d 20011231235959 text/html; charset=latin-1%s %d\n" % (i, more, len(body)) + body + b"\n"
+    assert [r[1:5] for r in warc.read_arc(raw)] == [("http://h/a%20b/caf%E9", str(i), "20011231235959", "text/html; charset=latin-1") for i in range(5)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame([("x.arc", raw), ("y.arc", raw)], "name string, arc binary"), path)
+    got = warc.read_warc(spark, path).toPandas()
+    assert len(got) == got["record_id"].nunique() == 10
+    for r in got.itertuples():
+        body = bodies[int(r.page_id)]
+        assert (r.payload_bytes, r.payload_digest, r.date) == (len(body), hashlib.sha1(body).hexdigest(), "2001-12-31T23:59:59Z")
+        assert r.record_type == ("revisit" if r.page_id == 1 else "response")
+        assert r.record_type == "revisit" or bytes(r.payload) == body
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert max(sizes) < 5000 + len(bodies[-1]) + 1000
 
 
 def test_permutation_index(spark, monkeypatch):
