@@ -61,6 +61,28 @@ def test_boosted_model_saves_and_loads(rows, tmp_path):
     assert a == b
 
 
+@pytest.mark.parametrize("calibration", ["isotonic", "sigmoid", None])
+def test_whole_run_saves_and_loads(spark, tables, tmp_path, calibration):
+    from datetime import datetime
+
+    from touchline.sources import registry as R
+
+    labelled = materialize(M.labelled_features(tables.matches))
+    fit = (lambda d: M.gbt_multiclass(d, rounds=2, depth=2)) if calibration == "sigmoid" else (lambda d: M.rf_classifier(d, trees=3, depth=3))
+    run = M.train_run(labelled, fit, calibration=calibration, columns=COLUMNS)
+    at = datetime(2001, 1, 1)
+    for version in ("a", "b"):  # the second is a loaded run, saved again
+        row = R.model_row(spark, id=1, algorithm="forest", at=at, metrics=run.registry_metrics(), hyperparameters={}, version=version)
+        R.save_run(run, row, str(tmp_path), version)
+        again = R.load_run(spark, str(tmp_path), version)
+        a, b = (M.predict(labelled, r).orderBy("match_id").collect() for r in (run, again))
+        assert a == b and len(a) == labelled.count()
+        assert again.columns == COLUMNS and again.registry_metrics() == run.registry_metrics()
+        assert again.model.model.importances() == run.model.model.importances()
+        run = again
+    assert spark.read.parquet(f"{tmp_path}/model_versions").count() == 2
+
+
 def test_grid_search_takes_the_smallest_log_loss(rows):
     best, trials = M.grid_search(M.rf_classifier, rows, M.grid(trees=[2, 4], depth=[2]))
     table = trials.collect()

@@ -173,6 +173,17 @@ def model_roundtrip(t):
     return scored_rows(loaded, rows(t)[1])
 
 
+@query("S10_run_save_load")
+def run_roundtrip(t):
+    """A whole run saved and loaded: the loaded one prepares, scores and calibrates raw features."""
+    root, at = fresh_path(t.spark, "registry"), datetime(2001, 1, 1, 12, 30)
+    version = R.version_name("random_forest", at)
+    run = M.train_run(labelled(t), small_rf)
+    row = R.model_row(t.spark, id=5, algorithm="random_forest", at=at, metrics=run.registry_metrics(), hyperparameters={"feature_names": run.columns})
+    R.save_run(run, row, root, version)
+    return M.predict(labelled(t), R.load_run(t.spark, root, version))
+
+
 BACKTEST = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY match_date, match_id) - 1 AS r, count(*) OVER () AS n FROM scored
     WHERE model_version_id = 2 AND odds_home IS NOT NULL AND odds_draw IS NOT NULL AND odds_away IS NOT NULL) WHERE r >= CAST(floor(n * (1 - 0.3::DOUBLE)) AS BIGINT)"""
 query("C4_backtest", f"""SELECT b.model_version_id, count(*) AS n, round(avg(CAST(label = pred AS DOUBLE)), 9) AS accuracy, round(avg(-ln(greatest(least({P_LABEL}, 1 - {EPS}), {EPS}))), 9) AS log_loss,

@@ -111,12 +111,17 @@ def upsert_upcoming(matches: DataFrame, resolved: DataFrame, *, first_id: int |
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All matches after the batch: priced rows replace odds, missing tournaments fill in, new keys append.
 
-    One full outer join of stored rows with the folded batch. Where ``matches`` carries ``SEQS``, rows may come out of order over
+    The folded batch is written once and joined to the stored rows by key; its keys that no stored row has are found among the keys
+    that both have, so stored rows are neither written nor, beside a small batch, moved. Where ``matches`` carries ``SEQS``, rows may come out of order over
     several batches: odds and tournament of a row with a later or earlier ``seq`` then win as they would in one batch, and what was
     stored before any batch (no ``seq``) counts as earliest.
     """
-    both = matches.withColumn("_stored", F.lit(True)).join(fold_upcoming(resolved), UPCOMING_KEY, "full_outer")
-    both = materialize(both, "merged") if ids is None else both
+    folded = materialize(fold_upcoming(resolved), "folded")
+    known = matches.select(*UPCOMING_KEY).join(folded.select(*UPCOMING_KEY), UPCOMING_KEY, "left_semi").distinct()
+    added = folded.join(known, UPCOMING_KEY, "left_anti")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in matches.schema if f.name not in UPCOMING_KEY]
+    stored_rows = matches.withColumn("_stored", F.lit(True)).join(folded, UPCOMING_KEY, "left")
+    new_rows = added.select("*", *blank, F.lit(None).cast("boolean").alias("_stored"))
     fresh, seqs = F.col("_stored").isNull(), set(SEQS) <= set(matches.columns)
     stored = {c: F.col(c) if seqs else F.lit(None).cast("long") for c in SEQS}
     priced = F.col("last_odds").isNotNull() & (stored["odds_seq"].isNull() | (stored["odds_seq"] < F.col("new_odds_seq")))
@@ -132,9 +137,8 @@ def upsert_upcoming(matches: DataFrame, resolved: DataFrame, *, first_id: int |
             "first_seq": F.when(fresh, F.col("seq")).when(stored["first_seq"].isNotNull(), F.least("first_seq", "seq")),
             "odds_seq": F.when(priced, F.col("new_odds_seq")).otherwise(stored["odds_seq"]),
             "tournament_seq": F.when(named, F.col("new_tournament_seq")).otherwise(stored["tournament_seq"])}
-    both = both.withColumns(changed)
-    kept = both.filter("_stored IS NOT NULL").select(*matches.columns)
-    return kept.unionByName(_numbered(matches, both.filter("_stored IS NULL"), UPCOMING_KEY, first_id, ids, block_rows))
+    kept = stored_rows.withColumns(changed).select(*matches.columns)
+    return kept.unionByName(_numbered(matches, new_rows.withColumns(changed), UPCOMING_KEY, first_id, ids, block_rows))
 
 
 def insert_results(matches: DataFrame, resolved: DataFrame, *, update_existing: bool = False,

@@ -88,14 +88,18 @@ class VectorModel:
 
     model: Any
 
+    def classifier(self) -> Any:
+        """The classifier itself, also where it was loaded as a pipeline of one stage."""
+        return self.model.stages[-1] if isinstance(self.model, PipelineModel) else self.model
+
     def transform(self, df: DataFrame) -> DataFrame:
         return _from_vector(self.model.transform(df), "probability").drop("rawPrediction", "probability", "prediction")
 
     def importances(self) -> list[float]:
-        if isinstance(self.model, LogisticRegressionModel):  # mean size over the coefficient rows
-            rows = abs(self.model.coefficientMatrix.toArray())
-            return [float(v) for v in rows.mean(axis=0)]
-        return [float(v) for v in self.model.featureImportances.toArray()]
+        model = self.classifier()
+        if isinstance(model, LogisticRegressionModel):  # mean size over the coefficient rows
+            return [float(v) for v in abs(model.coefficientMatrix.toArray()).mean(axis=0)]
+        return [float(v) for v in model.featureImportances.toArray()]
 
 
 def rf_classifier(rows: DataFrame, *, trees: int = 500, depth: int = 10, min_leaf: int = 2, weight: str | None = "weight",

@@ -1,4 +1,4 @@
-"""Model registry: metadata rows in a table, artifacts as saved Spark pipelines."""
+"""Model registry: metadata rows in a table, artifacts as saved Spark pipelines and tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.match import ntz
+from touchline.operators.models import CalibratedModel, Calibrator, GbtMulticlass, TrainingRun, VectorModel
 from touchline.schema import MODEL_VERSION
 
 
@@ -35,6 +36,40 @@ def load_model(root: str, version: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/models/{version}")
 
 
+def save_run(run: TrainingRun, row: DataFrame, root: str, version: str) -> None:
+    """Preparation, model, calibrator, metrics and column names of a whole run; the metadata row after them.
+
+    What is loaded scores raw features as the run does. Isotonic steps are saved as the table they are, logistic curves as numbers.
+    """
+    path, model, calibrator = f"{root}/runs/{version}", run.model.model, run.model.calibrator
+    boosted = isinstance(model, GbtMulticlass)
+    about = {"boosted": boosted, "columns": run.columns, "method": calibrator and calibrator.method, "curves": None}
+    run.prepared.write().overwrite().save(f"{path}/prepared")
+    if boosted:
+        model.save(f"{path}/model")
+    else:
+        PipelineModel([model.classifier()]).write().overwrite().save(f"{path}/model")
+    if calibrator and calibrator.method == "isotonic":
+        calibrator.maps.write.mode("overwrite").parquet(f"{path}/steps")
+    elif calibrator:
+        about["curves"] = [[cls, float(a), float(b)] for cls, (a, b) in sorted(calibrator.maps.items())]
+    run.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    row.sparkSession.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+    row.write.mode("append").parquet(f"{root}/model_versions")
+
+
+def load_run(spark: SparkSession, root: str, version: str) -> TrainingRun:
+    path = f"{root}/runs/{version}"
+    about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+    model = GbtMulticlass.load(f"{path}/model") if about["boosted"] else VectorModel(PipelineModel.load(f"{path}/model"))
+    calibrator = None
+    if about["method"]:
+        curves = about["curves"]
+        calibrator = Calibrator(about["method"], spark.read.parquet(f"{path}/steps") if curves is None else {c: (a, b) for c, a, b in curves})
+    scorer = CalibratedModel(model, calibrator)
+    return TrainingRun(PipelineModel.load(f"{path}/prepared"), scorer, spark.read.parquet(f"{path}/metrics"), about["columns"])
+
+
 def activate(models: DataFrame, version: str | Column) -> DataFrame:
     """Exactly the named version becomes active. ``previous_version`` tells which one was."""
     was = models.filter("is_active").agg(F.min("version")).scalar()
