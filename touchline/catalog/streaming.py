@@ -55,6 +55,35 @@ def value_bets(t):
     return t.spark.read.schema(alerts.schema).parquet(out).drop("kelly_fraction")
 
 
+# Updates of a match come half a day to ten days before it, predictions a day before: some before, some after, some too far apart.
+UPDATED = "m.match_date - INTERVAL '12' HOUR * (1 + m.id % 20)"
+
+
+@query("X3_live_value_bets", f"""SELECT m.id AS match_id, p.id AS prediction_id, p.model_version_id, p.predicted_outcome, {PICK_ODDS} AS market_odds, p.confidence * ({PICK_ODDS}) - 1 AS expected_value,
+    greatest(CAST({UPDATED} AS TIMESTAMP), CAST(p.predicted_at AS TIMESTAMP)) AS alerted_at
+    FROM predictions p JOIN matches m ON m.id = p.match_id WHERE p.model_version_id = 2 AND p.predicted_at < m.match_date
+    AND p.predicted_at BETWEEN {UPDATED} - INTERVAL '7' DAY AND {UPDATED} + INTERVAL '7' DAY
+    AND m.odds_home IS NOT NULL AND {PICK_ODDS} <= 10 AND p.confidence * ({PICK_ODDS}) - 1 >= 0.05::DOUBLE""")
+def live_value_bets(t):
+    """Both streams come in order of time, in as many parts; the two parts of a batch are cut at the same times."""
+    out, mark = fresh_path(t.spark, "alerts"), fresh_path(t.spark, "mark")
+    half_days = (F.col("id") % 20 + 1).cast("int")
+    updated = F.col("match_date") - F.make_dt_interval(hours=half_days * 12)
+    odds = materialize(t.matches.filter("match_date IS NOT NULL").select(F.col("id").alias("match_id"), "match_date", updated.alias("updated_at"), *ODDS), "odds")
+    made = t.predictions.filter("predicted_at IS NOT NULL")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = odds.agg(F.min(us("updated_at")).alias("low"), F.max(us("updated_at")).alias("high")).first()
+    low, width = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
+
+    def turn(c):
+        return F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((us(c) - low) * PARTS / width)))
+
+    for updates, predicted in zip(landings(t, odds, turn("updated_at"), "updates"), landings(t, made, turn("predicted_at"), "made")):
+        alerts = S.stream_live_value_bets(updates, predicted, 2)
+        S.write_append(alerts, out, mark).awaitTermination()
+    return t.spark.read.schema(alerts.schema).parquet(out).drop("kelly_fraction").withColumn("alerted_at", F.col("alerted_at").cast("timestamp_ntz"))
+
+
 def upsert(t):
     """Second scrapes arrive before first ones; new keys come last, so the answer is that of one batch, ids included."""
     table = S.MatchTable(t.spark, fresh_path(t.spark, "matches"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -43,19 +43,39 @@ def open_predictions(predictions: DataFrame, matches: DataFrame, model_version_i
 
 def stream_value_bets(odds_updates: DataFrame, open_: DataFrame, *, min_ev: float = 0.05, max_odds: float = 10.0) -> DataFrame:
     """Odds updates (match_id and three odds) joined to :func:`open_predictions`: alerts on the predicted outcome."""
+    return _alerts(odds_updates.filter(has_odds()).join(open_, "match_id"), min_ev, max_odds)
+
+
+def stream_live_value_bets(odds_updates: DataFrame, predictions: DataFrame, model_version_id: int, *, keep: str = "7 days",
+                           lateness: str = "1 day", min_ev: float = 0.05, max_odds: float = 10.0) -> DataFrame:
+    """Two streams: odds updates (match_id, match_date, updated_at and three odds) and predictions, whichever comes first.
+
+    An update meets every prediction of its match made at most ``keep`` before or after it, both before kick-off. Watermarks of
+    ``lateness`` on both sides and that bound let a row's state expire; rows later than the watermark drop. ``alerted_at`` is the later
+    of the two times. Rows without match or time take no part.
+    """
+    odds = odds_updates.filter(has_odds()).withColumn("updated", F.col("updated_at").cast("timestamp")).withWatermark("updated", lateness)
+    chosen = predictions.filter(F.col("model_version_id") == model_version_id).withColumn("made", F.col("predicted_at").cast("timestamp"))
+    made = chosen.withWatermark("made", lateness).withColumnsRenamed({"id": "prediction_id", "match_id": "_match"})
+    near = F.expr(f"made BETWEEN updated - INTERVAL {keep} AND updated + INTERVAL {keep}")
+    later = F.greatest("updated", "made")
+    joined = odds.join(made, (F.col("match_id") == F.col("_match")) & near).filter(later < F.col("match_date").cast("timestamp"))
+    return _alerts(joined, min_ev, max_odds, later.alias("alerted_at"))
+
+
+def _alerts(joined: DataFrame, min_ev: float, max_odds: float, *more: Column) -> DataFrame:
     pick = F.col("predicted_outcome")
 
     def of_pick(cols):
         return F.when(pick == "H", F.col(cols[0])).when(pick == "D", F.col(cols[1])).otherwise(F.col(cols[2]))
 
-    joined = odds_updates.filter(has_odds()).join(open_, "match_id")
     return (
         joined.withColumn("market_odds", of_pick(ODDS)).withColumn("probability", of_pick(PROBS))
         .filter(F.col("market_odds") <= max_odds)
         .withColumn("expected_value", expected_value("probability", "market_odds"))
         .filter(F.col("expected_value") >= min_ev)
         .select("match_id", "prediction_id", "model_version_id", "predicted_outcome", "market_odds", "expected_value",
-                kelly("probability", "market_odds").alias("kelly_fraction")))
+                kelly("probability", "market_odds").alias("kelly_fraction"), *more))
 
 
 class MatchTable:
