@@ -52,6 +52,13 @@ def test_isotonic_steps(spark, shape, pool_rows):
     assert values == sorted(set(values))
 
 
+def test_isotonic_values_frames_grow_from_the_start(spark):
+    steps = spark.createDataFrame([(0, 0.25, 0.5, 0.1)], "cls int, low double, high double, value double")
+    values = fits.isotonic_values(steps, spark.createDataFrame([(0, 0.1), (0, 0.6)], "cls int, score double"))
+    assert "unboundedfollowing" not in values._jdf.queryExecution().optimizedPlan().toString().lower()  # quadratic in a range's rows
+    assert {r["score"]: r["value"] for r in values.collect()} == {0.1: 0.1, 0.6: 0.1}
+
+
 def test_isotonic_values_between_and_beyond_the_steps(spark):
     steps = spark.createDataFrame([(0, 0.2, 0.4, 0.1), (0, 0.6, 0.6, 0.5), (1, 0.5, 0.5, 0.3)], "cls int, low double, high double, value double")
     asked = [(0, x) for x in (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 1.0, 1.0, None)] + [(1, 0.1), (1, 0.9)]

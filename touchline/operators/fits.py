@@ -91,12 +91,12 @@ def isotonic_values(steps: DataFrame, scores: DataFrame) -> DataFrame:
     point = F.when(~F.col("asked"), F.struct("score", "value"))
     # The nearest points within the range of rows, else the last one of the ranges before and the first of those after.
     ends = ranged.groupBy("cls", "piece").agg(F.max(point).alias("last"), F.min(point).alias("first"))  # a row per range
-    order = Window.partitionBy("cls").orderBy("piece")
-    carried = ends.select("cls", "piece", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-                          F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    within = Window.partitionBy("cls", "piece").orderBy("score")
-    near = ranged.withColumns({"below": F.last(point, True).over(within.rangeBetween(Window.unboundedPreceding, 0)),
-                               "above": F.first(point, True).over(within.rangeBetween(0, Window.unboundedFollowing))}).where("asked")
+    up, down = (Window.partitionBy("cls").orderBy(o) for o in (F.asc("piece"), F.desc("piece")))
+    carried = ends.select("cls", "piece", F.last("last", True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+                          F.last("first", True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    # Both frames grow from the start of their order; one that reaches to the end would be walked again for each row.
+    up, down = (Window.partitionBy("cls", "piece").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("score"), F.desc("score")))
+    near = ranged.withColumns({"below": F.last(point, True).over(up), "above": F.last(point, True).over(down)}).where("asked")
     near = near.join(carried, ["cls", "piece"]).withColumns({"below": F.coalesce("below", "earlier"), "above": F.coalesce("above", "later")})
     share = (F.col("score") - F.col("below.score")) / (F.col("above.score") - F.col("below.score"))
     between = F.col("below.value") + share * (F.col("above.value") - F.col("below.value"))
