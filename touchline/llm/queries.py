@@ -59,13 +59,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL))
+    return pieces(sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL, check=True))
 
 
 def pieces(encoded: DataFrame) -> DataFrame:
-    """Digests of the struct ``pieces``."""
+    """Digests of the struct ``pieces``, and whether the sentencepiece library gave the same ids and text."""
     ids = F.array_join(F.col("pieces.ids").cast("array<string>"), ",")
-    return encoded.select("doc_id", F.size("pieces.ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("pieces.decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("pieces.ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("pieces.decoded", 256).alias("decoded_sha256"),
+                          F.col("pieces.agrees").alias("agrees"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

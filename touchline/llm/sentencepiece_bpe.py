@@ -4,7 +4,7 @@ A text is prefixed with a space, spaces become ``▁``, and it is cut before eac
 after a ``▁`` that follows another character (checked when the model is read), so no merge crosses such a cut. In each part an
 agenda of adjacent symbol pairs, ordered by score and then by place, merges the best pair until none is in the vocabulary; parts
 are remembered in a bounded table. Symbols that stay unknown become bytes. With ``check`` each Arrow batch is compared with the
-sentencepiece library's own result and the outcome is a column; the tests do so over whole tables.
+sentencepiece library's own result and the outcome is a column; the query and the pipeline do so over whole tables.
 
 The model goes to the tasks as one broadcast of the file (half a megabyte; ``MODEL_BYTES`` is the most accepted).
 
