@@ -32,8 +32,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: number and digest of its token ids, and digest of the text decoded from them."""
-    return pieces(sentencepiece_bpe.encode(docs.select("doc_id", "text"), MODEL))
+    """Per document: number and digest of its token ids, digest of the text decoded from them, and whether the library agrees."""
+    return pieces(sentencepiece_bpe.encode(docs.select("doc_id", "text"), MODEL, check=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from touchline.llm import decontaminate, jaccard, kneser_ney, licenses, line_templates, permutation_index, queries, sentencepiece_bpe, substrings, urls, warc
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +224,14 @@ def test_sentencepiece(spark, docs, none):
     assert codec.encode(part) == library.encode(part)
 
 
+def test_sentencepiece_query_and_pipeline_check_with_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    whole = queries.op8_sentencepiece(spark, folder).collect()
+    assert whole and all(r["agrees"] is True for r in whole)
+    last = corpus_pipeline.encoding(spark, queries.table(spark, folder, "documents"), folder).collect()
+    assert sorted(last) == sorted(whole)
+
+
 def brute_perplexity(trusted, texts, order):
     """Interpolated modified Kneser-Ney by dictionaries."""
     def signs(text):
