@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators.history import side_features
+from touchline.plans import ordering
 from touchline.plans.asof import asof_count, asof_trailing, trailing_rows
-from touchline.plans.ordering import exact_quantiles, plan_blocks, prefix_sums, with_rank
+from touchline.plans.ordering import exact_quantiles, plan_blocks, prefix_sums, spread, with_rank
 
 
 def rows_with_hot_key(n=3000, seed=5, ties=False):
@@ -136,3 +138,17 @@ def test_rows_without_a_key_stay(spark):
     assert got.count() == 300 and got.filter("k IS NULL").agg(F.max("rank")).first()[0] == 149
     sums = prefix_sums(df, ["k"], ["us", "match_id"], "x", block_rows=40)
     assert sums.filter("k IS NULL").agg(F.max("running")).first()[0] == sum(i for i in range(300) if i % 2)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 500)
+    assert spread(df, 1_000_000_000, "k").rdd.getNumPartitions() == 4000
+    assert max(r["n"] for r in spread(df, 1000, "k", task_rows=50).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 200
+    assert "REPARTITION_BY_NUM" not in spread(df, 1000, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_team_windows_get_tasks_by_their_rows(spark, make_matches, monkeypatch):
+    monkeypatch.setattr(ordering.spread, "__kwdefaults__", {"task_rows": 10})
+    df = make_matches([(i % 40, 40 + i % 7, 1, 0) for i in range(200)])
+    plan = side_features(df, (3,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [team_id" in plan and ", 40" in plan  # 400 rows of teams

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.match import DAY_US, is_finished, match_result, micros, ntz, points, round2
 from touchline.plans.asof import asof_count, asof_trailing, trailing_rows
-from touchline.plans.ordering import BLOCK_ROWS, join_on, prefix_sums
+from touchline.plans.ordering import BLOCK_ROWS, join_on, prefix_sums, spread
 
 WINDOWS = (3, 5, 10)
 SIDES = ("home", "away")
@@ -76,14 +76,16 @@ def side_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates
     return looked.select("match_id", "is_home", *[c.alias(n) for n, c in features.items()])
 
 
-def by_match(sides: DataFrame, columns: Sequence[str]) -> DataFrame:
+def by_match(sides: DataFrame, columns: Sequence[str], n: int | None = None) -> DataFrame:
     """One row per match: each side column as home_ and away_ column.
 
     Side columns travel as one struct and the away struct is picked up behind the home one: a
-    single exchange of the side rows, where a conditional aggregate would carry every column twice.
+    single exchange of the side rows, where a conditional aggregate would carry every column twice. With their number ``n`` the
+    exchange has as many partitions as they need.
     """
     pair = Window.partitionBy("match_id").orderBy(F.col("is_home").desc())
     packed = sides.select("match_id", "is_home", F.struct(*columns).alias("home"))
+    packed = packed if n is None else spread(packed, n, "match_id")
     rows = packed.withColumn("away", F.lead("home").over(pair)).filter("is_home")
     return rows.select("match_id", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in SIDES for c in columns])
 
@@ -99,7 +101,7 @@ def team_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Form, rest and density features of both sides, one row per match."""
     sides = side_features(matches, windows, rates=rates, block_rows=block_rows)
-    wide = by_match(sides, [c for c in sides.columns if c not in ("match_id", "is_home")])
+    wide = by_match(sides, [c for c in sides.columns if c not in ("match_id", "is_home")], 2 * matches.count())
     for n in windows:
         for s in SIDES:
             wide = wide.withColumnRenamed(f"{s}_venue_form_{n}", f"{s}_{s}_form_{n}")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.plans.ordering import BLOCK, BLOCK_ROWS, SALT, Blocks, join_on, plan_blocks
+from touchline.plans.ordering import BLOCK, BLOCK_ROWS, SALT, Blocks, join_on, plan_blocks, spread
 
 # name -> (value column, first row, last row), rows counted back from the newest: (5, 1) = last five
 Frames = dict[str, tuple[str, int, int]]
@@ -40,7 +40,7 @@ def asof_trailing(rows: DataFrame, keys: Sequence[str], frames: Frames, *, us: s
         values = sorted({v for v, _, _ in used})
         rows = _cut_with_carry(rows, blocks, keys, us, id, history, sub, values, depth)
         part = [*keys, BLOCK, SALT]
-    rows = rows.repartition(*part)
+    rows = spread(rows, blocks.rows, *part)
 
     def summary(group: list[str], wanted: Frames, wanted_lists=()):
         w = Window.partitionBy(*group).orderBy(us, id)
@@ -112,7 +112,7 @@ def asof_count(rows: DataFrame, keys: Sequence[str], *, us: str = "us", id: str
     blocks = plan_blocks(rows, [*keys, us], block_rows=block_rows, split_ties=False)
     if not blocks:
         return rows.withColumn(out, earlier(keys))
-    cut = blocks.assign(rows, salt_on=id)
+    cut = spread(blocks.assign(rows, salt_on=id), blocks.rows, *keys, BLOCK, SALT)
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy(*keys, BLOCK).agg(F.sum(counted).alias("_n"))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from touchline.plans.materialize import materialize
 
 BLOCK_ROWS = 2_000_000   # rows one window task may hold
+TASK_ROWS = 250_000      # rows one task gets of an exchange for wide windows
 MAX_BLOCKS = 16_384      # bounds the split points kept on the driver
 SAMPLES_PER_BLOCK = 20
 BRACKET = 0.005          # distance of a bracket's ends from the wanted quantile
@@ -38,6 +39,7 @@ class Blocks:
     schema: T.StructType
     points: list[tuple] = field(default_factory=list)
     salts: dict[int, int] = field(default_factory=dict)  # block number -> pieces of one tied value
+    rows: int = 0  # of the table the blocks were planned for
 
     def __bool__(self) -> bool:
         return bool(self.points)
@@ -70,6 +72,17 @@ class Blocks:
         return df.withColumn(SALT, F.pmod(F.xxhash64(salt_on), pieces).cast("int"))
 
 
+def spread(df: DataFrame, rows: int, *cols: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Exchange by ``cols`` so that a task gets about ``task_rows`` of the ``rows``, however many there are.
+
+    A number of partitions is only given where the session's own would leave more in one task; a given number is not coalesced.
+    """
+    wanted = math.ceil(rows / task_rows)
+    spark = df.sparkSession
+    own = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *cols) if wanted > own else df.repartition(*cols)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches NULL keys, so no row without a key gets lost."""
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -88,7 +101,7 @@ def plan_blocks(df: DataFrame, cols: Sequence[str], *, block_rows: int = BLOCK_R
     cols = list(cols)
     keys = df.select(*cols)
     blocks = Blocks(cols, keys.schema)
-    n = keys.count()
+    n = blocks.rows = keys.count()
     if n <= block_rows:
         return blocks
     wanted = min(MAX_BLOCKS, math.ceil(n / block_rows))
