@@ -153,3 +153,8 @@ def test_quantiles_of_each_group_with_ties_and_nulls(spark):
     for g, values in data.items():
         np.testing.assert_allclose(got[g], np.quantile(values, [0.0, 0.1, 0.5, 1.0]), atol=1e-12)
     assert not quantile_table(spark.createDataFrame([], "g long, v double"), ["g"], "v", [0.5]).collect()
+
+
+def test_evaluation_writes_its_frame_once(tables):
+    found = E.evaluate_predictions(E.scored_frame(tables.predictions, tables.matches))
+    assert found.inputFiles() and all("/scored-" in f for f in found.inputFiles())  # the join does not run for each metric

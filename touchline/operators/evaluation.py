@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from touchline.functions.match import encode_target, is_finished, match_result, micros, ntz
 from touchline.functions.odds import has_odds
 from touchline.operators.value_bets import outcome_unpivot
+from touchline.plans.materialize import materialize
 from touchline.plans.ordering import BLOCK_ROWS, prefix_sums, with_rank
 from touchline.schema import ODDS, OUTCOMES, PROBS
 
 MODEL = ["model_version_id"]
 EPS = sys.float_info.epsilon
 KELLY_FRACTION = 0.25
+MONEY = ["odds", "kelly", "stake", "won", "returned", "profit"]
 CELLS = [(i, j) for i in range(3) for j in range(3)]
 
 
@@ -162,7 +164,7 @@ def betting_sim(placed: DataFrame, by: Sequence[str] = MODEL, extra: Sequence[Co
 
 def equity_curve(placed: DataFrame, by: Sequence[str] = MODEL, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running profit and its peak in (date, match, class) order, starting from 0."""
-    return prefix_sums(placed, by, ["us", "match_id", "cls"], "profit", out="equity", peak="peak", block_rows=block_rows)
+    return prefix_sums(placed, by, ["us", "match_id", "cls"], "profit", out="equity", peak="peak", few=True, block_rows=block_rows)
 
 
 def worst_fall() -> Column:
@@ -177,18 +179,24 @@ def max_drawdown(placed: DataFrame, by: Sequence[str] = MODEL, *, block_rows: in
 
 def betting_metrics(scored: DataFrame, by: Sequence[str] = MODEL, *, min_edge: float = 0.0,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All betting metrics in one aggregation over the equity curve."""
-    return betting_sim(equity_curve(bets(scored, min_edge=min_edge), by, block_rows=block_rows), by, [worst_fall()])
+    """All betting metrics in one aggregation over the equity curve; only what they read is moved."""
+    placed = bets(scored, min_edge=min_edge).select(*by, "us", "match_id", "cls", *MONEY)
+    return betting_sim(equity_curve(placed, by, block_rows=block_rows), by, [worst_fall()])
 
 
 # --- bundles and comparisons -------------------------------------------------------------
 
 def evaluate_predictions(scored: DataFrame, by: Sequence[str] = MODEL, *, min_edge: float = 0.0,
                          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Classification, calibration and betting metrics with the date range, one row per group."""
+    """Classification, calibration and betting metrics with the date range, one row per group.
+
+    The frame is read several times, so it is written once, with the columns needed: else the join behind it runs again each time.
+    """
     from touchline.operators.calibration import ece_mce_sum
 
     by = list(by)
+    needed = ["match_id", "label", "pred", "match_date", "us", *PROBS, *ODDS]
+    scored = materialize(scored.select(*by, *[c for c in needed if c not in by]), "scored")
     span = [F.min("match_date").alias("date_from"), F.max("match_date").alias("date_to")]
     return (
         classification_metrics(scored, by, span).join(ece_mce_sum(scored, by), by)

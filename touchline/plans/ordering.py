@@ -144,9 +144,12 @@ def with_rank(df: DataFrame, order: Sequence[str], *, by: Sequence[str] = (), ou
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *,
-                out: str = "running", peak: str | None = None,
+                out: str = "running", peak: str | None = None, few: bool = False,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Running sum of ``value`` within ``by`` along ``order``, and its running peak (at least 0)."""
+    """Running sum of ``value`` within ``by`` along ``order``, and its running peak (at least 0).
+
+    ``few`` says that groups are few (models), so that the block sums, a row per block and group, can go to every task.
+    """
     by, order = list(by), list(order)
     blocks = plan_blocks(df, by + order, block_rows=block_rows)
     if not blocks:
@@ -163,12 +166,21 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
             F.lit(0.0), F.coalesce(F.max(F.col("_start") + F.col("_high")).over(before), F.lit(0.0))))
         .select(*by, BLOCK, "_start", "_peak")
     )
-    done = join_on(local, pieces, [*by, BLOCK]).withColumn(out, F.col("_start") + F.col("_sum"))
+    done = join_on(local, F.broadcast(pieces) if few else pieces, [*by, BLOCK]).withColumn(out, F.col("_start") + F.col("_sum"))
     if peak:
         done = done.withColumn(peak, F.greatest("_peak", F.max(out).over(w)))
     return done.drop("_sum", "_start", "_peak", BLOCK)
 
 
+def narrow_scans(df: DataFrame, columns: dict[str, list[Column]]) -> dict:
+    """Aggregates (named) over many columns as one row, a few columns to a scan: code for all at once is too large to be compiled."""
+    out: dict = {}
+    parts = list(columns.values())
+    for i in range(0, len(parts), SCAN_COLUMNS):
+        out |= df.agg(*[a for part in parts[i : i + SCAN_COLUMNS] for a in part]).first().asDict()
+    return out
+
+
 def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of numeric columns, as driver scalars.
 
