@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from touchline.operators.history import side_features
 from touchline.plans import ordering
 from touchline.plans.asof import asof_count, asof_trailing, trailing_rows
-from touchline.plans.ordering import exact_quantiles, plan_blocks, prefix_sums, spread, with_rank
+from touchline.plans.ordering import exact_quantiles, narrow_scans, plan_blocks, prefix_sums, spread, with_rank
 
 
 def rows_with_hot_key(n=3000, seed=5, ties=False):
@@ -152,3 +152,13 @@ def test_team_windows_get_tasks_by_their_rows(spark, make_matches, monkeypatch):
     df = make_matches([(i % 40, 40 + i % 7, 1, 0) for i in range(200)])
     plan = side_features(df, (3,))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [team_id" in plan and ", 40" in plan  # 400 rows of teams
+
+
+def test_narrow_scans_give_one_row_for_all_columns(spark):
+    cols = [f"c{i}" for i in range(25)]
+    df = spark.range(50).select(*[(F.col("id") * i).cast("double").alias(c) for i, c in enumerate(cols)])
+    asked = {c: [F.sum(c).alias(f"s_{c}"), F.max(c).alias(f"m_{c}")] for c in cols}
+    scans = []
+    df.agg = lambda *a, agg=df.agg: scans.append(len(a)) or agg(*a)
+    row = narrow_scans(df, asked)
+    assert row == {f"s_c{i}": 1225.0 * i for i in range(25)} | {f"m_c{i}": 49.0 * i for i in range(25)} and scans == [22, 22, 6]

@@ -23,6 +23,7 @@ from touchline.plans.materialize import materialize
 
 BLOCK_ROWS = 2_000_000   # rows one window task may hold
 TASK_ROWS = 250_000      # rows one task gets of an exchange for wide windows
+SCAN_COLUMNS = 11        # columns that one scan aggregates
 MAX_BLOCKS = 16_384      # bounds the split points kept on the driver
 SAMPLES_PER_BLOCK = 20
 BRACKET = 0.005          # distance of a bracket's ends from the wanted quantile
@@ -190,17 +191,17 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
     """
     cols = list(quantiles)
     doubles = {c: F.col(c).cast("double") for c in cols}
-    sketch = df.agg(*[F.count(doubles[c]).alias(f"n{i}") for i, c in enumerate(cols)], *[
-        F.percentile_approx(doubles[c], [x for q in quantiles[c] for x in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))], SKETCH_ACCURACY).alias(f"e{i}")
-        for i, c in enumerate(cols)]).first()
+    sketch = narrow_scans(df, {c: [F.count(doubles[c]).alias(f"n{i}"), F.percentile_approx(
+        doubles[c], [x for q in quantiles[c] for x in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))], SKETCH_ACCURACY).alias(f"e{i}")]
+        for i, c in enumerate(cols)})
     totals = {i: sketch[f"n{i}"] for i in range(len(cols)) if sketch[f"n{i}"]}
     # (column, wanted place) -> the bracket's ends, None where it is open, and the ranks in it.
     brackets = {(i, j): [*sketch[f"e{i}"][2 * j : 2 * j + 2], *_ranks(totals[i], q)] for i in totals for j, q in enumerate(quantiles[cols[i]])}
     if not brackets:
         return {c: [None] * len(quantiles[c]) for c in cols}
     below = {at: 0 for at in brackets}
-    counts = df.agg(*[F.count_if(doubles[cols[i]] < b[0]).alias(f"b{i}_{j}") for (i, j), b in brackets.items()],
-                    *[F.count_if(doubles[cols[i]] <= b[1]).alias(f"t{i}_{j}") for (i, j), b in brackets.items()]).first()
+    counts = narrow_scans(df, {at: [F.count_if(doubles[cols[at[0]]] < b[0]).alias("b{}_{}".format(*at)),
+                                    F.count_if(doubles[cols[at[0]]] <= b[1]).alias("t{}_{}".format(*at))] for at, b in brackets.items()})
     for (i, j), b in brackets.items():
         if counts[f"b{i}_{j}"] > b[2]:
             b[0] = None
@@ -213,7 +214,8 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
         v = doubles[cols[i]]
         held = v.isNotNull() & (F.lit(True) if b[0] is None else v >= b[0]) & (F.lit(True) if b[1] is None else v <= b[1])
         inside.append(F.when(held, F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), v.alias("v"))))
-    cells = df.select(F.explode(F.array_compact(F.array(*inside))).alias("cell")).select("cell.*").groupBy("c", "j", "v").agg(F.count("*").alias("n"))
+    parts = [df.select(F.explode(F.array_compact(F.array(*inside[i : i + SCAN_COLUMNS]))).alias("cell")) for i in range(0, len(inside), SCAN_COLUMNS)]
+    cells = reduce(DataFrame.union, parts).select("cell.*").groupBy("c", "j", "v").agg(F.count("*").alias("n"))
     levels = materialize(cells.repartitionByRange("c", "j", "v").withColumn(BLOCK, F.spark_partition_id()), "levels")
     sizes = levels.groupBy("c", "j", BLOCK).agg(F.sum("n").alias("size"))
     before = Window.partitionBy("c", "j").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
