@@ -155,6 +155,6 @@ def test_quantiles_of_each_group_with_ties_and_nulls(spark):
     assert not quantile_table(spark.createDataFrame([], "g long, v double"), ["g"], "v", [0.5]).collect()
 
 
-def test_evaluation_writes_its_frame_once(tables):
-    found = E.evaluate_predictions(E.scored_frame(tables.predictions, tables.matches))
+def test_evaluation_writes_its_frame_once(spark):
+    found = E.evaluate_predictions(frame(spark, [(0, 0, .6, .3, .1, 2, 3, 4), (2, 2, .2, .1, .7, 2, 3, 4)]))
     assert found.inputFiles() and all("/scored-" in f for f in found.inputFiles())  # the join does not run for each metric
