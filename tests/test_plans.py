@@ -162,3 +162,27 @@ def test_narrow_scans_give_one_row_for_all_columns(spark):
     df.agg = lambda *a, agg=df.agg: scans.append(len(a)) or agg(*a)
     row = narrow_scans(df, asked)
     assert row == {f"s_c{i}": 1225.0 * i for i in range(25)} | {f"m_c{i}": 49.0 * i for i in range(25)} and scans == [22, 22, 6]
+
+
+def test_tails_are_sorted_in_tasks_by_their_rows(spark, monkeypatch):
+    """Where the rows are read nothing is sorted: the limit to the newest rows of a block stands behind an exchange by rows."""
+    monkeypatch.setattr(ordering.spread, "__kwdefaults__", {"task_rows": 30})
+    got = asof_trailing(spark.createDataFrame(rows_with_hot_key()), ["k"], {"s": ("v", 4, 1)}, sub="sub", sub_frames={"s": ("v", 3, 1)}, block_rows=100)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and plan.count(", 100") >= 2  # 3,000 rows, the windows' and the tails'
+
+
+@pytest.mark.parametrize("limit", [0, 64])
+def test_compiled_and_folded_search_give_the_same_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordering, "TREE_POINTS", limit)
+    rows = [(None if i % 11 == 0 else f"k{i % 3}", None if i % 13 == 0 else float("nan") if i % 17 == 0 else i / 7, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, id long")
+    points = [("k0", 5.0, 3), ("k0", 5.0, 35), ("k1", 0.0, 0), ("k1", 30.0, 211), ("k2", float("nan"), 200)]
+    blocks = ordering.Blocks(["k", "x", "id"], df.schema, points)
+
+    def order(v):
+        return [(v_ is not None, v_ != v_, 0 if v_ is None or v_ != v_ else v_) for v_ in v]
+
+    want = {r[2]: sum(order(p) <= order(r) for p in points) for r in rows}
+    assert {r["id"]: r["n"] for r in df.select("id", blocks.number().alias("n")).collect()} == want
+    assert ("lambda" in df.select(blocks.number())._jdf.queryExecution().optimizedPlan().toString()) == (limit == 0)

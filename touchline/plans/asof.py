@@ -70,11 +70,13 @@ def _cut_with_carry(rows: DataFrame, blocks: Blocks, keys, us, id, history, sub,
     cut = blocks.assign(rows, salt_on=id)
     group = [*keys, sub] if sub else list(keys)
     spans = cut.select(*group, BLOCK, SALT).distinct()
-    newest = Window.partitionBy(*group, BLOCK).orderBy(F.col(us).desc(), F.col(id).desc())
+    newest = Window.partitionBy(*group, BLOCK, SALT).orderBy(F.col(us).desc(), F.col(id).desc())
+    # Sorted in tasks by their rows: sorting where the rows are read would take memory by the size of a file's split.
+    narrow = cut.filter(F.col(history)).select(*group, BLOCK, SALT, us, id, *values)
     tails = (
-        cut.filter(F.col(history))
-        .select(*group, BLOCK, us, id, *values, F.row_number().over(newest).alias("_n"))
-        .filter(F.col("_n") <= depth)          # limited before the exchange as well
+        spread(narrow, blocks.rows, *group, BLOCK, SALT)
+        .withColumn("_n", F.row_number().over(newest))
+        .filter(F.col("_n") <= depth)
         .groupBy(*group, BLOCK).agg(F.collect_list(F.struct(us, id, *values)).alias("_tail"))
     )
 

@@ -24,6 +24,7 @@ from touchline.plans.materialize import materialize
 BLOCK_ROWS = 2_000_000   # rows one window task may hold
 TASK_ROWS = 250_000      # rows one task gets of an exchange for wide windows
 SCAN_COLUMNS = 11        # columns that one scan aggregates
+TREE_POINTS = 64         # split points that are compared in compiled code
 MAX_BLOCKS = 16_384      # bounds the split points kept on the driver
 SAMPLES_PER_BLOCK = 20
 BRACKET = 0.005          # distance of a bracket's ends from the wanted quantile
@@ -52,7 +53,9 @@ class Blocks:
         return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
     def number(self) -> Column:
-        """How many split points are at or below the row: a binary search, folded JVM-side."""
+        """How many split points are at or below the row: a binary search, folded JVM-side if there are too many for compiled code."""
+        if len(self.points) <= TREE_POINTS:
+            return self._tree(0, len(self.points))
         points = self._literal()
         row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(self.cols)])
         top = 1 << max(0, len(self.points).bit_length() - 1)
@@ -62,6 +65,20 @@ class Blocks:
             lambda low, step: F.when(F.get(points, low + step - 1) <= row, low + step).otherwise(low),
         )
 
+    def _tree(self, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(self._reaches(self.points[mid]), self._tree(mid + 1, high)).otherwise(self._tree(low, mid))
+
+    def _reaches(self, point: tuple) -> Column:
+        """Whether the row is at or above the point, column by column; NULLs come first and points hold none."""
+        out = F.lit(True)
+        for c, v in reversed(list(zip(self.cols, point, strict=True))):
+            value = F.lit(v).cast(self.schema[c].dataType)
+            out = F.coalesce((F.col(c) > value) | ((F.col(c) == value) & out), F.lit(False))
+        return out
+
     def assign(self, df: DataFrame, salt_on: str | None = None) -> DataFrame:
         df = df.withColumn(BLOCK, self.number())
         if salt_on is None:
