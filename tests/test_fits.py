@@ -98,6 +98,14 @@ def test_poisson_rates(spark, d):
         fits.poisson_rates(rows.limit(0).withColumn("features", array_to_vector("x")), {"ra": "a"})
 
 
+def test_poisson_steps_read_a_written_table(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(fits, "materialize", lambda df, name: written.append((name, df.columns)) or df)
+    rows = spark.createDataFrame([([float(i % 5)], i % 3) for i in range(60)], "x array<double>, a int").withColumn("features", array_to_vector("x"))
+    fits.poisson_rates(rows, {"ra": "a"})
+    assert written == [("poisson", ["x", "y0"])]
+
+
 def test_chi_square_tail(spark):
     def tail(x, k):
         if x <= 0:

@@ -186,3 +186,13 @@ def test_compiled_and_folded_search_give_the_same_blocks(spark, monkeypatch, lim
     want = {r[2]: sum(order(p) <= order(r) for p in points) for r in rows}
     assert {r["id"]: r["n"] for r in df.select("id", blocks.number().alias("n")).collect()} == want
     assert ("lambda" in df.select(blocks.number())._jdf.queryExecution().optimizedPlan().toString()) == (limit == 0)
+
+
+def test_tied_columns_are_not_read_again_for_quantiles(spark, monkeypatch):
+    asked = []
+    ranked = ordering._ranked
+    monkeypatch.setattr(ordering, "_ranked", lambda df, doubles, cols, brackets, below: asked.append(sorted(brackets)) or ranked(df, doubles, cols, brackets, below))
+    df = spark.range(10_001).select((F.col("id") % 3).alias("tied"), F.col("id").cast("double").alias("apart"), F.lit(-0.0).alias("one"))
+    assert exact_quantiles(df, {"tied": [0.5, 0.9], "apart": [0.5], "one": [0.5]}) == {"tied": [1.0, 2.0], "apart": [5000.0], "one": [0.0]}
+    assert asked == [[(1, 0)]]
+    assert exact_quantiles(df, {"tied": [0.5]}) == {"tied": [1.0]} and len(asked) == 1

@@ -39,11 +39,11 @@ def labelled(t):
 
 
 def rows(t):
-    """Prepared rows with split, weight and label."""
+    """Prepared rows with split, weight and label; the features are written once, as the vector."""
     key = (t.spark.sparkContext.applicationId, t.path, "rows")
     if key not in _TABLES:
         prepared, data = M.build_training_data(labelled(t))
-        _TABLES[key] = prepared, materialize(M.with_class_weights(data), "prepared")
+        _TABLES[key] = prepared, materialize(M.with_class_weights(data).drop(*MATRIX_COLS), "prepared")
     return _TABLES[key]
 
 

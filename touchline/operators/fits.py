@@ -180,7 +180,7 @@ def poisson_rates(rows: DataFrame, targets: dict[str, str], *, features: str = "
     """
     names = list(targets)
     columns = [F.col(targets[n]).cast("double").alias(f"y{i}") for i, n in enumerate(names)]
-    table = rows.select(vector_to_array(features).alias("x"), *columns).dropna()
+    table = materialize(rows.select(vector_to_array(features).alias("x"), *columns).dropna(), "poisson")  # read once for each step
     first = table.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d"), *[F.avg(f"y{i}").alias(f"m{i}") for i in range(len(names))]).first()
     n, d = first["n"], (first["d"] or 0) + 1
     if not n:

@@ -52,7 +52,7 @@ class ExactImputer(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrit
         cols, how = self._cols(), self.getOrDefault(self.strategy)
         if how not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
-        totals = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
+        totals = narrow_scans(df, {c: [F.count("*").alias("_n"), F.count(c).alias(c)] for c in cols})
         kept = [c for c in cols if totals[c]]  # columns without any value are dropped
         gaps = [c for c in kept if totals[c] < totals["_n"]]
         if how == "constant":

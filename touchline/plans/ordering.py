@@ -226,6 +226,25 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
             below[i, j] = counts[f"b{i}_{j}"]
         if counts[f"t{i}_{j}"] <= b[3]:
             b[1] = None
+    # Ends that are equal and proven are the wanted values; such columns (many ties) need not be read again.
+    found = {(i, j, k): b[0] + 0.0 for (i, j), b in brackets.items() if b[0] is not None and b[0] == b[1] for k in b[2:]}
+    brackets = {at: b for at, b in brackets.items() if (*at, b[2]) not in found}
+    found |= _ranked(df, doubles, cols, brackets, below) if brackets else {}
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        out[c] = []
+        for j, q in enumerate(quantiles[c]):
+            if i not in totals:
+                out[c].append(None)
+                continue
+            low, high = _ranks(totals[i], q)
+            a, b, at = found[i, j, low], found[i, j, high], q * (totals[i] - 1)
+            out[c].append(a if a == b else (high - at) * a + (at - low) * b)  # tied values stay what they are to the last bit
+    return out
+
+
+def _ranked(df: DataFrame, doubles: dict[str, Column], cols: list[str], brackets: dict, below: dict) -> dict:
+    """(column, wanted place, rank) -> value, from the values inside the brackets folded and in order."""
     inside = []
     for (i, j), b in brackets.items():
         v = doubles[cols[i]]
@@ -243,18 +262,7 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
     held = starts.join(ranks, ["c", "j"]).where("k >= start AND k < start + size").groupBy(*keys, "start").agg(F.collect_list("k").alias("ks"))
     upto = F.col("start") + F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
     picked = levels.join(held, keys).withColumn("upto", upto).select("c", "j", "v", "n", "upto", F.explode("ks").alias("k"))
-    found = {(r["c"], r["j"], r["k"] + below[r["c"], r["j"]]): r["v"] for r in picked.where("k < upto AND k >= upto - n").collect()}
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        out[c] = []
-        for j, q in enumerate(quantiles[c]):
-            if i not in totals:
-                out[c].append(None)
-                continue
-            low, high = _ranks(totals[i], q)
-            a, b, at = found[i, j, low], found[i, j, high], q * (totals[i] - 1)
-            out[c].append(a if a == b else (high - at) * a + (at - low) * b)  # tied values stay what they are to the last bit
-    return out
+    return {(r["c"], r["j"], r["k"] + below[r["c"], r["j"]]): r["v"] for r in picked.where("k < upto AND k >= upto - n").collect()}
 
 
 def _ranks(n: int, q: float) -> tuple[int, int]:
