@@ -224,6 +224,19 @@ def test_sentencepiece(spark, docs, none):
     assert codec.encode(part) == library.encode(part)
 
 
+def test_sentencepiece_merges_the_parts_of_many_texts_together():
+    """Words, marks and characters outside the vocabulary in every order, short and long parts, in one call."""
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    codec = sentencepiece_bpe.Codec(open(queries.MODEL, "rb").read())
+    assert codec.cut.findall("▁▁a.b▁(word),\n▁") == ["▁▁a", ".", "b", "▁(", "word", "),\n", "▁"]
+    random = np.random.default_rng(7)
+    signs = [*"abcdest", "the", "ing", " ", "  ", *".,!?()'\"/\n\r\t\0=-", "’", "²", "…", "“", "é", "ß", "語", "🙂", "▁", "7", "2024", "x" * 50, "e" * 47]
+    texts = [None, "", " ", "\0", "a\0"] + ["".join(random.choice(signs, size=n)) for n in random.integers(1, 60, 3000)]
+    want = [library.encode(t or "") for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in codec.encode_all(texts)] == want
+    assert [codec.encode(t) for t in texts[:300]] == want[:300]  # from the table of known parts, text by text
+
+
 def test_sentencepiece_query_and_pipeline_check_with_the_library(spark, docs, tmp_path):
     folder = str(tmp_path)
     docs.write.parquet(f"{folder}/documents.parquet")
