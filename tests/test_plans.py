@@ -145,6 +145,8 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     assert spread(df, 1_000_000_000, "k").rdd.getNumPartitions() == 4000
     assert max(r["n"] for r in spread(df, 1000, "k", task_rows=50).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 200
     assert "REPARTITION_BY_NUM" not in spread(df, 1000, "k")._jdf.queryExecution().executedPlan().toString()
+    # Few partitions that the session's own would cover get their number too, or they are coalesced by bytes.
+    assert "REPARTITION_BY_NUM" in spread(df, 1000, "k", task_rows=900)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_team_windows_get_tasks_by_their_rows(spark, make_matches, monkeypatch):

@@ -93,12 +93,14 @@ class Blocks:
 def spread(df: DataFrame, rows: int, *cols: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Exchange by ``cols`` so that a task gets about ``task_rows`` of the ``rows``, however many there are.
 
-    A number of partitions is only given where the session's own would leave more in one task; a given number is not coalesced.
+    Beyond one task's rows the number of partitions is given, at least the session's own, as exchanges without one may be coalesced by their
+    bytes, which are few beside the memory that windows over their rows take.
     """
-    wanted = math.ceil(rows / task_rows)
+    if rows <= task_rows:
+        return df.repartition(*cols)
     spark = df.sparkSession
     own = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(wanted, *cols) if wanted > own else df.repartition(*cols)
+    return df.repartition(max(own, math.ceil(rows / task_rows)), *cols)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
