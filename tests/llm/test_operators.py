@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -310,6 +311,22 @@ def test_kneser_ney(spark, docs, none, order):
     assert kneser_ney.judge(docs, labels.limit(0), order=order).where("keep").count() == len(TEXTS)
 
 
+def test_kneser_ney_moves_texts_and_answers_compressed():
+    """Both come back whole, and take less than half of what they did plain."""
+    values = ["", "ü" * 3, "one\0two"] + [f"word{i} and others, " * 40 for i in range(50)]
+    rows = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(values))] * 2), pa.array(values * 2)], ["key", "text"])
+    moved = pa.Table.from_batches(kneser_ney._once([rows]))
+    assert kneser_ney._texts(moved).to_pylist() == values
+    assert moved.column("text").nbytes < sum(map(len, values)) / 2
+    random = np.random.default_rng(3)
+    n = random.choice([0, 0, 0, 1, 2, 254, 255, 256, 70_000], 10_001).astype("<f4")
+    history = random.random(10_001) < 0.1
+    total, left = np.where(history, n + 3, 0).astype("<f4"), np.where(history, n * 0.7, 0).astype("<f4")
+    for sums in ((n, total, left), (n[:0], total[:0], left[:0]), (n * 0, total, left * 0)):
+        assert (kneser_ney._unpacked(kneser_ney._packed(*sums)) == np.stack(sums)).all()
+    assert len(kneser_ney._packed(np.minimum(n, 3), total, left)) < (n.nbytes + total.nbytes + left.nbytes) / 4
+
+
 def test_kneser_ney_limits_with_a_hot_text(spark):
     """Copies of held-out texts change no limit."""
     docs, labels = stored(spark, "documents").select("doc_id", "text", "lang"), stored(spark, "labels")

@@ -19,6 +19,7 @@ with labels that contradict each other is not trusted. Other columns stay as the
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,6 +41,8 @@ LANGUAGES = 10_000
 LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
 START, END = 1, 2  # stand for words
 _SUMS = ["n", "total", "left"]
+_MANY = 255  # counts from here on are no single bytes
+_ZSTD = pa.Codec("zstd", 1)
 _U = np.uint64
 
 
@@ -51,7 +54,7 @@ def _fold(words: list[np.ndarray]) -> np.ndarray:
     return code
 
 
-def _padded(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All rows' words on end, each row after ``order - 1`` start signs and before an end sign; the rows' begins; their numbers of words."""
     data, offsets = text.buffers(column)
     data = text.LOWER[data]
@@ -70,7 +73,7 @@ def _places(begins: np.ndarray, before: int) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(begins[:-1] + before - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
 
 
-def _grams(column: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams of each length that end at the last start sign (not those of full order) or later; the rows' numbers of words."""
     words, begins, n = _padded(column, order)
     ends = [_places(begins, max(order - 2, k - 1)) for k in range(1, order + 1)]
@@ -78,7 +81,7 @@ def _grams(column: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nd
 
 
 def _once(batches):
-    """Each text once for a scan task."""
+    """Each text once for a scan task, as its size in bytes and the compressed text: blocks keep all texts in shuffle files."""
     seen: set[str] = set()
     for batch in batches:
         take = []
@@ -87,7 +90,16 @@ def _once(batches):
                 seen.add(key)
                 take.append(i)
         for lo in range(0, len(take), 1024):
-            yield batch.take(pa.array(take[lo : lo + 1024], pa.int64()))
+            part = batch.take(pa.array(take[lo : lo + 1024], pa.int64()))
+            raw = (value.encode() for value in part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([struct.pack("<Q", len(r)) + _ZSTD.compress(r, asbytes=True) for r in raw], pa.binary())], ["key", "text"])
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    """The texts that :func:`_once` compressed."""
+    raw = (value.as_buffer() for value in table.column("text"))
+    whole = [_ZSTD.decompress(r.slice(8), struct.unpack_from("<Q", r)[0], asbytes=True) for r in raw]
+    return pa.array(whole, pa.large_binary()).view(pa.large_string())
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -110,7 +122,7 @@ def count_grams(dealt: DataFrame, counted: DataFrame, order: int) -> DataFrame:
         chosen = set(keys.column("key").to_pylist())
         table = _distinct(table)
         table = table.filter(pa.array([key in chosen for key in table.column("key").to_pylist()], pa.bool_()))
-        words, begins, _ = _padded(table.column("text"), order)
+        words, begins, _ = _padded(_texts(table), order)
         at = _places(begins, order - 1)
         columns = [words[at - order + 1 + i].view(np.int64) for i in range(order)]
         by = np.lexsort(columns)
@@ -184,6 +196,26 @@ def _coded(tables: list[DataFrame], shards: int) -> DataFrame:
     return reduce(DataFrame.union, [t.mapInArrow(code, f"shard int, code long, {', '.join(f'{c} float' for c in _SUMS)}") for t in tables])
 
 
+def _packed(n: np.ndarray, total: np.ndarray, left: np.ndarray) -> bytes:
+    """Counts as a byte each, large ones behind; totals and left-over discounts of the histories alone, behind a bit for each code."""
+    many, history = n >= _MANY, (total != 0) | (left != 0)
+    return b"".join([struct.pack("<II", len(n), many.sum()), np.minimum(n, _MANY).astype(np.uint8).tobytes(), np.packbits(history).tobytes(),
+                     *(x.astype("<f4").tobytes() for x in (n[many], total[history], left[history]))])
+
+
+def _unpacked(reply: bytes) -> np.ndarray:
+    """The three sums of each code as rows."""
+    size, many = struct.unpack_from("<II", reply)
+    out = np.zeros((len(_SUMS), size), "<f4")
+    out[0] = counts = np.frombuffer(reply, np.uint8, size, 8)
+    bits = np.frombuffer(reply, np.uint8, -(-size // 8), 8 + size)
+    history = np.unpackbits(bits, count=size).astype(bool)
+    rest = np.frombuffer(reply, "<f4", many + 2 * int(history.sum()), 8 + size + len(bits))
+    out[0, counts == _MANY] = rest[:many]
+    out[1:, history] = rest[many:].reshape(2, -1)
+    return out
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of documents labelled as good and not toxic, and never otherwise."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -200,7 +232,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, loss, n) per distinct text with words: minus the logarithm of its probability, and the number of its words and its end."""
     n_blocks, shards = blocks.sizes(docs, "text")
-    once = docs.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text string")
+    once = docs.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text binary")
     dealt = once.withColumn("block", _block("key", n_blocks))
     counted = trusted.where("not held").select(_block("key", n_blocks).alias("block"), "key")
     model = train(count_grams(dealt, counted, order), order)
@@ -209,11 +241,11 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     discounts, words, overall, left_over = model.discounts, model.words, model.total, model.left
 
     def ask(key, table):
-        codes = np.concatenate(_grams(_distinct(table).column("text"), order)[0])
+        codes = np.concatenate(_grams(_texts(_distinct(table)), order)[0])
         return blocks.questions(key[0].as_py(), np.unique(codes), shards)
 
     def answer(key, questions, rows):
-        """Per block, the sums of its values one after the other; 0 for what was never counted."""
+        """Per block, the sums of its values, packed; 0 for what was never counted."""
         if not questions.num_rows:
             return blocks.answers(key[0].as_py(), [])
         codes, at = np.unique(rows.column("code").to_numpy().view(_U), return_inverse=True)
@@ -222,14 +254,14 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
         for block, values, _ in blocks.asked(questions, shards):
             place = np.searchsorted(codes, values)
             place[np.append(codes, _U(0))[place] != values] = len(codes)
-            out.append((block, b"".join(x[place].tobytes() for x in sums)))
+            out.append((block, _packed(*(x[place] for x in sums))))
         return blocks.answers(key[0].as_py(), out)
 
     def finish(key, table, reply):
         table = _distinct(table)
-        codes, n = _grams(table.column("text"), order)
+        codes, n = _grams(_texts(table), order)
         at = np.unique(np.concatenate(codes), return_inverse=True)[1]
-        got = [np.frombuffer(r, "<f4").reshape(len(_SUMS), -1) for r in blocks.replies(reply)]
+        got = [_unpacked(r) for r in blocks.replies(reply)]
         count, total, left = (np.concatenate([g[i] for g in got])[at].astype(np.float64) for i in range(len(_SUMS)))
         ends = np.cumsum([0, *(len(c) for c in codes)])
         edges = np.cumsum(n + 2)
