@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from touchline.llm import decontaminate, jaccard, kneser_ney, licenses, line_templates, permutation_index, queries, sentencepiece_bpe, substrings, urls, warc
+from touchline.plans.materialize import shuffles_freed
 
 SF = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -327,6 +328,48 @@ def test_kneser_ney_moves_texts_and_answers_compressed():
     assert len(kneser_ney._packed(np.minimum(n, 3), total, left)) < (n.nbytes + total.nbytes + left.nbytes) / 4
 
 
+def test_kneser_ney_rounds_give_the_same_and_move_less_at_once(spark, docs, monkeypatch):
+    """Slices of the texts one after the other: the same scores, no question left out, and no write that moves all texts."""
+    rng = np.random.default_rng(5)
+    made = [(1000 + i, " ".join(f"w{w}" for w in rng.zipf(1.3, 300) % 5000), "en") for i in range(240)]
+    docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(made + made[:40], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(1000 + i, int(i % 2 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+
+    def judged():
+        return sorted(kneser_ney.judge(docs, labels).collect(), key=lambda r: (str(r["doc_id"]), str(r["lang"]), r["perplexity"] or 0))
+
+    asked, questions = [], kneser_ney.blocks.sizes(docs, "text")[0]
+    deal = kneser_ney._dealt
+
+    def dealt(rows, n_blocks, rounds):
+        parts = deal(rows, n_blocks, rounds)
+        asked.append([p.select("key").distinct().count() for p in parts])
+        assert n_blocks * rounds >= questions
+        return parts
+
+    monkeypatch.setattr(kneser_ney, "_dealt", dealt)
+    whole = judged()
+    monkeypatch.setattr(kneser_ney, "ROUND_BYTES", 1)
+    sliced = judged()
+    assert [len(a) for a in asked] == [1, kneser_ney.ROUNDS]
+    assert sum(asked[1]) == asked[0][0] and max(asked[1]) < asked[0][0] / 2
+    assert [r["doc_id"] for r in sliced] == [r["doc_id"] for r in whole]
+    assert [r["keep"] for r in sliced] == [r["keep"] for r in whole]
+    assert [r["perplexity"] or 0 for r in sliced] == pytest.approx([r["perplexity"] or 0 for r in whole], rel=1e-9)
+
+
+def test_shuffle_files_go_with_their_action(spark, tmp_path):
+    """Two writes within ``shuffles_freed`` leave no map outputs behind; the setting is as before afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+        for i in range(2):
+            spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().write.parquet(f"{tmp_path}/{i}")
+    assert spark.conf.get(name, None) == before
+    assert spark.read.parquet(f"{tmp_path}/0", f"{tmp_path}/1").count() == 20
+
+
 def test_kneser_ney_limits_with_a_hot_text(spark):
     """Copies of held-out texts change no limit."""
     docs, labels = stored(spark, "documents").select("doc_id", "text", "lang"), stored(spark, "labels")

@@ -22,9 +22,14 @@ ANSWER = "block int, shard int, reply binary"
 _U = np.uint64
 
 
-def sizes(docs: DataFrame, text: str) -> tuple[int, int]:
-    """Numbers of blocks and of shards (a power of two) for all text of ``docs``."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+def octets(docs: DataFrame, text: str) -> int:
+    """Bytes of all text of ``docs``."""
+    return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+
+
+def sizes(docs: DataFrame, text: str, total: int | None = None) -> tuple[int, int]:
+    """Numbers of blocks and of shards (a power of two) for all text of ``docs``, whose bytes may be known."""
+    total = octets(docs, text) if total is None else total
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total // BLOCK_BYTES)), 1 << (max(least, -(-total // SHARD_BYTES)) - 1).bit_length()
 

@@ -8,6 +8,10 @@ Scoring is a join of the documents' n-grams with the count tables, sharded by ha
 of every length (see :mod:`blocks`), a shard answers with their counts and, as histories, their totals and what discounts leave over,
 and the block interpolates. No table of the model goes to the driver or to every task, and counts meet histories only there.
 
+Questions take more room than the texts, so texts are scored in up to ``ROUNDS`` slices, one after the other, and what a slice moved is
+freed before the next. The model is stored once for all of them, packed, a row for each shard. Trusted texts are gathered by the same
+slices, and their n-grams counted by as many slices of the first word. Every slice is worked through; only their order in time is set.
+
 Limits come from trusted texts that were not counted (one in ``HELD`` by hash), as counted ones look too good. A short text says
 little, so its mean loss counts with ``PRIOR`` words of its language's mean. A document is kept if the resulting score is at most the
 ``quantile`` of held-out texts of its language times ``slack``; a language without them, or NULL, has the limit of all together.
@@ -29,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import blocks, text
-from touchline.plans.materialize import materialize
+from touchline.plans.materialize import materialize, shuffles_freed
 
 ORDER = 2
 HELD = 3
 PRIOR = 50
 QUANTILE = 0.99
 SLACK = 1.5
+ROUNDS = 6
+ROUND_BYTES = 1 << 24  # of text, for which a round is worth its jobs
 BROADCAST_ROWS = 1_000_000  # short keys of rejected texts sent to all tasks at most
 LANGUAGES = 10_000
 LEAST = 0.01  # discount; a corpus too small for good estimates must leave something to unseen n-grams
@@ -115,27 +121,64 @@ def _block(key: Column | str, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 
 
-def count_grams(dealt: DataFrame, counted: DataFrame, order: int) -> DataFrame:
-    """(w1, .., n): how often each n-gram of full order occurs in the texts whose keys are in ``counted`` (block, key)."""
+def _dealt(docs: DataFrame, n_blocks: int, rounds: int) -> list[DataFrame]:
+    """(key, text, block) of each slice of the texts; equal texts are in one slice and block."""
+    rows = docs.where("text is not null")
+    slices = [rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds)) == i) for i in range(rounds)] if rounds > 1 else [rows]
+    once = [r.select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text binary") for r in slices]
+    return [o.withColumn("block", _block("key", n_blocks)) for o in once]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
-    def count(table, keys):
+
+def counted_texts(dealt: list[DataFrame], counted: DataFrame) -> DataFrame:
+    """(text): each text once, compressed, whose key is in ``counted`` (block, key)."""
+
+    def pick(table, keys):
         chosen = set(keys.column("key").to_pylist())
         table = _distinct(table)
-        table = table.filter(pa.array([key in chosen for key in table.column("key").to_pylist()], pa.bool_()))
-        words, begins, _ = _padded(_texts(table), order)
-        at = _places(begins, order - 1)
-        columns = [words[at - order + 1 + i].view(np.int64) for i in range(order)]
-        by = np.lexsort(columns)
-        columns = [c[by] for c in columns]
-        new = np.zeros(len(by), bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        first = np.flatnonzero(new)
-        return pa.table([pa.array(c[first]) for c in columns] + [pa.array(np.diff(np.append(first, len(by))).astype(np.int64))], [*_names(order), "n"])
-
-    rows = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(count, ", ".join(f"{c} long" for c in [*_names(order), "n"]))
-    return rows.groupBy(*_names(order)).agg(F.sum("n").alias("n"))
+        return table.filter(pa.array([key in chosen for key in table.column("key").to_pylist()], pa.bool_())).select(["text"])
+
+    return _all([materialize(part.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(pick, "text binary"), "counted") for part in dealt])
+
+
+def _count(column: pa.Array, order: int, part: int, parts: int) -> pa.RecordBatch:
+    """(w1, .., n) of the texts' n-grams of full order whose first word is in the slice."""
+    words, begins, _ = _padded(column, order)
+    at = _places(begins, order - 1)
+    at = at[words[at - order + 1] % _U(parts) == part]
+    columns = [words[at - order + 1 + i].view(np.int64) for i in range(order)]
+    by = np.lexsort(columns)
+    columns = [c[by] for c in columns]
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in columns] + [pa.array(np.diff(np.append(first, len(by))).astype(np.int64))], [*_names(order), "n"])
+
+
+def count_grams(texts: DataFrame, order: int, rounds: int) -> DataFrame:
+    """(w1, .., n): how often each n-gram of full order occurs in the compressed texts, written slice by slice of the first word."""
+
+    def rows(part):
+        def count(batches):
+            for batch in batches:
+                sizes = [struct.unpack_from("<Q", t.as_buffer())[0] for t in batch.column(0)]
+                lo = 0
+                while lo < len(sizes):
+                    hi, held = lo + 1, sizes[lo]
+                    while hi < len(sizes) and held + sizes[hi] <= blocks.BLOCK_BYTES:
+                        held += sizes[hi]
+                        hi += 1
+                    yield _count(_texts(pa.Table.from_batches([batch.slice(lo, hi - lo)])), order, part, rounds)
+                    lo = hi
+
+        return texts.mapInArrow(count, ", ".join(f"{c} long" for c in [*_names(order), "n"]))
+
+    return _all([materialize(rows(i).groupBy(*_names(order)).agg(F.sum("n").alias("n")), "grams") for i in range(rounds)])
 
 
 def _discounts(counts: DataFrame) -> tuple[list[float], dict]:
@@ -161,8 +204,8 @@ class Model:
 
 
 def train(counts: DataFrame, order: int) -> Model | None:
-    """The model of the counts of n-grams of full order; None where there are none."""
-    levels = {order: materialize(counts, "grams")}
+    """The model of the written counts of n-grams of full order; None where there are none."""
+    levels = {order: counts}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct words before the shorter n-gram
         shorter = levels[k + 1].select(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)])
         levels[k] = materialize(shorter.groupBy(*_names(k)).agg(F.count("*").alias("n")), "grams")
@@ -193,7 +236,20 @@ def _coded(tables: list[DataFrame], shards: int) -> DataFrame:
             shard = (codes >> _U(shift)).astype(np.int32) if shards > 1 else np.zeros(len(codes), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(codes.view(np.int64)), *batch.columns[-3:]], ["shard", "code", *_SUMS])
 
-    return reduce(DataFrame.union, [t.mapInArrow(code, f"shard int, code long, {', '.join(f'{c} float' for c in _SUMS)}") for t in tables])
+    return _all([t.mapInArrow(code, f"shard int, code long, {', '.join(f'{c} float' for c in _SUMS)}") for t in tables])
+
+
+def _sharded(tables: list[DataFrame], shards: int) -> DataFrame:
+    """(shard, codes, sums) of the model, both packed: a row for each shard that any code falls to."""
+    shift = 64 - (shards.bit_length() - 1)
+
+    def pack(key, rows):
+        codes, at = np.unique(rows.column("code").to_numpy().view(_U), return_inverse=True)
+        sums = _packed(*(np.bincount(at, rows.column(c).to_numpy(), len(codes)).astype("<f4") for c in _SUMS))
+        base = key[0].as_py() << shift if shards > 1 else 0
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([blocks.pack(codes, base)], pa.binary()), pa.array([sums], pa.binary())], ["shard", "codes", "sums"])
+
+    return _coded(tables, shards).groupBy("shard").applyInArrow(pack, "shard int, codes binary, sums binary")
 
 
 def _packed(n: np.ndarray, total: np.ndarray, left: np.ndarray) -> bytes:
@@ -230,15 +286,18 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, loss, n) per distinct text with words: minus the logarithm of its probability, and the number of its words and its end."""
-    n_blocks, shards = blocks.sizes(docs, "text")
-    once = docs.where("text is not null").select(F.md5("text").alias("key"), "text").mapInArrow(_once, "key string, text binary")
-    dealt = once.withColumn("block", _block("key", n_blocks))
+    """(key, loss, n) per distinct text with words: minus the logarithm of its probability, and the number of its words and its end; written."""
+    total = blocks.octets(docs, "text")
+    n_blocks, shards = blocks.sizes(docs, "text", total)
+    rounds = min(ROUNDS, 1 + total // ROUND_BYTES)
+    n_blocks = -(-n_blocks // rounds)
+    dealt = _dealt(docs, n_blocks, rounds)
     counted = trusted.where("not held").select(_block("key", n_blocks).alias("block"), "key")
-    model = train(count_grams(dealt, counted, order), order)
+    model = train(count_grams(counted_texts(dealt, counted), order, rounds), order)
     if model is None:
         return docs.sparkSession.createDataFrame([], "key string, loss double, n long")
     discounts, words, overall, left_over = model.discounts, model.words, model.total, model.left
+    shift = 64 - (shards.bit_length() - 1)
 
     def ask(key, table):
         codes = np.concatenate(_grams(_texts(_distinct(table)), order)[0])
@@ -248,13 +307,16 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
         """Per block, the sums of its values, packed; 0 for what was never counted."""
         if not questions.num_rows:
             return blocks.answers(key[0].as_py(), [])
-        codes, at = np.unique(rows.column("code").to_numpy().view(_U), return_inverse=True)
-        sums = [np.append(np.bincount(at, rows.column(c).to_numpy(), len(codes)), 0).astype("<f4") for c in _SUMS]
+        codes, sums = np.empty(0, _U), np.zeros((len(_SUMS), 0), "<f4")
+        if rows.num_rows:
+            codes = blocks.unpack(rows.column("codes")[0].as_py(), key[0].as_py() << shift if shards > 1 else 0)
+            sums = _unpacked(rows.column("sums")[0].as_py())
+        sums = np.append(sums, np.zeros((len(_SUMS), 1), "<f4"), 1)
         out = []
         for block, values, _ in blocks.asked(questions, shards):
             place = np.searchsorted(codes, values)
             place[np.append(codes, _U(0))[place] != values] = len(codes)
-            out.append((block, _packed(*(x[place] for x in sums))))
+            out.append((block, _packed(*sums[:, place])))
         return blocks.answers(key[0].as_py(), out)
 
     def finish(key, table, reply):
@@ -281,9 +343,14 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
         has = n > 0
         return pa.table({"key": table.column("key").filter(pa.array(has)), "loss": pa.array(loss[has]), "n": pa.array((n + 1)[has].astype(np.int64))})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, blocks.QUESTION)
-    answered = asked.groupBy("shard").cogroup(_coded(model.tables, shards).groupBy("shard")).applyInArrow(answer, blocks.ANSWER)
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, "key string, loss double, n long")
+    stored = materialize(_sharded(model.tables, shards), "model")
+
+    def scored(part):
+        asked = part.groupBy("block").applyInArrow(ask, blocks.QUESTION)
+        answered = asked.groupBy("shard").cogroup(stored.groupBy("shard")).applyInArrow(answer, blocks.ANSWER)
+        return part.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, "key string, loss double, n long")
+
+    return _all([materialize(scored(part), "scores") for part in dealt])
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, dict]:
@@ -314,8 +381,9 @@ def _score(mean: Column) -> Column:
 
 
 def _judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, order: int) -> DataFrame:
-    trusted = materialize(trusted_texts(docs, labels), "trusted")
-    scores = materialize(score(docs, trusted, order), "scores")
+    with shuffles_freed(docs.sparkSession):
+        trusted = materialize(trusted_texts(docs, labels), "trusted")
+        scores = score(docs, trusted, order)
     rows = docs.select("doc_id", "lang", F.md5("text").alias("key"))
     scored = materialize(rows.join(scores.join(trusted.where("held"), "key", "left"), "key", "left"), "judged")
     by_lang, every = limits(scored, quantile, slack)
