@@ -47,6 +47,34 @@ def test_same_timestamp_does_not_see_each_other(spark, make_matches):
     assert got[3]["home_points_last_5"] == 1.5
 
 
+def test_density_counts_the_days_of_its_window(spark, make_matches):
+    day = datetime(2025, 1, 1)
+    rows = [(1, 2, 1, 0, day + timedelta(days=d)) for d in (0, 1, 2, 3, 4, 30, 32)]  # five and more long ago, two of late
+    rows += [(1, 3, None, None, day + timedelta(days=40)), (1, 3, None, None, day + timedelta(days=44)), (1, None, 2, 0, day)]
+    m = make_matches(rows)
+    got = {r["match_id"]: tuple(r)[1:] for r in H.density_by_match(m).collect()}
+    assert [got[i] for i in (1, 5, 6, 8, 9)] == [(0, 0), (5, 4), (0, 0), (2, 0), (2, 0)]
+    assert got[10] == (0, 0)
+    twice = [tuple(r) for r in H.density_by_match(m.union(m.filter("id = 8"))).filter("match_id = 8").collect()]
+    assert twice == [(8, 2, 0)] * 2
+
+
+@pytest.mark.parametrize("block_rows", [60, 10_000_000])
+def test_density_equals_brute_force(spark, make_matches, block_rows):
+    import random
+    rng, day = random.Random(3), datetime(2025, 1, 1)
+    rows = [(1 if rng.random() < 0.4 else rng.choice([2, 3, 4, None]), rng.randint(5, 8), *((1, 0) if rng.random() < 0.8 else (None, None)),
+             day + timedelta(days=rng.randint(0, 60))) for _ in range(150)]
+    m = make_matches(rows)
+    done = [(r.home_team_id, r.away_team_id, r.match_date) for r in m.filter("status = 'FINISHED'").collect()]
+
+    def brute(team, at):
+        return sum(team in (h, a) and at - timedelta(days=14) <= d < at for h, a, d in done if team is not None)
+
+    got = {r["match_id"]: tuple(r)[1:] for r in H.density_by_match(m, block_rows=block_rows).collect()}
+    assert got == {r.id: (brute(r.home_team_id, r.match_date), brute(r.away_team_id, r.match_date)) for r in m.collect()}
+
+
 def test_h2h_turns_to_the_current_home_side(spark, make_matches):
     d = datetime(2024, 12, 1)
     m = make_matches([(2, 1, 1, 1, d), (2, 1, 3, 0, d + timedelta(days=1)), (1, 2, None, None, d + timedelta(days=31))])

@@ -51,8 +51,9 @@ query("W4_form_diff", f"SELECT match_id, home_points_last_5 - away_points_last_5
     lambda t: H.team_form(t.matches).select("match_id", "form_diff"))
 query("W6_rest_days", wide(["rest_days"], ", h.rest_days - a.rest_days AS rest_days_diff"))(
     lambda t: H.team_features(t.matches, (3,)).select("match_id", "home_rest_days", "away_rest_days", "rest_days_diff"))
-query("W7_fixture_density", wide(["matches_last_14_days"]))(
-    lambda t: H.team_features(t.matches, (3, 5)).select("match_id", "home_matches_last_14_days", "away_matches_last_14_days"))
+query("W7_fixture_density", f"""SELECT m.id AS match_id, {", ".join(f"""(SELECT count(*) FROM hist h WHERE h.team_id = m.{s}_team_id
+      AND h.match_date < m.match_date AND h.match_date >= m.match_date - INTERVAL '14' DAY) AS {s}_matches_last_14_days""" for s in H.SIDES)}
+    FROM matches m""")(lambda t: H.density_by_match(t.matches))
 query("W7_fixture_density_true_14d", """SELECT s.match_id, s.is_home, count(h.match_id) AS matches_in_window FROM sides s
     LEFT JOIN hist h ON h.team_id = s.team_id AND h.match_date < s.match_date AND h.match_date >= s.match_date - INTERVAL '14' DAY
     GROUP BY s.match_id, s.is_home""")(lambda t: H.fixture_density(t.matches))

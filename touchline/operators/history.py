@@ -246,6 +246,29 @@ def fixture_density(matches: DataFrame, window_days: int = 14, *, block_rows: in
         F.sum(F.when(F.col("start"), -F.col("count_before")).otherwise(F.col("count_before"))).alias("matches_in_window"))
 
 
+def density_by_match(matches: DataFrame, window_days: int = 14, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Finished matches of both sides within the days before the match (a true time window), a row for each row of ``matches``.
+
+    A side's number is a difference of two counts, before the match and before the window. A team or date that is not known has
+    no matches; rows that repeat are given back as often as they came, each with the number of one.
+    """
+    known = F.col("is_hist") & F.col("team_id").isNotNull() & F.col("us").isNotNull()
+    at = [F.struct(F.col("us").alias("us"), known.alias("is_hist"), F.lit(False).alias("start")),
+          F.struct((F.col("us") - window_days * DAY_US).alias("us"), F.lit(False).alias("is_hist"), F.lit(True).alias("start"))]
+    sides = team_rows(matches).select("match_id", "is_home", "team_id", "other_id", F.col("us").alias("played"), F.inline(F.array(*at)))
+    counted = asof_count(sides, ["team_id"], block_rows=block_rows)
+    own, other = F.col("team_id"), F.col("other_id")
+    home, start = F.col("is_home"), F.col("start")
+    keys = ["match_id", "played", F.when(home, own).otherwise(other).alias("home_id"), F.when(home, other).otherwise(own).alias("away_id")]
+
+    def in_window(side: Column) -> Column:
+        return F.max(F.when(side & ~start, F.col("count_before"))) - F.max(F.when(side & start, F.col("count_before")))
+
+    names = [f"{s}_matches_last_{window_days}_days" for s in SIDES]
+    found = counted.groupBy(*keys).agg(*[in_window(c).alias(n) for c, n in zip((home, ~home), names)], F.count_if(home & ~start).alias("copies"))
+    return found.select("match_id", *names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+
+
 def rolling_form(matches: DataFrame, n: int = 5, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Averages over the ``n`` rows before, in (date, id) order of the team's finished matches."""
     names = {"avg_points": "points", "avg_goals_for": "gf", "avg_goals_against": "ga"}
