@@ -34,7 +34,7 @@ def labelled(t):
     """The labelled feature table, written once per session and data folder."""
     key = (t.spark.sparkContext.applicationId, t.path)
     if key not in _TABLES:
-        _TABLES[key] = materialize(M.labelled_features(t.matches), "labelled")
+        _TABLES[key] = materialize(M.labelled_features(t.matches), "labelled", wide=True)
     return _TABLES[key]
 
 
@@ -43,7 +43,7 @@ def rows(t):
     key = (t.spark.sparkContext.applicationId, t.path, "rows")
     if key not in _TABLES:
         prepared, data = M.build_training_data(labelled(t))
-        _TABLES[key] = prepared, materialize(M.with_class_weights(data).drop(*MATRIX_COLS), "prepared")
+        _TABLES[key] = prepared, materialize(M.with_class_weights(data).drop(*MATRIX_COLS), "prepared", wide=True)
     return _TABLES[key]
 
 

@@ -17,7 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.plans.ordering import exact_quantiles, narrow_scans
+from touchline.plans.ordering import column_levels, column_moments, exact_quantiles
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -52,16 +52,17 @@ class ExactImputer(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrit
         cols, how = self._cols(), self.getOrDefault(self.strategy)
         if how not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
-        totals = narrow_scans(df, {c: [F.count("*").alias("_n"), F.count(c).alias(c)] for c in cols})
-        kept = [c for c in cols if totals[c]]  # columns without any value are dropped
-        gaps = [c for c in kept if totals[c] < totals["_n"]]
+        levels = column_levels(df, cols)
+        kept = [c for c in cols if levels.counts[c]]  # columns without any value are dropped
+        gaps = [c for c in kept if levels.counts[c] < levels.rows]
         if how == "constant":
             fills = {c: self.getOrDefault(self.fillValue) for c in kept}
         elif how == "mean":
             row = df.agg(*[F.avg(c).alias(c) for c in kept]).first()
             fills = {c: row[c] for c in kept}
         elif how == "median":
-            fills = {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in kept}).items()}
+            fills = {c: levels.quantile(c, 0.5) for c in levels.few}
+            fills |= {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in kept if c not in fills}).items()}
         else:
             counts = _unpivot(df, kept).filter("value IS NOT NULL").groupBy("name", "value").agg(F.count("*").alias("n"))
             top = counts.groupBy("name").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("fill")).collect()
@@ -100,9 +101,8 @@ class PopulationScaler(Estimator, _Columns, DefaultParamsReadable, DefaultParams
 
     def _fit(self, df: DataFrame) -> PopulationScalerModel:
         cols = self._cols()
-        row = narrow_scans(df, {c: [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")] for c in cols})
-        return PopulationScalerModel(columns=cols, means=[float(row[f"m_{c}"]) for c in cols],
-                                     stds=[float(row[f"s_{c}"]) or 1.0 for c in cols])
+        moments = column_moments(df, cols)
+        return PopulationScalerModel(columns=cols, means=[moments[c][0] for c in cols], stds=[moments[c][1] or 1.0 for c in cols])
 
 
 class PopulationScalerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +22,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", *, wide: bool = False) -> DataFrame:
+    """Write and read back; ``wide`` says that rows have dozens of computed columns."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_methods(df.sparkSession) if wide else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WHOLE_STAGE = "spark.sql.codegen.wholeStage"
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Within it, code is generated operator by operator, in small methods: a whole stage of dozens of columns is one method, too
+    long for the JVM to compile, which then interprets it."""
+    before = spark.conf.get(_WHOLE_STAGE)
+    spark.conf.set(_WHOLE_STAGE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_WHOLE_STAGE, before)
 
 
 @contextmanager

@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.plans.materialize import materialize
+from touchline.plans.materialize import materialize, short_methods
 
 BLOCK_ROWS = 2_000_000   # rows one window task may hold
 TASK_ROWS = 250_000      # rows one task gets of an exchange for wide windows
@@ -27,6 +31,7 @@ SCAN_COLUMNS = 11        # columns that one scan aggregates
 TREE_POINTS = 64         # split points that are compared in compiled code
 MAX_BLOCKS = 16_384      # bounds the split points kept on the driver
 SAMPLES_PER_BLOCK = 20
+LEVELS = 1_000           # values that a column may have to be folded whole
 BRACKET = 0.005          # distance of a bracket's ends from the wanted quantile
 SKETCH_ACCURACY = 2000   # ranks are off by at most a 2000th, a tenth of the distance
 
@@ -201,6 +206,104 @@ def narrow_scans(df: DataFrame, columns: dict[str, list[Column]]) -> dict:
     return out
 
 
+@dataclass
+class Levels:
+    """What one scan tells of columns: rows, values that are not NULL, and (value, times) in order where values are few."""
+
+    rows: int
+    counts: dict[str, int]
+    few: dict[str, list[tuple[float, int]]]
+
+    def quantile(self, column: str, q: float) -> float:
+        """Exact linear-interpolation quantile of a column with few values."""
+        upto = list(accumulate(times for _, times in self.few[column]))
+        return interpolated(upto[-1], q, lambda rank: self.few[column][bisect_right(upto, rank)][0])
+
+
+def column_levels(df: DataFrame, cols: Sequence[str], *, most: int = LEVELS) -> Levels:
+    """Rows, counts and the distinct values of columns that have at most ``most`` of them, all columns in one scan.
+
+    A task folds its rows to (value, times) per column in Arrow batches and gives a column up once it has more values; what is
+    folded is summed by value, and a column with more values in all stays out of the result.
+    """
+    cols = list(cols)
+    rows, counted, level, many = range(4)
+
+    def summed(parts):
+        values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        few = len(values) <= most and not np.isnan(values[-1:]).any()
+        return [(values, np.bincount(at, np.concatenate([t for _, t in parts])).astype(np.int64))] if few else None
+
+    def fold(batches):
+        n, counts = 0, np.zeros(len(cols), np.int64)
+        held: list = [[(np.empty(0), np.empty(0, np.int64))] for _ in cols]
+        for batch in batches:
+            n += batch.num_rows
+            for i in range(len(cols)):
+                column = batch.column(i)
+                counts[i] += len(column) - column.null_count
+                if held[i] is None:
+                    continue
+                new, times = column.drop_null().value_counts().flatten()
+                held[i].append((new.to_numpy(zero_copy_only=False) + 0.0, times.to_numpy(zero_copy_only=False)))  # -0.0 is 0.0
+                if sum(len(v) for v, _ in held[i]) > 4 * most:
+                    held[i] = summed(held[i])
+        held = [parts and summed(parts) for parts in held]
+        out = [(rows, -1, None, n), *[(counted, i, None, int(c)) for i, c in enumerate(counts)]]
+        for i, found in enumerate(held):
+            out += [(many, i, None, 1)] if found is None else [(level, i, float(v), int(t)) for v, t in zip(*found[0])]
+        kind, c, v, t = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.float64()), pa.array(t, pa.int64())], ["kind", "c", "v", "n"])
+
+    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    folded = narrow.mapInArrow(fold, "kind int, c int, v double, n long").groupBy("kind", "c", "v").agg(F.sum("n").alias("n"))
+    sized = folded.withColumn("size", F.count("*").over(Window.partitionBy("kind", "c")))
+    with short_methods(df.sparkSession):
+        found = sized.where((F.col("kind") != level) | (F.col("size") <= most)).collect()  # at most ``most`` rows and two a column
+    counts = dict.fromkeys(cols, 0) | {cols[r["c"]]: r["n"] for r in found if r["kind"] == counted}
+    over = {cols[r["c"]] for r in found if r["kind"] == many}
+    few: dict[str, list[tuple[float, int]]] = {}
+    for r in found:
+        if r["kind"] == level and cols[r["c"]] not in over:
+            few.setdefault(cols[r["c"]], []).append((r["v"], r["n"]))
+    return Levels(sum(r["n"] for r in found if r["kind"] == rows), counts, {c: sorted(v) for c, v in few.items()})
+
+
+def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) of columns that hold values, all in one scan; a column of one value has exactly that and 0.
+
+    A task adds up count, mean and squared deviations per column in Arrow batches, the driver a row for each task and column.
+    """
+    cols = list(cols)
+
+    def merged(a, b):
+        n = a[0] + b[0]
+        off = b[1] - a[1]
+        return n, a[1] + off * (b[0] / n), a[2] + b[2] + off * off * (a[0] * b[0] / n)
+
+    def fold(batches):
+        held: list = [None] * len(cols)
+        for batch in batches:
+            for i in range(len(cols)):
+                values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                if len(values):
+                    first = values[0] if np.isfinite(values[0]) else 0.0
+                    off = values - first  # no rounding where all values are one
+                    mean = off.mean()
+                    part = len(values), float(first + mean), float(np.square(off - mean).sum())
+                    held[i] = part if held[i] is None else merged(held[i], part)
+        i, n, mean, squares = zip(*[(i, *h) for i, h in enumerate(held) if h is not None]) if any(held) else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(n, pa.float64()), pa.array(mean, pa.float64()), pa.array(squares, pa.float64())], ["c", "n", "mean", "squares"])
+
+    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    with short_methods(df.sparkSession):
+        parts = narrow.mapInArrow(fold, "c int, n double, mean double, squares double").collect()
+    total: dict[int, tuple] = {}
+    for r in parts:
+        total[r["c"]] = merged(total[r["c"]], tuple(r)[1:]) if r["c"] in total else tuple(r)[1:]
+    return {cols[i]: (mean, math.sqrt(squares / n)) for i, (n, mean, squares) in total.items()}
+
+
 def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of numeric columns, as driver scalars.
 
@@ -239,12 +342,17 @@ def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dic
             if i not in totals:
                 out[c].append(None)
                 continue
-            low, high = _ranks(totals[i], q)
-            a, b, at = found[i, j, low], found[i, j, high], q * (totals[i] - 1)
-            out[c].append(a if a == b else (high - at) * a + (at - low) * b)  # tied values stay what they are to the last bit
+            out[c].append(interpolated(totals[i], q, lambda rank: found[i, j, rank]))
     return out
 
 
+def interpolated(n: int, q: float, value: Callable[[int], float]) -> float:
+    """The quantile between the values at the two ranks around it; tied values stay what they are to the last bit."""
+    low, high = _ranks(n, q)
+    a, b, at = value(low), value(high), q * (n - 1)
+    return a if a == b else (high - at) * a + (at - low) * b
+
+
 def _ranked(df: DataFrame, doubles: dict[str, Column], cols: list[str], brackets: dict, below: dict) -> dict:
     """(column, wanted place, rank) -> value, from the values inside the brackets folded and in order."""
     inside = []
