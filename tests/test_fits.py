@@ -190,3 +190,21 @@ def test_brackets_that_miss_are_opened(spark, monkeypatch):
     values = np.random.default_rng(1).random(20_000)
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
     np.testing.assert_allclose(exact_quantiles(df, {"v": [0.1, 0.5, 0.9]})["v"], np.quantile(values, [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_few_steps_are_looked_up_as_they_are_joined(spark):
+    from touchline.operators import fits
+    from touchline.operators.models import Calibrator
+    steps = [(c, 0.1 * i + 0.01 * c, 0.1 * i + 0.01 * c + (0.05 if i % 2 else 0.0), i / 9 + c / 100) for c in (0, 1) for i in range(1, 9)]
+    maps = spark.createDataFrame(steps, "cls int, low double, high double, value double")
+    scores = [(i, *[x if k else (None if i == 5 else x)for k, x in enumerate(((i % 101) / 100, (i % 77) / 76, 0.1 * (i % 9)))]) for i in range(300)]
+    df = spark.createDataFrame(scores, "match_id int, prob_home double, prob_draw double, prob_away double")
+    asked = df.selectExpr("inline(array(struct(0 AS cls, prob_home AS score), struct(1 AS cls, prob_draw AS score)))")
+    want = {(r["cls"], r["score"]): r["value"] for r in fits.isotonic_values(maps, asked).collect()}
+    points = fits.step_points(maps)
+    for cls, name in ((0, "prob_home"), (1, "prob_draw")):
+        got = df.select(name, fits.point_values(points[cls], F.col(name)).alias("v")).collect()
+        assert all(r["v"] == want[cls, r[name]] for r in got if r[name] is not None) and all(r["v"] is None for r in got if r[name] is None)
+    assert fits.step_points(maps, most=3) is None and df.select(fits.point_values([], F.col("prob_away"))).first()[0] is None
+    plan = Calibrator("isotonic", maps).calibrate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # rows to calibrate are neither moved nor scored twice

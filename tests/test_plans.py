@@ -200,6 +200,18 @@ def test_tied_columns_are_not_read_again_for_quantiles(spark, monkeypatch):
     assert exact_quantiles(df, {"tied": [0.5]}) == {"tied": [1.0]} and len(asked) == 1
 
 
+@pytest.mark.parametrize("block_rows", [100, 10_000_000])
+def test_asked_rows_get_what_all_rows_get(spark, block_rows):
+    pdf = rows_with_hot_key(ties=True)
+    df = spark.createDataFrame(pdf).repartition(5).withColumn("asked", F.expr("match_id % 7 = 0 AND us > 300 OR NOT is_hist AND us > 900"))
+    frames = {"s": ("v", 4, 1), "old": ("v", 6, 4)}
+    cols = ["match_id", "last.s", "last.old", F.least("last.seq", F.lit(6)).alias("n"), F.col("last_sub.s").alias("sub_s"), F.least("last_sub.seq", F.lit(6)).alias("sub_n")]
+    whole = asof_trailing(df, ["k"], frames, sub="sub", sub_frames={"s": ("v", 3, 1)}, block_rows=block_rows)
+    some = asof_trailing(df, ["k"], frames, sub="sub", sub_frames={"s": ("v", 3, 1)}, asked="asked", block_rows=block_rows)
+    want = whole.filter("asked").select(*cols).orderBy("match_id").collect()
+    assert want and some.select(*cols).orderBy("match_id").collect() == want
+
+
 def test_levels_and_moments_of_all_columns(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, 0.0, -0.0, 1.5, 7.0]), rng.random(), 0.1, None if i % 2 else 4.0, None) for i in range(3000)]

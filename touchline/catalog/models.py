@@ -197,8 +197,9 @@ query("C5_calibrate")(lambda t: M.calibrate_latest(scored(t).filter("model_versi
 
 def upcoming_features(t):
     upcoming = L.query_matches(t.matches, t.tournaments, days_ahead=60, as_of=AS_OF)
-    relevant = t.matches.filter(is_finished()).unionByName(upcoming)
-    return X.feature_matrix(relevant).join(upcoming.select(F.col("id").alias("match_id")), "match_id", "left_semi")
+    finished = t.matches.filter(is_finished()).withColumn("asked", F.lit(False))
+    relevant = materialize(finished.unionByName(upcoming.withColumn("asked", F.lit(True))), "relevant")
+    return X.feature_matrix(relevant, asked="asked")
 
 
 query("C6_predict_upcoming")(lambda t: M.predict(upcoming_features(t), M.train_run(labelled(t), small_rf), min_confidence=0.4))

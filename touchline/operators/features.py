@@ -30,15 +30,17 @@ def row_features() -> dict:
 
 
 def feature_matrix(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, keep: Sequence[str] = (),
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   asked: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All features keyed by ``match_id``; ``keep`` names match columns to carry along.
 
+    With a boolean match column ``asked`` only matches where it is true get features; all others are their history.
+
     Odds and calendar columns ride on the head-to-head pass, so there are two history
     exchanges (by team, by pair) and one join on the match id.
     """
-    pairs = with_h2h(matches, block_rows=block_rows)
+    pairs = with_h2h(matches, asked=asked, block_rows=block_rows)
     pairs = pairs.select("match_id", *keep, *H2H_COLUMNS, *[c.alias(n) for n, c in row_features().items()])
-    teams = team_features(matches, windows, block_rows=block_rows)
+    teams = team_features(matches, windows, asked=asked, block_rows=block_rows)
     return pairs.join(teams, "match_id").select("match_id", *keep, *[
         F.col(c).cast("double").alias(c) for c in feature_columns(windows)])
 

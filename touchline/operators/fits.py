@@ -6,6 +6,7 @@ for the Poisson fit). Isotonic steps stay a table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from touchline.plans.materialize import materialize
 
 NEWTON_STEPS, NEWTON_TOLERANCE = 50, 1e-12
 POOL_ROWS = 500_000  # levels that one task pools
+LOOKUP_POINTS = 10_000  # isotonic steps that are looked up as a literal; more are joined
 _POOLS = "cls int, low double, high double, total double, weight double"
 
 
@@ -105,6 +107,36 @@ def isotonic_values(steps: DataFrame, scores: DataFrame) -> DataFrame:
     return near.select("cls", "score", value.alias("value"))
 
 
+def step_points(steps: DataFrame, *, most: int = LOOKUP_POINTS) -> dict[int, list[tuple[float, float]]] | None:
+    """(score, value) ends of the steps of each class in order, or nothing where they are more than ``most``."""
+    found = steps.select("cls", "low", "high", "value").limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    points: dict[int, set] = {}
+    for r in found:
+        points.setdefault(r["cls"], set()).update([(r["low"], r["value"]), (r["high"], r["value"])])
+    return {cls: sorted(p) for cls, p in points.items()}
+
+
+def point_values(points: Sequence[tuple[float, float]], score: Column) -> Column:
+    """As :func:`isotonic_values`, a score at a time: a binary search among the points of its class, which are a literal."""
+    if not points:
+        return F.lit(None).cast("double")
+    scores, values = (F.from_json(F.lit(json.dumps(list(v))), "array<double>") for v in zip(*points, strict=True))
+    n = len(points)
+    top = 1 << (n.bit_length() - 1)
+    steps = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
+    upto = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(scores, low + step - 1) <= score, low + step).otherwise(low))
+
+    def value(i: Column) -> Column:
+        x, a, b = F.get(scores, i - 1), F.get(values, i - 1), F.get(values, i)
+        between = a + (score - x) / (F.get(scores, i) - x) * (b - a)
+        return F.when(i == 0, b).when((i == n) | (score == x) | (a == b), a).otherwise(between)
+
+    # A fold of one element gives the place a name, so that it is searched once.
+    return F.when(score.isNotNull(), F.get(F.transform(F.array(upto), value), F.lit(0)))
+
+
 # --- logistic curve on one score -------------------------------------------------------------
 
 

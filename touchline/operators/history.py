@@ -22,7 +22,7 @@ MOMENTUM_WEIGHTS = [1.0, 0.95, 0.85, 0.7, 0.5]
 REST_DEFAULT, REST_CAP, DENSITY_CAP = 7.0, 14, 5
 
 
-def team_rows(matches: DataFrame) -> DataFrame:
+def team_rows(matches: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Two rows per match, one per side, with goals and points from that side."""
 
     def side(home: bool) -> Column:
@@ -35,7 +35,7 @@ def team_rows(matches: DataFrame) -> DataFrame:
             (gf == ga).cast("int").alias("draw"), (gf < ga).cast("int").alias("loss"))
 
     return matches.select(
-        F.col("id").alias("match_id"), "match_date", micros().alias("us"), "tournament_id", "season_id",
+        F.col("id").alias("match_id"), "match_date", micros().alias("us"), "tournament_id", "season_id", *keep,
         is_finished().alias("is_hist"), F.inline(F.array(side(True), side(False))))
 
 
@@ -52,12 +52,12 @@ def _mean(struct: str, name: str, n: int) -> Column:
     return F.coalesce(F.col(f"{struct}.{name}") / have, F.lit(0.0))
 
 
-def side_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates: Sequence[str] = ("win",),
+def side_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates: Sequence[str] = ("win",), asked: str | None = None,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Form, venue form, trend, rest and density per (match, side)."""
+    """Form, venue form, trend, rest and density per (match, side), or of the matches where the column ``asked`` is true."""
     looked = asof_trailing(
-        team_rows(matches), ["team_id"], _form_frames(windows, rates), sub="is_home",
-        sub_frames={f"points_{n}": ("points", n, 1) for n in windows}, block_rows=block_rows)
+        team_rows(matches, [asked] if asked else []), ["team_id"], _form_frames(windows, rates), sub="is_home",
+        sub_frames={f"points_{n}": ("points", n, 1) for n in windows}, asked=asked, block_rows=block_rows)
     seq, n_old = F.coalesce(F.col("last.seq"), F.lit(0)), F.col("last.seq") - 3
     features: dict[str, Column] = {}
     for n in windows:
@@ -97,11 +97,12 @@ def form_columns(windows: Sequence[int] = WINDOWS, rates: Sequence[str] = ("win"
     return [*names, "home_form_trend", "away_form_trend", "form_diff"]
 
 
-def team_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates: Sequence[str] = ("win",),
+def team_features(matches: DataFrame, windows: Sequence[int] = WINDOWS, *, rates: Sequence[str] = ("win",), asked: str | None = None,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Form, rest and density features of both sides, one row per match."""
-    sides = side_features(matches, windows, rates=rates, block_rows=block_rows)
-    wide = by_match(sides, [c for c in sides.columns if c not in ("match_id", "is_home")], 2 * matches.count())
+    """Form, rest and density features of both sides, one row per match (where the column ``asked`` is true)."""
+    sides = side_features(matches, windows, rates=rates, asked=asked, block_rows=block_rows)
+    given = matches.filter(asked) if asked else matches
+    wide = by_match(sides, [c for c in sides.columns if c not in ("match_id", "is_home")], 2 * given.count())
     for n in windows:
         for s in SIDES:
             wide = wide.withColumnRenamed(f"{s}_venue_form_{n}", f"{s}_{s}_form_{n}")
@@ -159,10 +160,11 @@ H2H_COLUMNS = ["h2h_matches_count", "h2h_home_wins", "h2h_draws", "h2h_away_wins
 YEAR_US = 365 * DAY_US
 
 
-def with_h2h(matches: DataFrame, meetings: int = 5, *, max_years_back: int | None = None,
+def with_h2h(matches: DataFrame, meetings: int = 5, *, max_years_back: int | None = None, asked: str | None = None,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add the head-to-head features of the last ``meetings`` earlier meetings; keeps the match columns.
 
+    With a column ``asked`` only matches where it is true are given back.
     ``max_years_back`` (off by default) leaves out meetings more than that many years of 365 days before.
     """
     rows = pair_rows(matches)
@@ -170,10 +172,10 @@ def with_h2h(matches: DataFrame, meetings: int = 5, *, max_years_back: int | Non
         values = ["low_goals", "high_goals", "low_win", "high_win"]
         frames = {v: (v, meetings, 1) for v in values}
         frames |= {v: (v, min(3, meetings), 1) for v in ("low_points", "high_points")}
-        looked = asof_trailing(rows, ["low_team", "high_team"], frames, block_rows=block_rows)
+        looked = asof_trailing(rows, ["low_team", "high_team"], frames, asked=asked, block_rows=block_rows)
         looked = looked.withColumn("n", F.least(F.coalesce(F.col("last.seq"), F.lit(0)), F.lit(meetings)))
     else:
-        looked = _recent_meetings(rows, meetings, max_years_back, block_rows)
+        looked = _recent_meetings(rows, meetings, max_years_back, asked, block_rows)
 
     def of(side_low: Column, kind: str) -> Column:
         return F.coalesce(F.when(side_low, F.col(f"last.low_{kind}")).otherwise(F.col(f"last.high_{kind}")), F.lit(0))
@@ -193,11 +195,11 @@ def with_h2h(matches: DataFrame, meetings: int = 5, *, max_years_back: int | Non
     return looked.select("match_id", *[c for c in matches.columns if c != "id"], *added)
 
 
-def _recent_meetings(rows: DataFrame, meetings: int, years: int, block_rows: int) -> DataFrame:
+def _recent_meetings(rows: DataFrame, meetings: int, years: int, asked: str | None, block_rows: int) -> DataFrame:
     """The last meetings as a short list per match, those too old removed, summed up again."""
     values = ["low_goals", "high_goals", "low_win", "high_win", "low_points", "high_points"]
     looked = asof_trailing(rows.withColumn("entry", F.struct("us", *values)), ["low_team", "high_team"], {},
-                           lists={"entries": ("entry", meetings)}, block_rows=block_rows)
+                           lists={"entries": ("entry", meetings)}, asked=asked, block_rows=block_rows)
     oldest = F.col("us") - years * YEAR_US
     looked = looked.withColumn("_near", F.filter("last.entries", lambda e: e["us"] >= oldest))
     newest = F.slice(F.reverse("_near"), 1, 3)

@@ -194,7 +194,10 @@ class Calibrator:
     maps: Any
 
     def calibrate(self, df: DataFrame) -> DataFrame:
-        if self.method == "isotonic":
+        points = fits.step_points(self.maps) if self.method == "isotonic" else None
+        if points is not None:  # few steps: no row is moved, nor scored twice
+            df = df.withColumns({f"_c{i}": fits.point_values(points.get(i, []), F.col(p).cast("double")) for i, p in enumerate(PROBS)})
+        elif self.method == "isotonic":
             asked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cls"), F.col(p).cast("double").alias("score")) for i, p in enumerate(PROBS)])))
             values = materialize(fits.isotonic_values(self.maps, asked), "calibrated")
             for i, p in enumerate(PROBS):
@@ -290,10 +293,13 @@ REPORTED = ["n", "accuracy", "log_loss", "precision_macro", "recall_macro", "f1_
 
 
 def train_run(labelled: DataFrame, fit: Fit, *, calibration: str | None = "isotonic", columns: Sequence[str] | None = None) -> TrainingRun:
-    """Split, prepare, weight, fit, calibrate on validation rows, measure all three splits in one pass."""
+    """Split, prepare, weight, fit, calibrate on validation rows, measure all three splits in one pass.
+
+    The prepared rows are written once, with the features as the vector; the fit's scans and all that follows read that table.
+    """
     columns = list(columns or feature_columns())
     prepared, rows = build_training_data(labelled, columns)
-    rows = with_class_weights(rows)
+    rows = materialize(with_class_weights(rows).drop(*columns), "prepared", wide=True)
     model = fit(rows.filter("split = 'train'"))
     calibrator = fit_calibrator(model.transform(rows.filter("split = 'val'")), calibration) if calibration else None
     scorer = CalibratedModel(model, calibrator)

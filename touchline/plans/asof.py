@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.plans.ordering import BLOCK, BLOCK_ROWS, SALT, Blocks, join_on, plan_blocks, spread
 
@@ -22,25 +23,30 @@ Frames = dict[str, tuple[str, int, int]]
 
 def asof_trailing(rows: DataFrame, keys: Sequence[str], frames: Frames, *, us: str = "us", id: str = "match_id",
                   history: str = "is_hist", sub: str | None = None, sub_frames: Frames | None = None,
-                  lists: dict[str, tuple[str, int]] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  lists: dict[str, tuple[str, int]] | None = None, asked: str | None = None,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``last`` (seq, us and the frame sums as of the newest earlier history row).
 
     ``lists`` maps a name to (column, n): the column's values of the last n rows, oldest first.
     With a boolean ``sub`` column also add ``last_sub``: the same over the history rows that
     share the row's own ``sub`` value. Both are NULL without earlier history.
+    With a boolean ``asked`` column only rows where it is true are given back; ``seq`` is then exact up to the deepest frame, as
+    history that no asked row can reach is left out before the wide windows.
     """
     keys = list(keys)
     sub_frames, lists = sub_frames or {}, lists or {}
     blocks = plan_blocks(rows, [*keys, us], block_rows=block_rows, split_ties=False)
     part = keys
-    rows = rows.withColumn("_target", F.lit(True))
+    rows = rows.withColumn("_target", F.lit(True) if asked is None else F.coalesce(F.col(asked), F.lit(False)))
+    used = [*frames.values(), *sub_frames.values(), *[(v, n, 1) for v, n in lists.values()]]
+    depth = max((first for _, first, _ in used), default=0)
     if blocks:
-        used = [*frames.values(), *sub_frames.values(), *[(v, n, 1) for v, n in lists.values()]]
-        depth = max(first for _, first, _ in used)
         values = sorted({v for v, _, _ in used})
         rows = _cut_with_carry(rows, blocks, keys, us, id, history, sub, values, depth)
         part = [*keys, BLOCK, SALT]
     rows = spread(rows, blocks.rows, *part)
+    if asked is not None:
+        rows = _within_reach(rows, part, us, id, history, sub, depth)
 
     def summary(group: list[str], wanted: Frames, wanted_lists=()):
         w = Window.partitionBy(*group).orderBy(us, id)
@@ -65,14 +71,31 @@ def asof_trailing(rows: DataFrame, keys: Sequence[str], frames: Frames, *, us: s
     return rows.filter("_target").drop("_all", "_sub", "_target", BLOCK, SALT)
 
 
+def _within_reach(rows: DataFrame, part, us, id, history, sub, depth) -> DataFrame:
+    """Targets, history from the first target of the part on, and the last ``depth`` history rows before it (of each sub-group)."""
+    here = Window.partitionBy(*part)
+    early = F.col(us) < F.col("_first")  # rows without a time are kept
+    group = [*part, "_early", *([sub] if sub else [])]
+    newest = Window.partitionBy(*group).orderBy(F.col(us).desc(), F.col(id).desc())
+    found = rows.withColumn("_first", F.min(F.when(F.col("_target"), F.col(us))).over(here)).withColumn("_any", F.max("_target").over(here))
+    found = found.filter(F.col("_target") | (F.col("_any") & F.col(history)))
+    found = found.withColumn("_early", F.coalesce(early & F.col(history) & ~F.col("_target"), F.lit(False))).withColumn("_n", F.row_number().over(newest))
+    return found.filter(~F.col("_early") | (F.col("_n") <= depth)).drop("_first", "_any", "_early", "_n")
+
+
 def _cut_with_carry(rows: DataFrame, blocks: Blocks, keys, us, id, history, sub, values, depth) -> DataFrame:
-    """Assign blocks and prepend to each block the last ``depth`` history rows before it."""
+    """Assign blocks and prepend to each block the last ``depth`` history rows before it.
+
+    Only keys that a split point names lie in several blocks, at most one for each point; the others carry nothing.
+    """
     cut = blocks.assign(rows, salt_on=id)
     group = [*keys, sub] if sub else list(keys)
-    spans = cut.select(*group, BLOCK, SALT).distinct()
+    named = sorted({p[: len(keys)] for p in blocks.points})
+    several = cut.join(F.broadcast(cut.sparkSession.createDataFrame(named, T.StructType([blocks.schema[k] for k in keys]))), keys, "left_semi")
+    spans = several.select(*group, BLOCK, SALT).distinct()
     newest = Window.partitionBy(*group, BLOCK, SALT).orderBy(F.col(us).desc(), F.col(id).desc())
     # Sorted in tasks by their rows: sorting where the rows are read would take memory by the size of a file's split.
-    narrow = cut.filter(F.col(history)).select(*group, BLOCK, SALT, us, id, *values)
+    narrow = several.filter(F.col(history)).select(*group, BLOCK, SALT, us, id, *values)
     tails = (
         spread(narrow, blocks.rows, *group, BLOCK, SALT)
         .withColumn("_n", F.row_number().over(newest))
