@@ -179,6 +179,7 @@ def run_roundtrip(t):
     root, at = fresh_path(t.spark, "registry"), datetime(2001, 1, 1, 12, 30)
     version = R.version_name("random_forest", at)
     run = M.train_run(labelled(t), small_rf)
+    run.metrics = materialize(run.metrics, "metrics")  # of all rows, and read twice
     row = R.model_row(t.spark, id=5, algorithm="random_forest", at=at, metrics=run.registry_metrics(), hyperparameters={"feature_names": run.columns})
     R.save_run(run, row, root, version)
     return M.predict(labelled(t), R.load_run(t.spark, root, version))
