@@ -17,7 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.plans.ordering import column_levels, column_moments, exact_quantiles
+from touchline.plans.ordering import column_levels, exact_quantiles, narrow_scans
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -101,8 +101,9 @@ class PopulationScaler(Estimator, _Columns, DefaultParamsReadable, DefaultParams
 
     def _fit(self, df: DataFrame) -> PopulationScalerModel:
         cols = self._cols()
-        moments = column_moments(df, cols)
-        return PopulationScalerModel(columns=cols, means=[moments[c][0] for c in cols], stds=[moments[c][1] or 1.0 for c in cols])
+        row = narrow_scans(df, {c: [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")] for c in cols})
+        return PopulationScalerModel(columns=cols, means=[float(row[f"m_{c}"]) for c in cols],
+                                     stds=[float(row[f"s_{c}"]) or 1.0 for c in cols])
 
 
 class PopulationScalerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):

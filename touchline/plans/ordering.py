@@ -269,41 +269,6 @@ def column_levels(df: DataFrame, cols: Sequence[str], *, most: int = LEVELS) ->
     return Levels(sum(r["n"] for r in found if r["kind"] == rows), counts, {c: sorted(v) for c, v in few.items()})
 
 
-def column_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(mean, population deviation) of columns that hold values, all in one scan; a column of one value has exactly that and 0.
-
-    A task adds up count, mean and squared deviations per column in Arrow batches, the driver a row for each task and column.
-    """
-    cols = list(cols)
-
-    def merged(a, b):
-        n = a[0] + b[0]
-        off = b[1] - a[1]
-        return n, a[1] + off * (b[0] / n), a[2] + b[2] + off * off * (a[0] * b[0] / n)
-
-    def fold(batches):
-        held: list = [None] * len(cols)
-        for batch in batches:
-            for i in range(len(cols)):
-                values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
-                if len(values):
-                    first = values[0] if np.isfinite(values[0]) else 0.0
-                    off = values - first  # no rounding where all values are one
-                    mean = off.mean()
-                    part = len(values), float(first + mean), float(np.square(off - mean).sum())
-                    held[i] = part if held[i] is None else merged(held[i], part)
-        i, n, mean, squares = zip(*[(i, *h) for i, h in enumerate(held) if h is not None]) if any(held) else ((),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(n, pa.float64()), pa.array(mean, pa.float64()), pa.array(squares, pa.float64())], ["c", "n", "mean", "squares"])
-
-    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    with short_methods(df.sparkSession):
-        parts = narrow.mapInArrow(fold, "c int, n double, mean double, squares double").collect()
-    total: dict[int, tuple] = {}
-    for r in parts:
-        total[r["c"]] = merged(total[r["c"]], tuple(r)[1:]) if r["c"] in total else tuple(r)[1:]
-    return {cols[i]: (mean, math.sqrt(squares / n)) for i, (n, mean, squares) in total.items()}
-
-
 def exact_quantiles(df: DataFrame, quantiles: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of numeric columns, as driver scalars.
 
